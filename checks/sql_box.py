@@ -545,13 +545,13 @@ sql(
     "lineitem",
     """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS quantity, CAST(l_orderkey AS STRING) AS key_text,
-           CAST(l_shipdate AS DATE) AS day, try_cast(l_returnflag AS INT) AS no_number,
+           CAST(l_shipdate AS DATE) AS day, try_cast(l_returnflag AS DATE) AS no_day,
            CAST(l_extendedprice AS DECIMAL(12, 2)) AS price, CAST(l_linestatus = 'O' AS INT) AS is_open
     FROM df
     """,
     """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(l_quantity AS INT) AS quantity, CAST(l_orderkey AS VARCHAR) AS key_text,
-           CAST(l_shipdate AS DATE) AS day, try_cast(l_returnflag AS INT) AS no_number,
+           CAST(l_shipdate AS DATE) AS day, try_cast(l_returnflag AS DATE) AS no_day,
            CAST(l_extendedprice AS DECIMAL(12, 2)) AS price, CAST(l_linestatus = 'O' AS INT) AS is_open
     FROM lineitem
     """,

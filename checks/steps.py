@@ -33,6 +33,7 @@ from tidework import (
     scan_range,
     series,
     shape,
+    shapes,
     time_slices,
     time_tags_fields,
     to_json_rows,
@@ -72,8 +73,7 @@ _COLUMN_COUNTS = {
 )
 def list_tables(spark, folder):
     tables = catalog(spark, folder)
-    shapes = [shape(tables.table(name)).withColumn("table_name", F.lit(name)) for name in tables.names()]
-    return tables.list_tables().join(reduce(DataFrame.union, shapes), "table_name")
+    return tables.list_tables().join(shapes(tables, tables.names()).drop("position"), "table_name")
 
 
 _EVENT_ROLES = {
@@ -263,9 +263,10 @@ def json_rows_keys_found(spark, folder):
 
 @STEPS.add("json_files_roundtrip", _EVENTS_AS_TEXT)
 def json_files_roundtrip(spark, folder):
+    events = read(spark, folder, "events")
     path = work_path(spark, "rows")
-    to_json_rows(read(spark, folder, "events")).write.text(path)
-    return read_json_rows(spark, path)
+    to_json_rows(events).write.text(path)
+    return read_json_rows(spark, path, events.columns)
 
 
 @STEPS.add(

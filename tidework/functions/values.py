@@ -53,7 +53,8 @@ def parse_float(df: DataFrame, name: str) -> Column:
     if isinstance(kind, T.NumericType):
         number = value.cast("double")
     elif isinstance(kind, T.StringType):
-        number = F.regexp_extract(value, FLOAT_PREFIX, 1).try_cast("double")
+        # A cast that fails is slow, as Spark throws for each row; no match gives "", so skip it.
+        number = F.nullif(F.regexp_extract(value, FLOAT_PREFIX, 1), F.lit("")).try_cast("double")
     elif isinstance(kind, _TIMES):
         # The text of a time starts with its year.
         number = F.year(value).cast("double")
@@ -71,15 +72,19 @@ def epoch_millis(df: DataFrame, name: str) -> Column:
     elif isinstance(kind, T.StringType):
         moment = F.try_to_timestamp(value)
     elif isinstance(kind, T.NumericType):
-        # A number is epoch seconds, but for the nanoseconds `epoch_columns` adds.
-        if name.lower().endswith("_ns"):
-            return F.coalesce(F.floor(value / F.lit(1_000_000)).cast("double"), _nan())
-        return F.coalesce(F.floor(value * F.lit(1000)).cast("double"), _nan())
+        return _millis_of_number(value.cast("double"), name.lower().endswith("_ns"))
     else:
         return _nan()
     return F.coalesce(F.unix_millis(moment).cast("double"), _nan())
 
 
+def _millis_of_number(value: Column, nanoseconds: bool) -> Column:
+    """Numbers are epoch seconds, but for the nanoseconds `epoch_columns` adds."""
+    millis = value / F.lit(1e6) if nanoseconds else value * F.lit(1e3)
+    # FLOOR gives an integer, which has no NaN.
+    return F.when(value.isNull() | F.isnan(value), _nan()).otherwise(F.floor(millis).cast("double"))
+
+
 def plot_value(df: DataFrame, name: str) -> Column:
     """A plot coordinate; a column with "time" in its name holds times, any other numbers."""
     return epoch_millis(df, name) if "time" in name.lower() else parse_float(df, name)
@@ -87,10 +92,8 @@ def plot_value(df: DataFrame, name: str) -> Column:
 
 def iso_text(moment: Column) -> Column:
     """``2024-07-25T16:47:00``, with six more digits only if there are microseconds."""
-    whole = F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.when(F.date_format(moment, "SSSSSS") == "000000", whole).otherwise(
-        F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
-    )
+    text = F.translate(moment.cast("string"), " ", "T")
+    return F.when(F.length(text) > 19, F.rpad(text, 26, "0")).otherwise(text)
 
 
 def number_text(value: Column) -> Column:
@@ -107,6 +110,7 @@ def number_text(value: Column) -> Column:
         F.when(value.isNull(), F.lit(None).cast("string"))
         .when(F.isnan(value) | (size == float("inf")), java)
         .when(size == 0, F.lit("0"))
+        .when((size >= 1e-3) & (size < 1e7), F.regexp_replace(java, r"\.0$", ""))
         .when((size >= 1) & (size < 1e21), plain(17))
         .when((size >= 1e-6) & (size < 1), plain(30))
         .otherwise(exponent)

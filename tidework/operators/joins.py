@@ -70,7 +70,9 @@ def join_on(
         right = right.select(*[col(old).alias(new) for old, new in names.items()])
         right_key = names[right_key]
         keep_left, keep_right = kind in _LEFT | _FULL, kind in _RIGHT | _FULL
-        if split_outer is None:
+        if left.isStreaming or right.isStreaming:
+            split_outer = False
+        elif split_outer is None:
             split_outer = (keep_left and not _is_small(right)) or (keep_right and not _is_small(left))
         if split_outer and (keep_left or keep_right):
             joined = _inner_and_rest(left, right, left_key, right_key, keep_left, keep_right)
@@ -123,7 +125,5 @@ def _nulls(df: DataFrame) -> list[Column]:
 
 def _is_small(df: DataFrame) -> bool:
     """Whether the optimizer's estimate, never below the files' size before filters, is small."""
-    if df.isStreaming:
-        return True
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(estimate)) <= SMALL_SIDE_BYTES

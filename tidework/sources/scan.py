@@ -42,27 +42,27 @@ def scan_many(
 
 
 def presence(catalog: Catalog, tables: Sequence[str], start: str, end: str) -> DataFrame:
-    """``table_name, position, n_rows, has_data`` per table, counted in one job.
-
-    Every table adds a marker row worth nothing, so that tables without rows stay.
-    """
-    if not tables:
-        return catalog.spark.createDataFrame([], "table_name string, position int, n_rows bigint, has_data boolean")
-    names = [(name, position, 0) for position, name in enumerate(tables)]
-    parts = [catalog.spark.createDataFrame(names, "table_name string, position int, one bigint")]
-    for name, position, _ in names:
-        rows = scan_range(catalog.table(name), start, end, catalog.time_column(name))
-        parts.append(
-            rows.select(
-                F.lit(name).alias("table_name"),
-                F.lit(position).alias("position"),
-                F.lit(1).cast("bigint").alias("one"),
-            )
-        )
-    counts = reduce(DataFrame.union, parts).groupBy("table_name", "position").agg(F.sum("one").alias("n_rows"))
-    return counts.withColumn("has_data", F.col("n_rows") > 0)
+    """``table_name, position, n_rows, has_data`` per table, in one job."""
+    frames = [scan_range(catalog.table(name), start, end, catalog.time_column(name)) for name in tables]
+    return _count(catalog, tables, frames).withColumn("has_data", F.col("n_rows") > 0)
 
 
 def shape(df: DataFrame) -> DataFrame:
     """One row: ``n_rows, n_columns``."""
     return df.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_columns", F.lit(len(df.columns)))
+
+
+def shapes(catalog: Catalog, tables: Sequence[str]) -> DataFrame:
+    """``table_name, position, n_rows, n_columns`` per table, in one job."""
+    frames = [catalog.table(name) for name in tables]
+    widths = F.array(*[F.lit(len(df.columns)) for df in frames])
+    return _count(catalog, tables, frames).withColumn("n_columns", F.get(widths, F.col("position")))
+
+
+def _count(catalog: Catalog, tables: Sequence[str], frames: Sequence[DataFrame]) -> DataFrame:
+    """Rows per frame by one aggregate over all; a marker worth nothing keeps the empty ones."""
+    markers = [(name, position, 0) for position, name in enumerate(tables)]
+    parts = [catalog.spark.createDataFrame(markers, "table_name string, position int, one bigint")]
+    for (name, position, _), df in zip(markers, frames):
+        parts.append(df.select(F.lit(name), F.lit(position), F.lit(1).cast("bigint")))
+    return reduce(DataFrame.union, parts).groupBy("table_name", "position").agg(F.sum("one").alias("n_rows"))
