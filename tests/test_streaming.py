@@ -1,0 +1,81 @@
+import pytest
+
+from tests.conftest import DATA
+from tidework import (
+    BasicQuery,
+    Catalog,
+    Condition,
+    Join,
+    Plot,
+    Sql,
+    Table,
+    Workflow,
+    append_available,
+    basic_to_df,
+    in_order,
+    join_on,
+    run_box,
+    scan_range,
+    series,
+)
+
+START, END = "2024-01-02T00:00:00Z", "2024-01-29T00:00:00Z"
+
+
+@pytest.fixture()
+def catalog(spark, tmp_path):
+    """Events in a folder that can grow."""
+    path = f"{tmp_path}/events.parquet"
+    spark.read.parquet(f"{DATA}/events.parquet").where("event_id < 6000").write.parquet(path)
+    return Catalog(spark, {"events": path}, {"events": "ts"})
+
+
+def steps(df):
+    rows = scan_range(df, START, END, "ts")
+    return series(basic_to_df(BasicQuery((), (Condition("event_type", "=", "click"),)), rows), "event_id", "value")
+
+
+def rows(df):
+    return sorted(map(str, df.collect()))
+
+
+def test_a_stream_gives_the_rows_of_the_batch(spark, catalog, tmp_path):
+    out, checkpoint = f"{tmp_path}/out", f"{tmp_path}/checkpoint"
+    append_available(steps(catalog.stream("events")), out, checkpoint).awaitTermination()
+    assert rows(spark.read.parquet(out)) == rows(steps(catalog.table("events")))
+
+    # A second run takes only the new files.
+    more = spark.read.parquet(f"{DATA}/events.parquet").where("event_id >= 6000")
+    more.write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    append_available(steps(catalog.stream("events")), out, checkpoint).awaitTermination()
+    assert rows(spark.read.parquet(out)) == rows(steps(spark.read.parquet(f"{DATA}/events.parquet")))
+
+
+def test_a_workflow_on_streams(spark, catalog, tmp_path):
+    workflow = Workflow.of(
+        rows=Table("events", START, END),
+        clicks=Sql("rows", "advanced", advancedSQL="SELECT ts AS time, event_id, value FROM df WHERE value > 20"),
+        line=Plot("clicks", "time", "value", ("event_id",)),
+    )
+    stream = run_box(workflow, catalog, "line", streaming=True)
+    assert stream.isStreaming
+    append_available(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(run_box(workflow, catalog, "line"))
+
+
+def test_join_with_a_table(spark, catalog, tmp_path):
+    customer = spark.read.parquet(f"{DATA}/customer.parquet")
+
+    def joined(events, how):
+        return join_on(events, customer, "user_id", "c_custkey", how, sort=False)
+
+    for how in ("inner", "left"):
+        out = f"{tmp_path}/{how}"
+        append_available(joined(catalog.stream("events"), how), out, f"{out}-checkpoint").awaitTermination()
+        assert rows(spark.read.parquet(out)) == rows(joined(catalog.table("events"), how))
+
+
+def test_what_streams_cannot_do(catalog):
+    with pytest.raises(ValueError, match="no global order"):
+        in_order(catalog.stream("events"), "ts")
+    assert Join().parents == (None, None)

@@ -1,0 +1,176 @@
+import copy
+import json
+
+import pytest
+from pyspark import StorageLevel
+from pyspark.sql import functions as F
+
+from checks.steps import SAVED_WORKFLOW
+from tests.conftest import DATA
+from tidework import (
+    BasicQuery,
+    Catalog,
+    Condition,
+    Join,
+    Plot,
+    Sql,
+    Table,
+    Tables,
+    Workflow,
+    basic_to_df,
+    epoch_columns,
+    join_on,
+    run_box,
+    run_workflow,
+    scan_range,
+    series,
+    transform,
+)
+
+START, END = "2024-01-02T00:00:00Z", "2024-01-29T00:00:00Z"
+
+
+@pytest.fixture(scope="module")
+def catalog(spark):
+    return Catalog.from_folder(spark, DATA, {"events": "ts", "orders": "o_orderdate", "lineitem": "l_shipdate"})
+
+
+@pytest.fixture(scope="module")
+def telemetry_catalog(spark, telemetry, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("telemetry") / "batteries.parquet")
+    telemetry.write.parquet(path)
+    return Catalog(spark, {"batteries": path})
+
+
+def same_rows(a, b):
+    return a.schema.names == b.schema.names and sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_saved_workflow(catalog):
+    workflow = Workflow.load(json.dumps(SAVED_WORKFLOW))
+    frames = run_workflow(workflow, catalog)
+    order = list(frames)
+    assert set(order) == set(workflow.boxes)
+    for box in workflow.boxes.values():
+        for parent in box.args.parents:
+            assert order.index(parent) < order.index(box.id)
+    assert frames["box-1"].columns == ["table_name"]
+
+    events = epoch_columns(scan_range(catalog.table("events"), START, END, "ts"), "ts")
+    bought = basic_to_df(
+        BasicQuery(("ts", "user_id", "value"), (Condition("event_type", "=", "purchase"), Condition("value", ">", "5"))),
+        events,
+    )
+    orders = scan_range(catalog.table("orders"), "1995-01-01T00:00:00Z", "2005-01-01T00:00:00Z", "o_orderdate")
+    buyers = transform(orders, SAVED_WORKFLOW["boxes"][3]["runArgs"]["advancedSQL"])
+    joined = join_on(bought, buyers, "user_id", "custkey", "left")
+    daily = transform(joined, SAVED_WORKFLOW["boxes"][1]["runArgs"]["advancedSQL"])
+    assert same_rows(frames["box-3"], bought)
+    assert same_rows(frames["box-5"], joined)
+    assert same_rows(frames["box-7"], series(daily, "time", "total", "n"))
+
+
+def test_everything_is_one_plan(catalog, plan):
+    text = plan(run_box(Workflow.load(SAVED_WORKFLOW), catalog, "box-7"), run=False)
+    assert "EqualTo(event_type,purchase)" in text and "GreaterThan(value,5.0)" in text
+    assert "GreaterThanOrEqual(ts,2024-01-02T00:00)" in text
+    assert "props" not in text and "rangepartitioning" not in text
+
+
+def test_python_form_equals_saved_form(catalog):
+    args = {box["id"]: box["runArgs"] for box in SAVED_WORKFLOW["boxes"]}
+    built = Workflow.of(
+        **{
+            "box-1": Tables(),
+            "box-2": Table(**args["box-2"]),
+            "box-3": Sql(**{**args["box-3"], "additionalWhere": tuple(args["box-3"]["additionalWhere"])}),
+        }
+    )
+    loaded = Workflow.load(SAVED_WORKFLOW)
+    for box_id, box in built.boxes.items():
+        assert loaded.boxes[box_id].args == box.args
+
+
+def test_missing_values_of_a_saved_box_take_their_defaults():
+    saved = {
+        "boxes": [
+            {"id": "s", "type": "sql", "runArgs": {"parent": "t", "sqlMode": "", "whereOperator": None}},
+            {"id": "j", "type": "join", "runArgs": {"joinType": "", "leftParent": "s", "rightParent": "s"}},
+        ]
+    }
+    boxes = Workflow.load(saved).boxes
+    assert boxes["s"].args.is_basic and boxes["s"].args.whereOperator == "="
+    assert boxes["j"].args.joinType == "Left Join"
+
+
+def test_only_needed_boxes_are_built(catalog):
+    spec = copy.deepcopy(SAVED_WORKFLOW)
+    spec["boxes"][0]["runArgs"]["xField"] = "nothing"
+    workflow = Workflow.load(spec)
+    assert list(run_workflow(workflow, catalog, ["box-3"])) == ["box-1", "box-2", "box-3"]
+    with pytest.raises(ValueError, match="box 'box-7': no column 'nothing'"):
+        run_workflow(workflow, catalog)
+
+
+@pytest.mark.parametrize(
+    "boxes, message",
+    [
+        ({"a": Sql("b"), "b": Sql("a")}, "wait for each other"),
+        ({"a": Sql("a")}, "wait for each other"),
+        ({"a": Sql("nowhere")}, "needs 'nowhere'"),
+        ({"a": Sql()}, "needs None"),
+        ({"a": Table("events", START, END, "nowhere")}, "needs 'nowhere'"),
+        ({"a": Table("", START, END)}, "choose a table"),
+        ({"a": Table("nothing", START, END)}, "no table"),
+        ({"a": Table("events")}, "is no time"),
+        ({"a": Table("events", START, END), "b": Sql("a", selectClause="x")}, "box 'b': no column 'x'"),
+        ({"a": Table("events", START, END), "b": Sql("a", whereClause="x", whereValue="1")}, "no column 'x'"),
+        ({"a": Table("events", START, END), "b": Sql("a", "advanced")}, "SQL text is empty"),
+        ({"a": Table("events", START, END), "b": Plot("a", "ts")}, "needs an x column"),
+        ({"a": Table("events", START, END), "b": Join("a", "a", "x", "ts")}, "no column 'x'"),
+        ({"a": Table("events", START, END), "b": Join("a", None, "ts", "ts")}, "needs None"),
+    ],
+)
+def test_wrong_workflows(catalog, boxes, message):
+    with pytest.raises(ValueError, match=message):
+        run_workflow(Workflow.of(**boxes), catalog)
+
+
+def test_wrong_files():
+    with pytest.raises(ValueError, match="two boxes"):
+        Workflow.load({"boxes": [{"id": "a", "type": "sql"}, {"id": "a", "type": "sql"}]})
+    with pytest.raises(ValueError, match="unknown type"):
+        Workflow.load({"boxes": [{"id": "a", "type": "chart", "runArgs": {"parent": "b"}}]})
+
+
+def test_order_of_results(catalog, telemetry_catalog):
+    workflow = Workflow.of(
+        rows=Table("batteries", "2024-07-25T16:47:00Z", "2024-07-25T16:47:10Z"),
+        some=Sql("rows", selectClause="time, cycles", whereClause="cycles", whereOperator=">", whereValue="0"),
+        both=Join("rows", "some", "cycles", "cycles", "Outer Join"),
+        line=Plot("both", "time", "voltage", ("time_right",)),
+    )
+    frames = run_workflow(workflow, telemetry_catalog)
+    assert frames["rows"].columns[-2:] == ["time_ns", "time_s"]
+    for box_id in ("rows", "some", "both"):
+        times = [r.time for r in frames[box_id].collect()]
+        assert times == sorted(times) and len(times) in (5, 7)
+    points = [r.x for r in frames["line"].where("label = 'voltage'").collect()]
+    assert len(points) == 7 and points == sorted(points)
+
+
+def test_shared_boxes_can_be_persisted(catalog):
+    workflow = Workflow.of(
+        rows=Table("events", START, END),
+        clicks=Sql("rows", whereClause="event_type", whereValue="click"),
+        views=Sql("rows", whereClause="event_type", whereValue="view"),
+        both=Join("clicks", "views", "event_id", "event_id", "Outer Join"),
+    )
+    assert workflow.shared() == ["rows"]
+    plain = run_box(workflow, catalog, "both")
+    kept = run_workflow(workflow, catalog, persist_shared=StorageLevel.MEMORY_AND_DISK)["both"]
+    assert "InMemoryTableScan" in kept._jdf.queryExecution().executedPlan().toString()
+    assert plain.agg(F.count("event_id"), F.count("event_id_right")).first() == (
+        kept.agg(F.count("event_id"), F.count("event_id_right")).first()
+    )
+    catalog.spark.catalog.clearCache()
