@@ -387,7 +387,7 @@ for _name, _how, _sql in (
 ):
     STEPS.add(_name, _events_and_customers(_sql))(_join_events_customers(_how))
 for _how, _sql in (("left", "LEFT"), ("right", "RIGHT"), ("outer", "FULL")):
-    STEPS.add(f"join_{_how}_split", _events_and_customers(_sql))(_join_events_customers(_how, split_outer=True))
+    STEPS.add(f"join_{_how}_salted", _events_and_customers(_sql))(_join_events_customers(_how, salt=True))
 
 STEPS.add(
     "join_no_fill",

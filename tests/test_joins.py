@@ -126,54 +126,73 @@ def test_semi_join_shuffles_each_right_key_once(table, plan):
     assert "partial_" not in text and text.count("HashAggregate(keys=[__key") == 2
 
 
-def test_outer_joins_over_large_inputs_are_split(table, plan, monkeypatch):
+def test_outer_joins_over_large_inputs_are_salted(table, plan, monkeypatch):
     events, customer = table("events"), table("customer")
     whole = join_on(events, customer, "user_id", "c_custkey", "outer", sort=False)
-    assert "FullOuter" in plan(whole, run=False)
+    assert "__left" not in plan(whole, run=False)
     monkeypatch.setattr("tidework.operators.joins.SMALL_SIDE_BYTES", 1000)
-    split = join_on(events, customer, "user_id", "c_custkey", "outer", sort=False)
-    text = plan(split, run=False)
-    assert "FullOuter" not in text and "LeftAnti" in text and "Union" in text
-    assert split.schema.names == whole.schema.names
-    assert sorted(map(str, split.collect())) == sorted(map(str, whole.collect()))
-    assert "Union" not in plan(join_on(events, customer, "user_id", "c_custkey", "inner", sort=False), run=False)
-
-
-def test_a_frequent_key_is_spread_over_tasks(spark):
-    """A third of the right rows share one key: the split form of a left join lets adaptive execution cut it."""
+    salted = join_on(events, customer, "user_id", "c_custkey", "outer", sort=False)
+    assert "__left" in plan(salted, run=False)
+    assert salted.schema.names == whole.schema.names
+    assert sorted(map(str, salted.collect())) == sorted(map(str, whole.collect()))
+    # Adaptive execution splits an inner join by itself, and the kept side of a left join.
+    for how in ("inner", "semi"):
+        assert "__left" not in plan(join_on(events, customer, "user_id", "c_custkey", how, sort=False), run=False)
+    left_join = plan(join_on(events, customer, "user_id", "c_custkey", "left", sort=False), run=False)
+    assert "__right_copies" in left_join and "__left_copies" not in left_join
+
+
+@pytest.fixture()
+def shuffled(spark):
+    """Twenty plain shuffle partitions: no broadcast, no partition merged or cut at run time."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
-        "spark.sql.shuffle.partitions": "20",
+        "spark.sql.adaptive.skewJoin.enabled": "false",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "20",
     }
     old = {key: spark.conf.get(key, None) for key in settings}
     for key, value in settings.items():
         spark.conf.set(key, value)
-    try:
-        hot = spark.range(0, 60_000, 1, 16).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
-        few = spark.range(0, 20, 1, 4).selectExpr("id AS k", "id AS w")
-        split = join_on(few, hot, "k", "k", "left", sort=False, split_outer=True)
-        split.collect()
-        assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
-        whole = join_on(few, hot, "k", "k", "left", sort=False, split_outer=False)
-        assert split.agg(F.sum("w"), F.sum("v_right"), F.count("*")).first() == (
-            whole.agg(F.sum("w"), F.sum("v_right"), F.count("*")).first()
-        )
-    finally:
-        for key, value in old.items():
-            spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+    yield
+    for key, value in old.items():
+        spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
+
+
+def largest_task(df):
+    return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+
+@pytest.mark.parametrize("how", ["left", "right", "outer"])
+def test_a_key_with_a_third_of_all_rows_is_spread_over_tasks(spark, shuffled, how):
+    hot = spark.range(0, 60_000, 1, 40).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS k", "id AS v")
+    few = spark.range(0, 20, 1, 4).selectExpr("id AS k", "id AS w")
+    sides = (hot, few) if how == "right" else (few, hot)
+    salted, whole = (join_on(*sides, "k", "k", how, sort=False, salt=salt) for salt in (True, False))
+    checks = [F.count("*"), *[F.sum(name) for name in salted.columns]]
+    assert salted.agg(*checks).first() == whole.agg(*checks).first()
+    assert largest_task(whole) > 20_000
+    assert largest_task(salted) < 10_000
+
+
+def test_null_keys_of_a_full_join_are_spread_over_tasks(spark, shuffled):
+    rows = spark.range(0, 60_000, 1, 40).selectExpr("CASE WHEN id % 3 > 0 THEN id END AS k", "id AS v")
+    few = spark.range(0, 20, 1, 4).selectExpr("id AS k", "id AS w")
+    salted, whole = (join_on(rows, few, "k", "k", "outer", sort=False, salt=salt) for salt in (True, False))
+    checks = [F.count("*"), *[F.sum(name) for name in salted.columns]]
+    assert salted.agg(*checks).first() == whole.agg(*checks).first()
+    assert largest_task(whole) > 20_000
+    assert largest_task(salted) < 10_000
 
 
 _KEYS = st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=8)
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(_KEYS, _KEYS, st.sampled_from(["left", "right", "outer"]))
-def test_split_and_whole_outer_joins_agree_with_plain_python(spark, a, b, how):
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(_KEYS, _KEYS, st.sampled_from(["left", "right", "outer"]), st.integers(0, 30))
+def test_salted_and_plain_outer_joins_agree_with_plain_python(spark, a, b, how, frequent):
+    a, b = a + [1] * frequent, b + [1] * (frequent // 3) + [2] * (frequent // 2)
     left = spark.createDataFrame([(k, f"l{i}") for i, k in enumerate(a)], "k int, s string")
     right = spark.createDataFrame([(k, f"r{i}") for i, k in enumerate(b)], "k int, s string")
     want = [(x, f"l{i}", y, f"r{j}") for i, x in enumerate(a) for j, y in enumerate(b) if x is not None and x == y]
@@ -181,6 +200,6 @@ def test_split_and_whole_outer_joins_agree_with_plain_python(spark, a, b, how):
         want += [(x, f"l{i}", None, "NaN") for i, x in enumerate(a) if x is None or x not in b]
     if how in ("right", "outer"):
         want += [(None, "NaN", y, f"r{j}") for j, y in enumerate(b) if y is None or y not in a]
-    for split in (True, False):
-        got = join_on(left, right, "k", "k", how, split_outer=split)
+    for salt in (True, False):
+        got = join_on(left, right, "k", "k", how, salt=salt)
         assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))

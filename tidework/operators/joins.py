@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidework.functions.names import col, find_field, quote
@@ -40,7 +38,7 @@ def join_on(
     sort: bool = True,
     time: str = "time",
     suffix: str = "_right",
-    split_outer: bool | None = None,
+    salt: bool | None = None,
 ) -> DataFrame:
     """Join on ``left_on = right_on``; NULL keys never match.
 
@@ -50,11 +48,10 @@ def join_on(
     * The result is sorted by `time` if it has such a column.
 
     Adaptive execution splits frequent keys of both sides of an inner join, but
-    only of the kept side of an outer join and of no side of a full one.
-    `split_outer` writes an outer join as the inner join plus the rows without a
-    partner, which can be split on every side. By default that is done as soon
-    as a side that could not be split is larger than adaptive execution would
-    call skewed; below that one task can hold it.
+    only of the kept side of an outer join and of no side of a full one. `salt`
+    spreads the frequent keys of the other sides as well. By default that is
+    done as soon as such a side is larger than adaptive execution would call
+    skewed; below that one task can hold it.
     """
     how = JOIN_NAMES.get(how, how)
     kind = how.lower().replace("_", "")
@@ -71,11 +68,11 @@ def join_on(
         right_key = names[right_key]
         keep_left, keep_right = kind in _LEFT | _FULL, kind in _RIGHT | _FULL
         if left.isStreaming or right.isStreaming:
-            split_outer = False
-        elif split_outer is None:
-            split_outer = (keep_left and not _is_small(right)) or (keep_right and not _is_small(left))
-        if split_outer and (keep_left or keep_right):
-            joined = _inner_and_rest(left, right, left_key, right_key, keep_left, keep_right)
+            salt = False
+        elif salt is None:
+            salt = (keep_left and not _is_small(right)) or (keep_right and not _is_small(left))
+        if salt and (keep_left or keep_right):
+            joined = _salted_join(left, right, left_key, right_key, how, keep_left, keep_right)
         else:
             joined = left.join(right, left[quote(left_key)] == right[quote(right_key)], how)
 
@@ -99,28 +96,63 @@ def joined_names(left: list[str], right: list[str], right_key: str, suffix: str
     return names
 
 
-def _inner_and_rest(
-    left: DataFrame, right: DataFrame, left_key: str, right_key: str, keep_left: bool, keep_right: bool
+def _salted_join(
+    left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, keep_left: bool, keep_right: bool
 ) -> DataFrame:
-    a, b = quote(left_key), quote(right_key)
-    parts = [left.join(right, left[a] == right[b], "inner")]
+    """An outer join whose frequent keys are cut into pieces.
+
+    The rows of a frequent key get the number of their piece; the other side's
+    rows of that key are copied to every piece, so that each pair meets in just
+    one. A copy may find its piece empty, but never all pieces, as the key is
+    frequent there: a copied row without a partner is therefore dropped, and a
+    row that was not copied is kept as in any outer join.
+    """
+    names = [*left.columns, *right.columns]
+    hot_right = _hot_keys(right, right_key) if keep_left else None
+    hot_left = _hot_keys(left, left_key) if keep_right else None
+    left = _cut_and_copy(left, left_key, hot_left, hot_right, "__left", "__right")
+    right = _cut_and_copy(right, right_key, hot_right, hot_left, "__right", "__left")
+    meets = left[quote(left_key)] == right[quote(right_key)]
+    joined = left.join(right, meets & (left["__left"] == right["__left"]) & (left["__right"] == right["__right"]), how)
     if keep_left:
-        keys = right.select(col(right_key).alias("__key")).distinct()
-        alone = left.join(keys, left[a] == keys["__key"], "left_anti")
-        parts.append(alone.select(*_columns(left), *_nulls(right)))
+        joined = joined.where(right["__right"].isNotNull() | (left["__right_copies"] == 1))
     if keep_right:
-        keys = left.select(col(left_key).alias("__key")).distinct()
-        alone = right.join(keys, right[b] == keys["__key"], "left_anti")
-        parts.append(alone.select(*_nulls(left), *_columns(right)))
-    return reduce(DataFrame.union, parts)
+        joined = joined.where(left["__left"].isNotNull() | (right["__left_copies"] == 1))
+    return joined.select(*[col(name) for name in names])
 
 
-def _columns(df: DataFrame) -> list[Column]:
-    return [col(name) for name in df.columns]
+def _hot_keys(df: DataFrame, key: str) -> DataFrame:
+    """``__key, __pieces`` for the keys with more rows than an even shuffle partition.
+
+    With n partitions these are less than n keys, so the frame is always small enough to broadcast.
+    """
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(col(key).alias("__key")).where("__key IS NOT NULL")
+    counts = keys.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
+    rows = counts.agg(F.sum("n")).scalar()
+    pieces = F.ceil(F.col("n") * F.lit(partitions) / rows).cast("int")
+    return counts.select("__key", pieces.alias("__pieces")).where("__pieces > 1")
 
 
-def _nulls(df: DataFrame) -> list[Column]:
-    return [F.lit(None).cast(field.dataType).alias(field.name) for field in df.schema.fields]
+def _cut_and_copy(
+    df: DataFrame, key: str, own: DataFrame | None, other: DataFrame | None, piece: str, copy: str
+) -> DataFrame:
+    """Add the piece a row belongs to by its side's hot keys, and copy it to the pieces of the other's."""
+    columns = [col(name) for name in df.columns]
+    cut, copies = F.lit(0), F.lit(1)
+    if own is not None:
+        pieces = own.toDF("__own_key", "__own_pieces")
+        df = df.join(F.broadcast(pieces), df[quote(key)] == pieces["__own_key"], "left")
+        # The input split stays the same if a lost task is run again. NULL keys meet nobody
+        # and may go anywhere.
+        split = F.spark_partition_id()
+        cut = F.when(col(key).isNull(), split).otherwise(F.pmod(split, F.coalesce("__own_pieces", F.lit(1))))
+    if other is not None:
+        pieces = other.toDF("__other_key", "__other_pieces")
+        df = df.join(F.broadcast(pieces), df[quote(key)] == pieces["__other_key"], "left")
+        copies = F.coalesce("__other_pieces", F.lit(1))
+    df = df.select(*columns, cut.alias(piece), copies.alias(f"{copy}_copies"))
+    return df.withColumn(copy, F.explode(F.sequence(F.lit(0), col(f"{copy}_copies") - 1)) if other is not None else F.lit(0))
 
 
 def _is_small(df: DataFrame) -> bool:
