@@ -256,6 +256,35 @@ def json_rows_roundtrip(spark, folder):
     return from_json_rows(to_json_rows(events), events.columns)
 
 
+@STEPS.add(
+    "json_rows_out",
+    """
+    SELECT concat('{"event_id":', event_id, ',"ts":"', strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '","user_id":', user_id,
+                  ',"event_type":"', event_type, '","value":', value, ',"props":"', replace(props, '"', '\\"'), '"}') AS value
+    FROM events
+    """,
+)
+def json_rows_out(spark, folder):
+    return to_json_rows(read(spark, folder, "events"))
+
+
+@STEPS.add(
+    "json_rows_sql",
+    """
+    SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, max(CAST(user_id AS VARCHAR)) AS last_user
+    FROM events GROUP BY event_type
+    """,
+)
+def json_rows_sql(spark, folder):
+    events = read(spark, folder, "events")
+    rows = from_json_rows(to_json_rows(events), events.columns)
+    text = (
+        "SELECT event_type, count(*) AS n, round(sum(cast(value AS double)), 2) AS total, max(user_id) AS last_user "
+        "FROM data GROUP BY event_type"
+    )
+    return transform(rows, text, view="data")
+
+
 @STEPS.add("json_rows_keys_found", _EVENTS_AS_TEXT)
 def json_rows_keys_found(spark, folder):
     return from_json_rows(to_json_rows(read(spark, folder, "events")))

@@ -69,6 +69,20 @@ def test_range_reaches_the_files(table, plan):
     assert "LessThanOrEqual(ts,2024-01-03T00:00)" in pushed
 
 
+def test_a_table_laid_out_by_day_is_pruned(spark, table, plan, tmp_path):
+    path = f"{tmp_path}/events.parquet"
+    table("events").withColumn("day", F.to_date("ts")).write.partitionBy("day").parquet(path)
+    found = Catalog.from_folder(spark, str(tmp_path), {"events": "ts"}, {"events": "day"})
+    rows = found.scan("events", "2024-01-02T06:00:00Z", "2024-01-04T05:00:00+02:00")
+    wanted = scan_range(table("events"), "2024-01-02T06:00:00Z", "2024-01-04T03:00:00Z", "ts")
+    assert sorted(map(str, rows.drop("day").collect())) == sorted(map(str, wanted.collect()))
+    assert {str(r.day) for r in rows.select("day").distinct().collect()} == {"2024-01-02", "2024-01-03", "2024-01-04"}
+    text = plan(rows, run=False)
+    assert "(day#" in text.split("PartitionFilters: [", 1)[1].split("]", 1)[0]
+    assert len(rows.inputFiles()) >= 3
+    assert presence(found, ["events"], "2024-01-02T06:00:00Z", "2024-01-04T03:00:00Z").first().n_rows == rows.count()
+
+
 def test_empty_range_keeps_the_schema(telemetry):
     empty = scan_range(telemetry, "2030-01-01T00:00:00Z", "2031-01-01T00:00:00Z")
     assert empty.count() == 0 and empty.schema == telemetry.schema
@@ -156,12 +170,16 @@ def test_epoch_columns(spark):
         epoch_columns(spark.sql("SELECT 1 AS time"))
 
 
-def test_times_without_zone_need_a_utc_session(spark):
-    rows = spark.sql("SELECT TIMESTAMP_NTZ'2024-01-01 00:00:00' AS time")
-    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_without_zone_are_utc_in_any_session(spark, zone):
+    # 02:30 does not exist in New York that day, 01:30 exists twice in November.
+    rows = spark.sql(
+        "SELECT * FROM VALUES (TIMESTAMP_NTZ'2024-03-10 02:30:00.000001'), (TIMESTAMP_NTZ'2024-11-03 01:30:00') AS t(time)"
+    )
+    spark.conf.set("spark.sql.session.timeZone", zone)
     try:
-        with pytest.raises(ValueError, match="UTC"):
-            epoch_columns(rows)
+        assert [r.time_ns for r in epoch_columns(rows).collect()] == [1710037800000001000, 1730597400000000000]
+        assert epoch_columns(rows.select(F.to_date("time").alias("day")), "day").first().day_s == 1710028800
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 

@@ -57,7 +57,7 @@ def test_a_workflow_on_streams(spark, catalog, tmp_path):
         clicks=Sql("rows", "advanced", advancedSQL="SELECT ts AS time, event_id, value FROM df WHERE value > 20"),
         line=Plot("clicks", "time", "value", ("event_id",)),
     )
-    stream = run_box(workflow, catalog, "line", streaming=True)
+    stream = run_box(workflow, catalog, "line", streams={"events"})
     assert stream.isStreaming
     append_available(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
     assert rows(spark.read.parquet(f"{tmp_path}/out")) == rows(run_box(workflow, catalog, "line"))

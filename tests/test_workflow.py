@@ -174,3 +174,17 @@ def test_shared_boxes_can_be_persisted(catalog):
         kept.agg(F.count("event_id"), F.count("event_id_right")).first()
     )
     catalog.spark.catalog.clearCache()
+
+
+def test_a_box_that_fails_need_not_stop_the_others(catalog):
+    workflow = Workflow.of(
+        rows=Table("events", START, END),
+        bad=Sql("rows", "advanced", advancedSQL="SELECT nothing FROM df"),
+        worse=Plot("bad", "ts", "value"),
+        good=Sql("rows", selectClause="event_id"),
+    )
+    errors = {}
+    assert set(run_workflow(workflow, catalog, errors=errors)) == {"rows", "good"}
+    assert set(errors) == {"bad", "worse"} and "'bad' failed" in str(errors["worse"])
+    with pytest.raises(ValueError, match="box 'bad'"):
+        run_workflow(workflow, catalog)

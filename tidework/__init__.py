@@ -12,10 +12,10 @@ from tidework.plans.spec import Box, Join, Plot, Sql, Table, Tables, Workflow
 from tidework.plans.workbench import Datasets, Workbench
 from tidework.plans.workflow import run_box, run_workflow
 from tidework.session import build_session, work_path
-from tidework.sources.catalog import Catalog, describe, time_tags_fields
+from tidework.sources.catalog import Catalog, describe, scan_range, time_tags_fields
 from tidework.sources.export import read_csv, write_csv
 from tidework.sources.rows import from_json_rows, read_json_rows, request_rows, to_json_rows
-from tidework.sources.scan import presence, scan_many, scan_ordered, scan_range, shape, shapes
+from tidework.sources.scan import presence, scan_many, scan_ordered, shape, shapes
 from tidework.streaming.flow import append_available
 
 __all__ = [name for name in dir() if not name.startswith("_")]

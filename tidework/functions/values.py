@@ -5,7 +5,7 @@ All are built-in Spark expressions, so they stay in generated code.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,19 +23,18 @@ def _nan() -> Column:
 
 
 def as_instant(df: DataFrame, name: str) -> Column:
-    """The time column as TIMESTAMP. Times without a zone are UTC, which the session must share."""
+    """The time column as TIMESTAMP; times without a zone are UTC, whatever the session's zone is."""
     field = find_field(df, name)
+    value = col(field.name)
+    if isinstance(field.dataType, T.TimestampType):
+        return value
     if not isinstance(field.dataType, _TIMES):
         raise ValueError(f"column {name!r} is no time column")
-    if not isinstance(field.dataType, T.TimestampType):
-        _require_utc(df.sparkSession)
-    return col(field.name).cast("timestamp")
-
-
-def _require_utc(spark: SparkSession) -> None:
-    zone = spark.conf.get("spark.sql.session.timeZone")
-    if zone not in _UTC_NAMES:
-        raise ValueError(f"times without a zone are UTC; set spark.sql.session.timeZone to UTC, not {zone}")
+    if df.sparkSession.conf.get("spark.sql.session.timeZone") in _UTC_NAMES:
+        return value.cast("timestamp")
+    local = value.cast("timestamp_ntz")
+    parts = [F.year(local), F.month(local), F.day(local), F.hour(local), F.minute(local)]
+    return F.make_timestamp(*parts, F.extract(F.lit("SECOND"), local), F.lit("UTC"))
 
 
 def epoch_columns(df: DataFrame, time: str = "time") -> DataFrame:

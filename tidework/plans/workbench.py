@@ -15,7 +15,6 @@ from tidework.operators.preview import preview
 from tidework.operators.transform import transform, transform_rows
 from tidework.sources.catalog import Catalog
 from tidework.sources.rows import request_rows
-from tidework.sources.scan import scan_range
 
 
 class Datasets:
@@ -54,7 +53,7 @@ class Workbench:
 
     def query_table(self, table: str, start_time: str, end_time: str, limit: int | None = None) -> dict:
         time = self.catalog.time_column(table)
-        rows = epoch_columns(scan_range(self.catalog.table(table), start_time, end_time, time), time)
+        rows = epoch_columns(self.catalog.scan(table, start_time, end_time), time)
         return self._answer(in_order(rows, time), limit)
 
     def sql_transform(self, parent_dataset_id: str, sql: str, limit: int | None = None) -> dict:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Collection, Iterable
 from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.storagelevel import StorageLevel
 
@@ -16,9 +17,8 @@ from tidework.operators.basic import basic_to_df
 from tidework.operators.joins import join_on
 from tidework.operators.series import series
 from tidework.operators.transform import transform
-from tidework.plans.spec import Join, Plot, Sql, Table, Tables, Workflow
+from tidework.plans.spec import BoxArgs, Join, Plot, Sql, Table, Tables, Workflow
 from tidework.sources.catalog import Catalog
-from tidework.sources.scan import scan_range
 
 
 @dataclass(frozen=True)
@@ -44,31 +44,43 @@ def run_workflow(
     catalog: Catalog,
     targets: Iterable[str] | None = None,
     *,
-    streaming: bool = False,
+    streams: Collection[str] = (),
     persist_shared: StorageLevel | None = None,
+    errors: dict[str, Exception] | None = None,
 ) -> dict[str, DataFrame]:
     """A lazy frame per box, in dependency order.
 
-    With `targets`, only these boxes and what they need are built. With
-    `streaming`, tables are read as streams and nothing is sorted. With
-    `persist_shared`, rows of boxes with several children are kept at that level.
+    * `targets`: only these boxes and what they need are built.
+    * `streams`: tables to read as streams; what comes from them is not sorted.
+    * `persist_shared`: rows of boxes with several children are kept at that level.
+    * `errors`: if given, a box that cannot be built is noted here, as is every box
+      that needs it, and the others are built; otherwise the first one raises.
+
+    A cycle or a missing parent always raises.
     """
     shared = set(workflow.shared()) if persist_shared else set()
     steps: dict[str, Step] = {}
     for box_id in _dependency_order(workflow, targets):
+        args = workflow.boxes[box_id].args
         try:
-            step = _build(workflow.boxes[box_id].args, catalog, steps, streaming)
-        except ValueError as error:
-            raise ValueError(f"box {box_id!r}: {error}") from error
+            for parent in args.parents:
+                if parent not in steps:
+                    raise ValueError(f"its parent {parent!r} failed")
+            step = _build(args, catalog, steps, streams)
+        except (ValueError, AnalysisException) as error:
+            if errors is None:
+                raise ValueError(f"box {box_id!r}: {error}") from error
+            errors[box_id] = error
+            continue
         if box_id in shared:
             step = Step(step.rows.persist(persist_shared), step.order)
         steps[box_id] = step
     return {box_id: step.result for box_id, step in steps.items()}
 
 
-def run_box(workflow: Workflow, catalog: Catalog, box_id: str, *, streaming: bool = False) -> DataFrame:
+def run_box(workflow: Workflow, catalog: Catalog, box_id: str, *, streams: Collection[str] = ()) -> DataFrame:
     """One box's frame; of the others only those it needs are built."""
-    return run_workflow(workflow, catalog, [box_id], streaming=streaming)[box_id]
+    return run_workflow(workflow, catalog, [box_id], streams=streams)[box_id]
 
 
 def _dependency_order(workflow: Workflow, targets: Iterable[str] | None) -> list[str]:
@@ -92,7 +104,7 @@ def _dependency_order(workflow: Workflow, targets: Iterable[str] | None) -> list
         raise ValueError(f"boxes wait for each other: {' -> '.join(error.args[1])}") from error
 
 
-def _build(args, catalog: Catalog, steps: dict[str, Step], streaming: bool) -> Step:
+def _build(args: BoxArgs, catalog: Catalog, steps: dict[str, Step], streams: Collection[str]) -> Step:
     match args:
         case Tables():
             return Step(catalog.list_tables())
@@ -100,8 +112,7 @@ def _build(args, catalog: Catalog, steps: dict[str, Step], streaming: bool) -> S
             if not args.table:
                 raise ValueError("choose a table")
             time = catalog.time_column(args.table)
-            source = catalog.stream(args.table) if streaming else catalog.table(args.table)
-            rows = scan_range(source, args.start_time, args.end_time, time)
+            rows = catalog.scan(args.table, args.start_time, args.end_time, stream=args.table in streams)
             return Step(epoch_columns(rows, time), time)
         case Sql():
             parent = steps[args.parent]

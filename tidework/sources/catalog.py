@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidework.functions.literals import NEVER, comparison, parse_instant
 from tidework.functions.names import col, find_field
 
 TIME, TAG, FIELD = "time", "tag", "field"
@@ -38,10 +39,27 @@ def time_tags_fields(df: DataFrame, time: str = "time") -> DataFrame:
     return df.select(*[col(name) for wanted in (TIME, TAG, FIELD) for name, role, _ in roles if role == wanted])
 
 
+def scan_range(df: DataFrame, start: str, end: str, time: str = "time", day: str | None = None) -> DataFrame:
+    """Rows with ``start <= time <= end``; both bounds are ISO text, UTC unless they name a zone.
+
+    `day` names a partition column that holds the UTC date of `time`: its
+    bounds keep Spark from even listing the files of other days.
+    """
+    bounds = [comparison(df, time, ">=", start), comparison(df, time, "<=", end)]
+    for text, bound in zip((start, end), bounds):
+        if bound == NEVER:
+            raise ValueError(f"{text!r} is no time")
+    if day is not None:
+        first, last = (str(parse_instant(text).date()) for text in (start, end))
+        bounds += [comparison(df, day, ">=", first), comparison(df, day, "<=", last)]
+    return df.where(" AND ".join(bounds))
+
+
 class Catalog:
     """Time-series tables of a folder or of a Spark database.
 
-    `time_columns` names the time column of tables where it is not ``time``.
+    `time_columns` names the time column of tables where it is not ``time``,
+    `day_columns` the partition column of tables laid out by UTC date.
     A table's files are listed once, when it is first used.
     """
 
@@ -50,11 +68,13 @@ class Catalog:
         spark: SparkSession,
         locations: Mapping[str, str],
         time_columns: Mapping[str, str] | None = None,
+        day_columns: Mapping[str, str] | None = None,
         file_format: str | None = "parquet",
     ):
         self.spark = spark
         self._locations = dict(locations)
         self._time_columns = dict(time_columns or {})
+        self._day_columns = dict(day_columns or {})
         self._format = file_format
         self._frames: dict[str, DataFrame] = {}
 
@@ -64,6 +84,7 @@ class Catalog:
         spark: SparkSession,
         folder: str,
         time_columns: Mapping[str, str] | None = None,
+        day_columns: Mapping[str, str] | None = None,
         file_format: str = "parquet",
     ) -> Catalog:
         """Each entry ``NAME.<format>`` of the folder, file or directory, is the table NAME."""
@@ -76,15 +97,19 @@ class Catalog:
             path = entry.getPath()
             if path.getName().endswith(suffix):
                 locations[path.getName().removesuffix(suffix)] = path.toString()
-        return cls(spark, locations, time_columns, file_format)
+        return cls(spark, locations, time_columns, day_columns, file_format)
 
     @classmethod
     def from_database(
-        cls, spark: SparkSession, database: str | None = None, time_columns: Mapping[str, str] | None = None
+        cls,
+        spark: SparkSession,
+        database: str | None = None,
+        time_columns: Mapping[str, str] | None = None,
+        day_columns: Mapping[str, str] | None = None,
     ) -> Catalog:
         tables = [t for t in spark.catalog.listTables(database) if not t.isTemporary]
         locations = {t.name: ".".join([*(t.namespace or []), t.name]) for t in tables}
-        return cls(spark, locations, time_columns, None)
+        return cls(spark, locations, time_columns, day_columns, None)
 
     def names(self) -> list[str]:
         return sorted(self._locations)
@@ -112,6 +137,11 @@ class Catalog:
         self._location(name)
         return self._time_columns.get(name, "time")
 
+    def scan(self, name: str, start: str, end: str, stream: bool = False) -> DataFrame:
+        """The table's rows in a closed time range."""
+        rows = self.stream(name) if stream else self.table(name)
+        return scan_range(rows, start, end, self.time_column(name), self._day_columns.get(name))
+
     def describe(self, name: str) -> DataFrame:
         return describe(self.table(name), self.time_column(name))
 

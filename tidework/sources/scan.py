@@ -8,18 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidework.functions.literals import NEVER, comparison
 from tidework.functions.ordering import in_order
-from tidework.sources.catalog import Catalog
-
-
-def scan_range(df: DataFrame, start: str, end: str, time: str = "time") -> DataFrame:
-    """Rows with ``start <= time <= end``; both bounds are ISO text, UTC unless they name a zone."""
-    bounds = [comparison(df, time, ">=", start), comparison(df, time, "<=", end)]
-    for text, bound in zip((start, end), bounds):
-        if bound == NEVER:
-            raise ValueError(f"{text!r} is no time")
-    return df.where(" AND ".join(bounds))
+from tidework.sources.catalog import Catalog, scan_range
 
 
 def scan_ordered(df: DataFrame, start: str, end: str, time: str = "time") -> DataFrame:
@@ -38,12 +28,12 @@ def scan_many(
     if drop_empty:
         with_rows = {row.table_name for row in presence(catalog, tables, start, end).collect() if row.has_data}
         tables = [name for name in tables if name in with_rows]
-    return {name: scan_range(catalog.table(name), start, end, catalog.time_column(name)) for name in tables}
+    return {name: catalog.scan(name, start, end) for name in tables}
 
 
 def presence(catalog: Catalog, tables: Sequence[str], start: str, end: str) -> DataFrame:
     """``table_name, position, n_rows, has_data`` per table, in one job."""
-    frames = [scan_range(catalog.table(name), start, end, catalog.time_column(name)) for name in tables]
+    frames = [catalog.scan(name, start, end) for name in tables]
     return _count(catalog, tables, frames).withColumn("has_data", F.col("n_rows") > 0)
 
 
