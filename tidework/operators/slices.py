@@ -36,32 +36,31 @@ def rows_before(df: DataFrame, time: str = "time") -> DataFrame:
 
     A running sum over a tree of times. The leaves are the distinct times with
     their row counts; a node of each level up holds 2**21 neighbouring ticks of
-    the level below. Every level sums within its own nodes only, and a time's
-    total is the sum along its path to the root, so no task sees all rows and
-    none sees a frequent time more than once.
+    the level below. From the top down, every node's sum starts from the rows
+    before the node, so no task sees all rows and none sees a frequent time
+    more than once.
     """
     ticks = df.select(_ticks(df, time).alias("tick")).where("tick IS NOT NULL")
-    leaves = _level(ticks.groupBy("tick").agg(F.count(F.lit(1)).alias("n")))
-    middle = _level(leaves.groupBy(F.col("parent").alias("tick")).agg(F.sum("n").alias("n")))
+    leaves = ticks.groupBy("tick").agg(F.count(F.lit(1)).alias("n"))
+    middle = leaves.groupBy(_parent("tick").alias("tick")).agg(F.sum("n").alias("n"))
     # 64-bit ticks leave at most 2**22 nodes here, some 60,000 for all dates Spark knows.
-    top = middle.groupBy(F.col("parent").alias("tick")).agg(F.sum("n").alias("n"))
-    before = _sums_before(top, Window.orderBy("tick"))
+    top = middle.groupBy(_parent("tick").alias("tick")).agg(F.sum("n").alias("n"))
+    before = top.select("tick", _sum_before(Window.orderBy("tick")).alias("__before"))
     for level in (middle, leaves):
-        here = _sums_before(level, Window.partitionBy("parent").orderBy("tick"))
-        above = before.select(F.col("tick").alias("parent"), F.col("__before").alias("above"))
-        before = here.join(above, "parent").select("tick", (F.col("__before") + F.col("above")).alias("__before"))
+        # The rows before a node stand in front of its children as one more row without a tick.
+        heads = before.select(F.col("tick").alias("node"), F.lit(None).cast("bigint").alias("tick"), "__before")
+        nodes = level.select(_parent("tick").alias("node"), "tick", "n").union(heads)
+        within = Window.partitionBy("node").orderBy(F.col("tick").asc_nulls_first())
+        before = nodes.select("tick", _sum_before(within).alias("__before")).where("tick IS NOT NULL")
     return before
 
 
-def _level(counts: DataFrame) -> DataFrame:
-    # Ticks are never NULL here. Saying so spares the joins a NULL filter that would make
-    # the levels' inputs differ; as they are equal, Spark counts the ticks once and reuses it.
-    return counts.withColumn("parent", F.coalesce(F.shiftright("tick", _BITS), F.lit(0)))
+def _sum_before(window: Window) -> Column:
+    return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 
-def _sums_before(level: DataFrame, window: Window) -> DataFrame:
-    before = F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1))
-    return level.withColumn("__before", F.coalesce(before, F.lit(0))).drop("n")
+def _parent(tick: str) -> Column:
+    return F.shiftright(tick, _BITS)
 
 
 def _ticks(df: DataFrame, time: str) -> Column:
