@@ -44,3 +44,11 @@ def test_rows_in_the_request(bench):
         {"k": "1", "v": "a", "k_right": "NaN", "w_right": "NaN"},
         {"k": "2", "v": "b", "k_right": "2", "w_right": "c"},
     ]
+
+
+def test_a_step_over_a_table_reaches_the_files(bench, plan):
+    scan = bench.query_table("events", "2024-01-02T00:00:00Z", "2024-01-03T00:00:00Z", limit=1)
+    clicks = bench.sql_transform(scan["dataset_id"], "SELECT value FROM df WHERE event_type = 'click'", limit=1)
+    text = plan(bench.datasets.get(clicks["dataset_id"]), run=False)
+    assert "EqualTo(event_type,click)" in text and "props" not in text and "Exchange" not in text
+    assert "rangepartitioning" in plan(bench.datasets.get(scan["dataset_id"]), run=False)

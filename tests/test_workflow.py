@@ -188,3 +188,16 @@ def test_a_box_that_fails_need_not_stop_the_others(catalog):
     assert set(errors) == {"bad", "worse"} and "'bad' failed" in str(errors["worse"])
     with pytest.raises(ValueError, match="box 'bad'"):
         run_workflow(workflow, catalog)
+
+
+def test_a_limit_takes_the_first_rows_in_time_order(catalog):
+    workflow = Workflow.of(
+        rows=Table("events", "2024-01-20T00:00:00Z", "2024-01-25T00:00:00Z"),
+        first=Sql("rows", "advanced", advancedSQL="SELECT event_id, ts FROM df WHERE event_type = 'click' limit 7"),
+        most=Sql("rows", "advanced", advancedSQL="SELECT user_id, count(*) AS n FROM df GROUP BY 1 ORDER BY n DESC, 1 LIMIT 3"),
+    )
+    frames = run_workflow(workflow, catalog)
+    clicks = sorted(r.ts for r in frames["rows"].where("event_type = 'click'").collect())
+    assert [r.ts for r in frames["first"].collect()] == clicks[:7]
+    # Under an aggregate Spark drops the sort.
+    assert "rangepartitioning" not in frames["most"]._jdf.queryExecution().executedPlan().toString()

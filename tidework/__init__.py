@@ -9,7 +9,8 @@ from tidework.operators.series import series
 from tidework.operators.slices import rows_before, time_slices
 from tidework.operators.transform import transform, transform_rows
 from tidework.plans.spec import Box, Join, Plot, Sql, Table, Tables, Workflow
-from tidework.plans.workbench import Datasets, Workbench
+from tidework.plans.step import Datasets
+from tidework.plans.workbench import Workbench
 from tidework.plans.workflow import run_box, run_workflow
 from tidework.session import build_session, work_path
 from tidework.sources.catalog import Catalog, describe, scan_range, time_tags_fields

@@ -2,44 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
-from tidework.functions.names import find_field
-from tidework.functions.ordering import in_order
 from tidework.functions.values import epoch_columns
 from tidework.operators.joins import join_on
 from tidework.operators.preview import preview
 from tidework.operators.transform import transform, transform_rows
+from tidework.plans.step import Datasets
 from tidework.sources.catalog import Catalog
 from tidework.sources.rows import request_rows
 
 
-class Datasets:
-    """Lazy frames under generated ids."""
-
-    def __init__(self) -> None:
-        self._frames: dict[str, DataFrame] = {}
-
-    def store(self, df: DataFrame) -> str:
-        dataset_id = str(uuid.uuid4())
-        self._frames[dataset_id] = df
-        return dataset_id
-
-    def get(self, dataset_id: str) -> DataFrame:
-        if dataset_id not in self._frames:
-            raise ValueError(f"no dataset {dataset_id!r}")
-        return self._frames[dataset_id]
-
-    def remove(self, dataset_id: str) -> None:
-        self.get(dataset_id)
-        del self._frames[dataset_id]
-
-
 class Workbench:
-    """Requests of the five kinds of steps, answered with ``dataset_id`` and ``preview``.
+    """Requests for tables, scans, SQL steps and joins, answered with ``dataset_id`` and ``preview``.
 
     `limit` bounds the preview only; the stored frame always covers all rows.
     """
@@ -54,10 +31,10 @@ class Workbench:
     def query_table(self, table: str, start_time: str, end_time: str, limit: int | None = None) -> dict:
         time = self.catalog.time_column(table)
         rows = epoch_columns(self.catalog.scan(table, start_time, end_time), time)
-        return self._answer(in_order(rows, time), limit)
+        return self._answer(rows, time, limit)
 
     def sql_transform(self, parent_dataset_id: str, sql: str, limit: int | None = None) -> dict:
-        return self._answer(transform(self.datasets.get(parent_dataset_id), sql), limit)
+        return self._answer(transform(self.datasets.step(parent_dataset_id).rows_for(sql), sql), None, limit)
 
     def sql_join(
         self,
@@ -68,8 +45,9 @@ class Workbench:
         join_type: str,
         limit: int | None = None,
     ) -> dict:
-        left, right = self.datasets.get(left_dataset_id), self.datasets.get(right_dataset_id)
-        return self._answer(join_on(left, right, left_join_column, right_join_column, join_type), limit)
+        left, right = self.datasets.step(left_dataset_id).rows, self.datasets.step(right_dataset_id).rows
+        rows = join_on(left, right, left_join_column, right_join_column, join_type, sort=False)
+        return self._answer(rows, "time" if "time" in rows.columns else None, limit)
 
     def dataset(self, dataset_id: str, limit: int | None = 100) -> dict:
         return preview(self.datasets.get(dataset_id), limit)
@@ -89,9 +67,8 @@ class Workbench:
     ) -> dict:
         """A join of rows sent with the request; nothing is stored."""
         left, right = request_rows(self.catalog.spark, left_data), request_rows(self.catalog.spark, right_data)
-        find_field(left, left_join_column)
-        find_field(right, right_join_column)
         return preview(join_on(left, right, left_join_column, right_join_column, join_type), limit)
 
-    def _answer(self, df: DataFrame, limit: int | None) -> dict:
-        return {"dataset_id": self.datasets.store(df), "preview": preview(df, limit)}
+    def _answer(self, rows: DataFrame, order: str | None, limit: int | None) -> dict:
+        dataset_id = self.datasets.store(rows, order)
+        return {"dataset_id": dataset_id, "preview": self.dataset(dataset_id, limit)}

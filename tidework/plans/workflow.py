@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Collection, Iterable
-from dataclasses import dataclass
 from graphlib import CycleError, TopologicalSorter
 
 from pyspark.errors import AnalysisException
@@ -11,34 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.storagelevel import StorageLevel
 
 from tidework.functions.names import find_field
-from tidework.functions.ordering import in_order
 from tidework.functions.values import epoch_columns
 from tidework.operators.basic import basic_to_df
 from tidework.operators.joins import join_on
 from tidework.operators.series import series
 from tidework.operators.transform import transform
 from tidework.plans.spec import BoxArgs, Join, Plot, Sql, Table, Tables, Workflow
+from tidework.plans.step import Step
 from tidework.sources.catalog import Catalog
 
 
-@dataclass(frozen=True)
-class Step:
-    """A box's rows without order, and the column its result is sorted by.
-
-    Children work on the unordered rows: a sort below a join or an aggregate
-    would cost a shuffle and change nothing.
-    """
-
-    rows: DataFrame
-    order: str | None = None
-
-    @property
-    def result(self) -> DataFrame:
-        if self.order is None or self.rows.isStreaming:
-            return self.rows
-        return in_order(self.rows, self.order)
-
-
 def run_workflow(
     workflow: Workflow,
     catalog: Catalog,
@@ -117,7 +98,7 @@ def _build(args: BoxArgs, catalog: Catalog, steps: dict[str, Step], streams: Col
         case Sql():
             parent = steps[args.parent]
             if not args.is_basic:
-                return Step(transform(parent.rows, args.advancedSQL))
+                return Step(transform(parent.rows_for(args.advancedSQL), args.advancedSQL))
             rows = basic_to_df(args.basic_query(), parent.rows)
             return Step(rows, parent.order if parent.order in rows.columns else None)
         case Join():
