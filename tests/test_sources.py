@@ -195,6 +195,14 @@ def test_json_rows(telemetry, spark):
     assert named.columns == ["absent", "unit"] and named.where("absent IS NOT NULL").count() == 0
 
 
+def test_keys_that_are_data_are_refused(spark, monkeypatch):
+    monkeypatch.setattr("tidework.sources.rows.MAX_COLUMNS", 20)
+    lines = spark.range(30).selectExpr("concat('{\"k', id, '\": 1}') AS value")
+    with pytest.raises(ValueError, match="name the columns"):
+        from_json_rows(lines)
+    assert from_json_rows(lines, ["k7"]).where("k7 = '1'").count() == 1
+
+
 def test_json_files(telemetry, spark, tmp_path):
     to_json_rows(telemetry).write.text(f"{tmp_path}/rows")
     found = read_json_rows(spark, f"{tmp_path}/rows")
@@ -250,6 +258,20 @@ def test_numbers_as_a_browser_prints_them(spark):
     assert [r.t for r in rows.collect()] == list(cases.values())
 
 
+class _Cluster:
+    """Only the settings of a session on a cluster."""
+
+    def __init__(self, **settings):
+        self.conf = settings
+
+
+def test_work_path_on_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_path(_Cluster(**{"spark.master": "yarn"}), "x")
+    shared = _Cluster(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://lake/work"})
+    assert work_path(shared, "x").startswith("hdfs://lake/work/x-")
+
+
 def test_work_path_is_in_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     one, two = work_path(spark, "x"), work_path(spark, "x")

@@ -1,11 +1,11 @@
 import pytest
+from pyspark.errors import AnalysisException
 
 from tests.conftest import DATA
 from tidework import (
     BasicQuery,
     Catalog,
     Condition,
-    Join,
     Plot,
     Sql,
     Table,
@@ -75,7 +75,10 @@ def test_join_with_a_table(spark, catalog, tmp_path):
         assert rows(spark.read.parquet(out)) == rows(joined(catalog.table("events"), how))
 
 
-def test_what_streams_cannot_do(catalog):
+def test_what_streams_cannot_do(spark, catalog, tmp_path):
     with pytest.raises(ValueError, match="no global order"):
         in_order(catalog.stream("events"), "ts")
-    assert Join().parents == (None, None)
+    customer = spark.read.parquet(f"{DATA}/customer.parquet")
+    outer = join_on(catalog.stream("events"), customer, "user_id", "c_custkey", "outer", sort=False)
+    with pytest.raises(AnalysisException, match="(?i)outer"):
+        append_available(outer, f"{tmp_path}/out", f"{tmp_path}/checkpoint")

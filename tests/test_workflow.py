@@ -5,7 +5,7 @@ import pytest
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
-from checks.steps import SAVED_WORKFLOW
+from tidework_checks.steps import SAVED_WORKFLOW
 from tests.conftest import DATA
 from tidework import (
     BasicQuery,

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 
 from tidework.functions.names import col
 
+# Rows whose keys are data rather than names would give a table of unbounded width.
+MAX_COLUMNS = 10_000
+
 _WHOLE_TIMES = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -31,7 +34,9 @@ def from_json_rows(lines: DataFrame, columns: Sequence[str] | None = None) -> Da
     text = col(lines.columns[0])
     if columns is None:
         keys = lines.select(F.explode(F.json_object_keys(text)).alias("key")).distinct()
-        columns = [row.key for row in keys.collect()]
+        columns = [row.key for row in keys.limit(MAX_COLUMNS + 1).collect()]
+        if len(columns) > MAX_COLUMNS:
+            raise ValueError(f"more than {MAX_COLUMNS} different keys; name the columns to read")
     schema = _text_columns(columns)
     if not schema.fields:
         return lines.select()

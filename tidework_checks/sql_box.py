@@ -7,7 +7,7 @@ however many events the user has.
 
 from __future__ import annotations
 
-from checks import Registry, read
+from tidework_checks import Registry, read
 from tidework import transform
 
 SQL_BOX = Registry()

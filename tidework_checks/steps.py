@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks import Registry, catalog, read
+from tidework_checks import Registry, catalog, read
 from tidework import (
     BasicQuery,
     Condition,
