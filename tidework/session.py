@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Skewed join keys and uneven partitions are left to adaptive execution, so it
-# must be on; the rest keeps results independent of the machine's time zone and
+# must be on; it may hash instead of sort where every partition of a side turns
+# out small. The rest keeps results independent of the machine's time zone and
 # keeps a large "first n rows in order" from being sorted in one task.
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -17,6 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
