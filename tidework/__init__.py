@@ -19,4 +19,48 @@ from tidework.sources.rows import from_json_rows, read_json_rows, request_rows,
 from tidework.sources.scan import presence, scan_many, scan_ordered, shape, shapes
 from tidework.streaming.flow import append_available
 
-__all__ = [name for name in dir() if not name.startswith("_")]
+__all__ = [
+    "BasicQuery",
+    "Box",
+    "Catalog",
+    "Condition",
+    "Datasets",
+    "Join",
+    "Plot",
+    "Sql",
+    "Table",
+    "Tables",
+    "Workbench",
+    "Workflow",
+    "append_available",
+    "basic_to_df",
+    "basic_to_sql",
+    "build_session",
+    "describe",
+    "epoch_columns",
+    "from_json_rows",
+    "in_order",
+    "join_on",
+    "presence",
+    "preview",
+    "preview_frame",
+    "read_csv",
+    "read_json_rows",
+    "request_rows",
+    "rows_before",
+    "run_box",
+    "run_workflow",
+    "scan_many",
+    "scan_ordered",
+    "scan_range",
+    "series",
+    "shape",
+    "shapes",
+    "time_slices",
+    "time_tags_fields",
+    "to_json_rows",
+    "transform",
+    "transform_rows",
+    "work_path",
+    "write_csv",
+]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -56,7 +56,7 @@ def rows_before(df: DataFrame, time: str = "time") -> DataFrame:
     return before
 
 
-def _sum_before(window: Window) -> Column:
+def _sum_before(window: WindowSpec) -> Column:
     return F.coalesce(F.sum("n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
 
 

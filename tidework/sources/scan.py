@@ -23,12 +23,15 @@ def scan_many(
     """One lazy range scan per table, in the order given.
 
     Tables without rows in the range are left out. Finding them takes one job
-    over the time columns; ``drop_empty=False`` skips it and keeps all tables.
+    that stops at the first row of each; ``drop_empty=False`` skips it and keeps
+    all tables.
     """
-    if drop_empty:
-        with_rows = {row.table_name for row in presence(catalog, tables, start, end).collect() if row.has_data}
-        tables = [name for name in tables if name in with_rows]
-    return {name: catalog.scan(name, start, end) for name in tables}
+    frames = {name: catalog.scan(name, start, end) for name in tables}
+    if not drop_empty or not frames:
+        return frames
+    first_rows = [df.select(F.lit(name).alias("table_name")).limit(1) for name, df in frames.items()]
+    with_rows = {row.table_name for row in reduce(DataFrame.union, first_rows).collect()}
+    return {name: df for name, df in frames.items() if name in with_rows}
 
 
 def presence(catalog: Catalog, tables: Sequence[str], start: str, end: str) -> DataFrame:

@@ -136,8 +136,8 @@ sql(
     "sql_collect_text",
     "events",
     """
-    SELECT user_id, array_join(sort_array(collect_set(event_type)), ',') AS types
-    FROM df GROUP BY user_id
+    SELECT user_id, array_join(sort_array(collect_list(event_type)), ',') AS types
+    FROM (SELECT DISTINCT user_id, event_type FROM df) GROUP BY user_id
     """,
     "SELECT user_id, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS types FROM events GROUP BY user_id",
 )
