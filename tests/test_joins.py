@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tidework import join_on
+from tidework import join_on, transform
 from tidework.operators.joins import joined_names
 
 SCHEMA = "k int, s string, d double, time timestamp"
@@ -160,6 +160,34 @@ def shuffled(spark):
         spark.conf.set(key, value) if value is not None else spark.conf.unset(key)
 
 
+def test_both_sides_read_one_list_of_frequent_keys(spark, shuffled, table, plan, tmp_path):
+    spark.range(0, 6_000, 1, 4).selectExpr("id % 3 AS k", "id AS v").write.parquet(f"{tmp_path}/hot")
+    hot = spark.read.parquet(f"{tmp_path}/hot")
+    result = join_on(table("customer"), hot, "c_nationkey", "k", "left", sort=False, salt=True)
+    final = result.groupBy("c_nationkey").count()
+    text = plan(final).split("== Initial Plan ==")
+    assert "ReusedExchange [__own_key" in "".join(text) or "ReusedExchange [__other_key" in "".join(text)
+
+
+def test_a_limit_is_not_salted(table, plan):
+    some = transform(table("events"), "SELECT * FROM df LIMIT 50")
+    result = join_on(table("customer"), some, "c_custkey", "user_id", "left", sort=False, salt=True)
+    assert "__right" not in plan(result, run=False)
+
+
+def test_joins_in_a_row_are_all_salted(table, plan):
+    customer = table("customer")
+    first = join_on(table("events"), customer, "user_id", "c_custkey", "outer", salt=True)
+    second = join_on(first, table("orders"), "c_custkey", "o_custkey", "outer", sort=False, salt=True)
+    assert plan(second, run=False).count("FullOuter") == 2
+    whole = join_on(
+        join_on(table("events"), customer, "user_id", "c_custkey", "outer"),
+        table("orders"), "c_custkey", "o_custkey", "outer", sort=False,
+    )
+    sums = [F.count("*"), F.sum("event_id"), F.sum("c_custkey"), F.sum("o_orderkey_right")]
+    assert second.agg(*sums).first() == whole.agg(*sums).first()
+
+
 def largest_task(df):
     return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
 

@@ -51,7 +51,8 @@ def join_on(
     only of the kept side of an outer join and of no side of a full one. `salt`
     spreads the frequent keys of the other sides as well. By default that is
     done as soon as such a side is larger than adaptive execution would call
-    skewed; below that one task can hold it.
+    skewed; below that one task can hold it. It is not done for streams, nor over
+    a LIMIT, which may give other rows when it is counted than when it is joined.
     """
     how = JOIN_NAMES.get(how, how)
     kind = how.lower().replace("_", "")
@@ -67,7 +68,7 @@ def join_on(
         right = right.select(*[col(old).alias(new) for old, new in names.items()])
         right_key = names[right_key]
         keep_left, keep_right = kind in _LEFT | _FULL, kind in _RIGHT | _FULL
-        if left.isStreaming or right.isStreaming:
+        if not (_repeatable(left) and _repeatable(right)):
             salt = False
         elif salt is None:
             salt = (keep_left and not _is_small(right)) or (keep_right and not _is_small(left))
@@ -125,6 +126,7 @@ def _hot_keys(df: DataFrame, key: str) -> DataFrame:
     """``__key, __pieces`` for the keys with more rows than an even shuffle partition.
 
     With n partitions these are less than n keys, so the frame is always small enough to broadcast.
+    Both sides of the join read it, and Spark reuses the one broadcast.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(col(key).alias("__key")).where("__key IS NOT NULL")
@@ -155,6 +157,10 @@ def _cut_and_copy(
     return df.withColumn(copy, F.explode(F.sequence(F.lit(0), col(f"{copy}_copies") - 1)) if other is not None else F.lit(0))
 
 
+def _repeatable(df: DataFrame) -> bool:
+    return not df.isStreaming and "GlobalLimit" not in df._jdf.queryExecution().analyzed().toString()
+
+
 def _is_small(df: DataFrame) -> bool:
     """Whether the optimizer's estimate, never below the files' size before filters, is small."""
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
