@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -46,7 +45,7 @@ def split_columns(text: str) -> tuple[str, ...]:
 
 
 def basic_columns(query: BasicQuery, df: DataFrame) -> list[str]:
-    return [find_field(df, name).name for name in query.columns] or df.columns
+    return [find_field(df, name).name for name in query.columns] if query.columns else df.columns
 
 
 def basic_where(query: BasicQuery, df: DataFrame) -> str:
@@ -75,16 +74,12 @@ def basic_to_df(query: BasicQuery, df: DataFrame) -> DataFrame:
 
 def basic_to_sql(query: BasicQuery, df: DataFrame, view: str = "df") -> str:
     """The same query as SQL text over `view`, each further condition on a line of its own."""
-    names: Sequence[str] = basic_columns(query, df) if query.columns else ()
-    text = f"SELECT {', '.join(quote(name) for name in names) or '*'} FROM {quote_view(view)}"
+    columns = ", ".join(quote(name) for name in basic_columns(query, df)) if query.columns else "*"
+    text = f"SELECT {columns} FROM {view if view.isidentifier() else quote(view)}"
     where = basic_where(query, df)
     return f"{text}\nWHERE {where}" if where else text
 
 
-def quote_view(view: str) -> str:
-    return view if view.isidentifier() else quote(view)
-
-
 def _chosen(text: str) -> str:
     text = (text or "").strip()
     return "" if text == NOTHING_CHOSEN else text

@@ -68,11 +68,7 @@ def join_on(
         right = right.select(*[col(old).alias(new) for old, new in names.items()])
         right_key = names[right_key]
         keep_left, keep_right = kind in _LEFT | _FULL, kind in _RIGHT | _FULL
-        if not (_repeatable(left) and _repeatable(right)):
-            salt = False
-        elif salt is None:
-            salt = (keep_left and not _is_small(right)) or (keep_right and not _is_small(left))
-        if salt and (keep_left or keep_right):
+        if (keep_left or keep_right) and _salting(salt, left, right, keep_left, keep_right):
             joined = _salted_join(left, right, left_key, right_key, how, keep_left, keep_right)
         else:
             joined = left.join(right, left[quote(left_key)] == right[quote(right_key)], how)
@@ -154,7 +150,15 @@ def _cut_and_copy(
         df = df.join(F.broadcast(pieces), df[quote(key)] == pieces["__other_key"], "left")
         copies = F.coalesce("__other_pieces", F.lit(1))
     df = df.select(*columns, cut.alias(piece), copies.alias(f"{copy}_copies"))
-    return df.withColumn(copy, F.explode(F.sequence(F.lit(0), col(f"{copy}_copies") - 1)) if other is not None else F.lit(0))
+    if other is None:
+        return df.withColumn(copy, F.lit(0))
+    return df.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(f"{copy}_copies") - 1)))
+
+
+def _salting(wanted: bool | None, left: DataFrame, right: DataFrame, keep_left: bool, keep_right: bool) -> bool:
+    if wanted is False or not (_repeatable(left) and _repeatable(right)):
+        return False
+    return wanted or (keep_left and not _is_small(right)) or (keep_right and not _is_small(left))
 
 
 def _repeatable(df: DataFrame) -> bool:
@@ -162,6 +166,6 @@ def _repeatable(df: DataFrame) -> bool:
 
 
 def _is_small(df: DataFrame) -> bool:
-    """Whether the optimizer's estimate, never below the files' size before filters, is small."""
+    """By the optimizer's estimate, which starts from the files' sizes and rather errs upwards."""
     estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     return int(str(estimate)) <= SMALL_SIDE_BYTES
