@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidework.functions.ordering import in_order
+from tidework.functions.unions import union_all
 from tidework.sources.catalog import Catalog, scan_range
 
 
@@ -30,7 +30,7 @@ def scan_many(
     if not drop_empty or not frames:
         return frames
     first_rows = [df.select(F.lit(name).alias("table_name")).limit(1) for name, df in frames.items()]
-    with_rows = {row.table_name for row in reduce(DataFrame.union, first_rows).collect()}
+    with_rows = {row.table_name for row in union_all(first_rows).collect()}
     return {name: df for name, df in frames.items() if name in with_rows}
 
 
@@ -58,4 +58,4 @@ def _count(catalog: Catalog, tables: Sequence[str], frames: Sequence[DataFrame])
     parts = [catalog.spark.createDataFrame(markers, "table_name string, position int, one bigint")]
     for (name, position, _), df in zip(markers, frames):
         parts.append(df.select(F.lit(name), F.lit(position), F.lit(1).cast("bigint")))
-    return reduce(DataFrame.union, parts).groupBy("table_name", "position").agg(F.sum("one").alias("n_rows"))
+    return union_all(parts).groupBy("table_name", "position").agg(F.sum("one").alias("n_rows"))
