@@ -31,7 +31,7 @@ def _kind(arrow_type) -> str:
 def difference(spark, connection, folder: str, name: str) -> str | None:
     """What differs between the query and its SQL, or None."""
     got = entry.queries()[name](spark, folder).toArrow()
-    want = connection.execute(entry.oracle_sql()[name]).to_arrow_table()
+    want = connection.sql(entry.oracle_sql()[name]).to_arrow_table()
     columns = sorted(got.column_names)
     if columns != sorted(want.column_names):
         return f"columns {columns} instead of {sorted(want.column_names)}"

@@ -47,6 +47,13 @@ def test_tables_of_a_database(spark, tmp_path):
     spark.sql("DROP DATABASE readings CASCADE")
 
 
+def test_tables_in_another_format(telemetry, spark, tmp_path):
+    telemetry.write.orc(f"{tmp_path}/batteries.orc")
+    found = Catalog.from_folder(spark, str(tmp_path), file_format="orc")
+    assert found.names() == ["batteries"]
+    assert found.scan("batteries", START, END).count() == 7
+
+
 def test_describe_and_projection(telemetry):
     assert [tuple(r) for r in describe(telemetry).collect()] == [
         ("time", "time", "timestamp"),
