@@ -120,7 +120,8 @@ def by_group(df: DataFrame, keys: list[str], work: Callable[[pa.Table], dict], s
 
         def batch_of() -> pa.RecordBatch:
             nonlocal size
-            joined = [pa.array(np.concatenate([o[name] for o in out])) for name in names]
+            arrays = ([o[n] if isinstance(o[n], pa.Array) else pa.array(o[n]) for o in out] for n in names)
+            joined = [pa.concat_arrays(a) for a in arrays]
             out.clear()
             size = 0
             return pa.RecordBatch.from_arrays(joined, names)

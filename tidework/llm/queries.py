@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidework.llm import embedding_dedup, language, ngram_join, packing, quality, toxicity
+from tidework.llm import (
+    embedding_dedup,
+    fingerprints,
+    interpolation,
+    language,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    secret_scan,
+    toxicity,
+)
 from tidework.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,11 +39,31 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
 
 
+@query("op2_secret_randomness")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.secret_spans(read(spark, folder, "documents"))
+
+
+@query("op3_deleted_interpolation")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return interpolation.interpolated_scores(read(spark, folder, "documents"))
+
+
+@query("op4_multiset_fingerprint", fingerprints.sql())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read(spark, folder, "documents"))
+
+
 @query("op5_language_kernel")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return language.language_ids(read(spark, folder, "documents"))
 
 
+@query("op6_pivotal_mixing")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixture(read(spark, folder, "documents")).drop("row_a", "row_b")
+
+
 @query("op7_best_two_fit_packing")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(read(spark, folder, "documents"))
@@ -48,7 +79,7 @@ NGRAM_SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, list_filter(regexp_split_to_array(
            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-           '[\x20\x09-\x0D]+'), x -> x <> '') AS w
+           '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM documents),
 grams AS (
   SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + least(5, len(w)) - 1], ' ')) AS g
@@ -82,8 +113,8 @@ VECTOR_SQL = """
 WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
   WHERE label IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(embedding, x -> x <> 0)) > 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 links AS (
   SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
   WHERE len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.98),
