@@ -91,14 +91,14 @@ pairs AS (
 links AS (
   SELECT x, y, c = p.n AND c = q.n AS same FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y
   WHERE c >= 0.8 * (p.n + q.n - c)),
-both AS (SELECT x, y, same FROM links UNION ALL SELECT y, x, same FROM links),
-reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN both b ON r.y = b.x),
+edges AS (SELECT x, y, same FROM links UNION ALL SELECT y, x, same FROM links),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN edges b ON r.y = b.x),
 least_of AS (SELECT x AS doc_id, min(y) AS class_id FROM reach GROUP BY x),
 sets AS (SELECT d.doc_id, least(d.doc_id, min(b.y)) AS set_id
-         FROM documents d LEFT JOIN both b ON b.x = d.doc_id AND b.same GROUP BY d.doc_id),
+         FROM documents d LEFT JOIN edges b ON b.x = d.doc_id AND b.same GROUP BY d.doc_id),
 counts AS (SELECT b.x AS doc_id, count(*) AS n_links,
                   count(DISTINCT s.set_id) FILTER (NOT same) AS n_class_links
-           FROM both b JOIN sets s ON s.doc_id = b.y GROUP BY b.x)
+           FROM edges b JOIN sets s ON s.doc_id = b.y GROUP BY b.x)
 SELECT d.doc_id, class_id, set_id, coalesce(n_links, 0) AS n_links, coalesce(n_class_links, 0) AS n_class_links
 FROM documents d JOIN least_of USING (doc_id) JOIN sets USING (doc_id) LEFT JOIN counts USING (doc_id)
 """
