@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidework.llm.common import by_group, fold, saved
 
 BITS = 52  # of an n-gram's hash, its order among them
-CHUNK = 8 << 20  # bytes of text
+CHUNK = 4 << 20  # bytes of text
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(b"a " + w)) for w in (b"start", b"end"))  # no word holds a blank
 TOP = 33  # largest power of two with a bucket of its own
 CONTEXTS = 2 * TOP + 3
@@ -340,7 +340,7 @@ def interpolated_scores(
     crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")))
     training = fold(key, folds) != held
     chunks = _chunks(documents, key, text, training, training & (F.floor(crc / folds) % weight_share == 0))
-    parts = 1 << (2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    parts = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
     answers = saved(by_group(_asked(chunks, parts), ["part"], _answer, ANSWER), "counts")
     sums = ["tokens", "known", "kept_tokens", "kept_known"]
     total, known, kept_total, kept_known = (
