@@ -7,7 +7,7 @@ from tidework.operators.joins import join_on
 from tidework.operators.preview import preview, preview_frame
 from tidework.operators.series import series
 from tidework.operators.slices import rows_before, time_slices
-from tidework.operators.transform import transform, transform_rows
+from tidework.operators.transform import transform
 from tidework.plans.spec import Box, Join, Plot, Sql, Table, Tables, Workflow
 from tidework.plans.step import Datasets
 from tidework.plans.workbench import Workbench
@@ -15,7 +15,7 @@ from tidework.plans.workflow import run_box, run_workflow
 from tidework.session import build_session, work_path
 from tidework.sources.catalog import Catalog, describe, scan_range, time_tags_fields
 from tidework.sources.export import read_csv, write_csv
-from tidework.sources.rows import from_json_rows, read_json_rows, request_rows, to_json_rows
+from tidework.sources.rows import from_json_rows, json_keys, read_json_rows, to_json_rows
 from tidework.sources.scan import presence, scan_many, scan_ordered, shape, shapes
 from tidework.streaming.flow import append_available
 
@@ -41,12 +41,12 @@ __all__ = [
     "from_json_rows",
     "in_order",
     "join_on",
+    "json_keys",
     "presence",
     "preview",
     "preview_frame",
     "read_csv",
     "read_json_rows",
-    "request_rows",
     "rows_before",
     "run_box",
     "run_workflow",
@@ -60,7 +60,6 @@ __all__ = [
     "time_tags_fields",
     "to_json_rows",
     "transform",
-    "transform_rows",
     "work_path",
     "write_csv",
 ]

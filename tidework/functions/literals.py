@@ -37,6 +37,15 @@ def parse_instant(text: str) -> dt.datetime:
     return value.astimezone(dt.timezone.utc)
 
 
+# Digits a time has beyond microseconds.
+_FINER = re.compile(r"(:\d{2}[.,]\d{6})(\d+)", re.ASCII)
+
+
+def _finer_than_micros(text: str) -> bool:
+    found = _FINER.search(text)
+    return bool(found and found[2].strip("0"))
+
+
 def comparison(df: DataFrame, column: str, op: str, text: str) -> str:
     """SQL text for ``column op text`` where op is one of = < > <= >=."""
     field = find_field(df, column)
@@ -55,8 +64,15 @@ def comparison(df: DataFrame, column: str, op: str, text: str) -> str:
         except (ValueError, OverflowError):
             return NEVER
         if isinstance(kind, T.DateType):
-            return _whole_step(name, op, moment == _midnight(moment), *_days_around(moment))
-        return f"{name} {op} {_timestamp_literal(moment, kind)}"
+            finer = _finer_than_micros(text)
+            return _whole_step(name, op, moment == _midnight(moment) and not finer, *_days_around(moment, finer))
+        # A finer time lies between two steps of the column.
+        finer = _finer_than_micros(text)
+        try:
+            above = moment + dt.timedelta(microseconds=1) if finer else moment
+        except OverflowError:
+            return NEVER
+        return _whole_step(name, op, not finer, _timestamp_literal(moment, kind), _timestamp_literal(above, kind))
     if isinstance(kind, T.NumericType):
         return _number(name, op, text, kind)
     raise ValueError(f"column {column!r} of type {kind.simpleString()} cannot be compared with text")
@@ -77,9 +93,9 @@ def _midnight(moment: dt.datetime) -> dt.datetime:
     return moment.replace(hour=0, minute=0, second=0, microsecond=0)
 
 
-def _days_around(moment: dt.datetime) -> tuple[str, str]:
+def _days_around(moment: dt.datetime, finer: bool) -> tuple[str, str]:
     day = moment.date()
-    after = day if moment == _midnight(moment) else day + dt.timedelta(days=1)
+    after = day if moment == _midnight(moment) and not finer else day + dt.timedelta(days=1)
     return f"DATE'{day}'", f"DATE'{after}'"
 
 
@@ -105,7 +121,7 @@ def _number(name: str, op: str, text: str, kind: T.DataType) -> str:
 
 
 def _whole_step(name: str, op: str, exact: bool, below: str, above: str) -> str:
-    """Compare a column of whole steps (integers, days) with a value that may lie between two."""
+    """Compare a column of whole steps (integers, days, microseconds) with a value that may lie between two."""
     if op == "=":
         return f"{name} = {below}" if exact else NEVER
     return f"{name} {op} {above if op in ('<', '>=') else below}"

@@ -30,19 +30,37 @@ def as_instant(df: DataFrame, name: str) -> Column:
         return value
     if not isinstance(field.dataType, _TIMES):
         raise ValueError(f"column {name!r} is no time column")
+    return _utc_instant(df, value.cast("timestamp_ntz"))
+
+
+def _utc_instant(df: DataFrame, local: Column) -> Column:
     if df.sparkSession.conf.get("spark.sql.session.timeZone") in _UTC_NAMES:
-        return value.cast("timestamp")
-    local = value.cast("timestamp_ntz")
+        return local.cast("timestamp")
     parts = [F.year(local), F.month(local), F.day(local), F.hour(local), F.minute(local)]
     return F.make_timestamp(*parts, F.extract(F.lit("SECOND"), local), F.lit("UTC"))
 
 
+# Kept with a column through selections, so that a plot knows its unit.
+EPOCH_UNIT = "tidework.epoch"
+
+
 def epoch_columns(df: DataFrame, time: str = "time") -> DataFrame:
-    """Add ``<time>_ns``, nanoseconds since the epoch, and ``<time>_s``, whole seconds rounded down."""
+    """Add ``<time>_ns``, nanoseconds since the epoch, and ``<time>_s``, whole seconds rounded down.
+
+    A name that is taken gets ``_epoch`` until it is free. Times that have no
+    64-bit number of nanoseconds, before 1677 or after 2262, have NULL.
+    """
     moment = as_instant(df, time)
-    return df.withColumns(
-        {f"{time}_ns": F.unix_micros(moment) * F.lit(1000), f"{time}_s": F.unix_seconds(moment)}
-    )
+    taken = {name.lower() for name in df.columns}
+
+    def free(name: str) -> str:
+        while name.lower() in taken:
+            name += "_epoch"
+        return name
+
+    nanos = F.try_multiply(F.unix_micros(moment), F.lit(1000).cast("long"))
+    added = [(free(f"{time}_ns"), "ns", nanos), (free(f"{time}_s"), "s", F.unix_seconds(moment))]
+    return df.select("*", *(value.alias(name, metadata={EPOCH_UNIT: unit}) for name, unit, value in added))
 
 
 def parse_float(df: DataFrame, name: str) -> Column:
@@ -69,17 +87,21 @@ def epoch_millis(df: DataFrame, name: str) -> Column:
     if isinstance(kind, _TIMES):
         moment = as_instant(df, name)
     elif isinstance(kind, T.StringType):
-        moment = F.try_to_timestamp(value)
+        # Text that names no zone is UTC, whatever the session's zone is.
+        zoned = value.rlike(r":[0-9]{1,2}.*[A-Za-z+\-]")
+        moment = F.when(zoned, value.try_cast("timestamp")).otherwise(_utc_instant(df, value.try_cast("timestamp_ntz")))
     elif isinstance(kind, T.NumericType):
-        return _millis_of_number(value.cast("double"), name.lower().endswith("_ns"))
+        return _number_of(value.cast("double"), (field.metadata or {}).get(EPOCH_UNIT))
     else:
         return _nan()
     return F.coalesce(F.unix_millis(moment).cast("double"), _nan())
 
 
-def _millis_of_number(value: Column, nanoseconds: bool) -> Column:
-    """Numbers are epoch seconds, but for the nanoseconds `epoch_columns` adds."""
-    millis = value / F.lit(1e6) if nanoseconds else value * F.lit(1e3)
+def _number_of(value: Column, unit: str | None) -> Column:
+    """Epoch columns as milliseconds, any other number as it is."""
+    if unit is None:
+        return F.coalesce(value, _nan())
+    millis = value / F.lit(1e6) if unit == "ns" else value * F.lit(1e3)
     # FLOOR gives an integer, which has no NaN.
     return F.when(value.isNull() | F.isnan(value), _nan()).otherwise(F.floor(millis).cast("double"))
 
@@ -89,6 +111,14 @@ def plot_value(df: DataFrame, name: str) -> Column:
     return epoch_millis(df, name) if "time" in name.lower() else parse_float(df, name)
 
 
+def _utc_clock(df: DataFrame, moment: Column) -> Column:
+    """An instant as the clock shows it in UTC, without a zone."""
+    if df.sparkSession.conf.get("spark.sql.session.timeZone") in _UTC_NAMES:
+        return moment.cast("timestamp_ntz")
+    seconds = (F.unix_micros(moment).cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
+
+
 def iso_text(moment: Column) -> Column:
     """``2024-07-25T16:47:00``, with six more digits only if there are microseconds."""
     text = F.translate(moment.cast("string"), " ", "T")
@@ -124,7 +154,9 @@ def export_text(df: DataFrame, name: str) -> Column:
     """A cell of an exported file as text; NULL stays NULL."""
     field = find_field(df, name)
     value, kind = col(field.name), field.dataType
-    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(kind, T.TimestampType):
+        return iso_text(_utc_clock(df, value))
+    if isinstance(kind, T.TimestampNTZType):
         return iso_text(value)
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return number_text(value.cast("double"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidework.functions.names import col, find_field, quote
 from tidework.functions.ordering import in_order
+from tidework.plans.inspect import is_repeatable
+from tidework.session import work_path
 
 # The join names a form offers. "Cross Join" comes with a key pair
 # like all others and so gives the rows of an inner join; it runs as one.
@@ -23,9 +26,6 @@ _RIGHT = {"right", "rightouter"}
 _FULL = {"outer", "full", "fullouter"}
 _ONE_SIDED = {"semi", "leftsemi", "anti", "leftanti"}
 
-# Adaptive execution takes no partition smaller than this for skewed.
-SMALL_SIDE_BYTES = 256 * 1024 * 1024
-
 
 def join_on(
     left: DataFrame,
@@ -38,7 +38,7 @@ def join_on(
     sort: bool = True,
     time: str = "time",
     suffix: str = "_right",
-    salt: bool | None = None,
+    salt: bool = True,
 ) -> DataFrame:
     """Join on ``left_on = right_on``; NULL keys never match.
 
@@ -47,12 +47,17 @@ def join_on(
     * NULLs in text columns become `fill_strings`; other types keep them.
     * The result is sorted by `time` if it has such a column.
 
+    * Keys of a number, time or boolean and of text are compared as the former;
+      text that is none meets nobody.
+
     Adaptive execution splits frequent keys of both sides of an inner join, but
-    only of the kept side of an outer join and of no side of a full one. `salt`
-    spreads the frequent keys of the other sides as well. By default that is
-    done as soon as such a side is larger than adaptive execution would call
-    skewed; below that one task can hold it. It is not done for streams, nor over
-    a LIMIT, which may give other rows when it is counted than when it is joined.
+    only of the kept side of an outer join and of no side of a full one. The
+    frequent keys of the other sides are salted, by one plan for inputs of any
+    size. They are counted once, when the join is written down, and kept as a
+    table in the work folder; so the plan of a chain of joins reads each input
+    once. A side that may differ when read again, as after a LIMIT or a sample,
+    is first written there too. Streams aren't salted, and ``salt=False`` leaves
+    it out.
     """
     how = JOIN_NAMES.get(how, how)
     kind = how.lower().replace("_", "")
@@ -61,17 +66,20 @@ def join_on(
 
     if kind in _ONE_SIDED:
         # Only the set of right keys counts, so a frequent one is reduced to one row first.
-        keys = right.select(col(right_key).alias("__key")).distinct()
-        joined = left.join(keys, left[quote(left_key)] == keys["__key"], how)
+        mine, theirs = _alike(left, left_key, right, right_key)
+        keys = right.select(theirs.alias("__key")).distinct()
+        joined = left.join(keys, mine == keys["__key"], how)
     else:
         names = joined_names(left.columns, right.columns, right_key, suffix)
         right = right.select(*[col(old).alias(new) for old, new in names.items()])
         right_key = names[right_key]
         keep_left, keep_right = kind in _LEFT | _FULL, kind in _RIGHT | _FULL
-        if (keep_left or keep_right) and _salting(salt, left, right, keep_left, keep_right):
+        if salt and (keep_left or keep_right) and not (left.isStreaming or right.isStreaming):
+            left, right = (df if is_repeatable(df) else _written(df, "side") for df in (left, right))
             joined = _salted_join(left, right, left_key, right_key, how, keep_left, keep_right)
         else:
-            joined = left.join(right, left[quote(left_key)] == right[quote(right_key)], how)
+            mine, theirs = _alike(left, left_key, right, right_key)
+            joined = left.join(right, mine == theirs, how)
 
     if fill_strings is not None:
         joined = joined.na.fill(fill_strings)
@@ -93,6 +101,25 @@ def joined_names(left: list[str], right: list[str], right_key: str, suffix: str
     return names
 
 
+def _alike(left: DataFrame, left_key: str, right: DataFrame, right_key: str) -> tuple[Column, Column]:
+    """Both keys, the one that is text as the type of the other."""
+    sides = [(left, left_key), (right, right_key)]
+    kinds = [find_field(df, key).dataType for df, key in sides]
+    texts = [isinstance(kind, T.StringType) for kind in kinds]
+    found = []
+    for (df, key), text, other in zip(sides, texts, reversed(kinds)):
+        plain = isinstance(other, (T.NumericType, T.BooleanType, T.TimestampType, T.TimestampNTZType, T.DateType))
+        value = df[quote(key)]
+        found.append(value.try_cast(other) if text and plain else value)
+    return found[0], found[1]
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = work_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _salted_join(
     left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str, keep_left: bool, keep_right: bool
 ) -> DataFrame:
@@ -105,11 +132,13 @@ def _salted_join(
     row that was not copied is kept as in any outer join.
     """
     names = [*left.columns, *right.columns]
-    hot_right = _hot_keys(right, right_key) if keep_left else None
-    hot_left = _hot_keys(left, left_key) if keep_right else None
-    left = _cut_and_copy(left, left_key, hot_left, hot_right, "__left", "__right")
-    right = _cut_and_copy(right, right_key, hot_right, hot_left, "__right", "__left")
-    meets = left[quote(left_key)] == right[quote(right_key)]
+    mine, theirs = _alike(left, left_key, right, right_key)
+    left, right = left.withColumn("__left_key", mine), right.withColumn("__right_key", theirs)
+    hot_right = _hot_keys(right, "__right_key") if keep_left else None
+    hot_left = _hot_keys(left, "__left_key") if keep_right else None
+    left = _cut_and_copy(left, "__left_key", hot_left, hot_right, "__left", "__right")
+    right = _cut_and_copy(right, "__right_key", hot_right, hot_left, "__right", "__left")
+    meets = left["__left_key"] == right["__right_key"]
     joined = left.join(right, meets & (left["__left"] == right["__left"]) & (left["__right"] == right["__right"]), how)
     if keep_left:
         joined = joined.where(right["__right"].isNotNull() | (left["__right_copies"] == 1))
@@ -122,14 +151,14 @@ def _hot_keys(df: DataFrame, key: str) -> DataFrame:
     """``__key, __pieces`` for the keys with more rows than an even shuffle partition.
 
     With n partitions these are less than n keys, so the frame is always small enough to broadcast.
-    Both sides of the join read it, and Spark reuses the one broadcast.
+    It is a table of its own, so neither the join nor those above it count again.
     """
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = df.select(col(key).alias("__key")).where("__key IS NOT NULL")
     counts = keys.groupBy("__key").agg(F.count(F.lit(1)).alias("n"))
     rows = counts.agg(F.sum("n")).scalar()
     pieces = F.ceil(F.col("n") * F.lit(partitions) / rows).cast("int")
-    return counts.select("__key", pieces.alias("__pieces")).where("__pieces > 1")
+    return _written(counts.select("__key", pieces.alias("__pieces")).where("__pieces > 1"), "hot-keys")
 
 
 def _cut_and_copy(
@@ -153,19 +182,3 @@ def _cut_and_copy(
     if other is None:
         return df.withColumn(copy, F.lit(0))
     return df.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(f"{copy}_copies") - 1)))
-
-
-def _salting(wanted: bool | None, left: DataFrame, right: DataFrame, keep_left: bool, keep_right: bool) -> bool:
-    if wanted is False or not (_repeatable(left) and _repeatable(right)):
-        return False
-    return wanted or (keep_left and not _is_small(right)) or (keep_right and not _is_small(left))
-
-
-def _repeatable(df: DataFrame) -> bool:
-    return not df.isStreaming and "GlobalLimit" not in df._jdf.queryExecution().analyzed().toString()
-
-
-def _is_small(df: DataFrame) -> bool:
-    """By the optimizer's estimate, which starts from the files' sizes and rather errs upwards."""
-    estimate = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(str(estimate)) <= SMALL_SIDE_BYTES

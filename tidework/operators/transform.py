@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import threading
-from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-
-from tidework.sources.rows import request_rows
+from pyspark.sql import DataFrame
 
 # A view's name is shared by the whole session, and a frame is bound to the view
 # when `spark.sql` analyses the text, so both happen under one lock.
@@ -20,7 +18,7 @@ def transform(df: DataFrame, sql: str, view: str = "df") -> DataFrame:
     Any query Spark understands will do; commands such as DROP or SET are
     refused, because the text stands inside a FROM clause.
     """
-    query = sql.strip().rstrip(";").rstrip()
+    query = _without_end(sql)
     if not query:
         raise ValueError("the SQL text is empty")
     with _ONE_AT_A_TIME:
@@ -28,8 +26,14 @@ def transform(df: DataFrame, sql: str, view: str = "df") -> DataFrame:
         return df.sparkSession.sql(f"SELECT * FROM (\n{query}\n)")
 
 
-def transform_rows(
-    spark: SparkSession, rows: Sequence[Mapping[str, str]], sql: str, view: str = "data"
-) -> DataFrame:
-    """Run a query over rows that came inside a request; all columns are text."""
-    return transform(request_rows(spark, rows), sql, view)
+# Quoted text, comments, and whatever else has a character that counts.
+_PARTS = re.compile(r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|(?P<skip>--[^\n]*|/\*.*?\*/|[\s;]+)|.""", re.DOTALL)
+
+
+def _without_end(sql: str) -> str:
+    """The text up to its last character that is neither blank nor semicolon nor part of a comment."""
+    end = 0
+    for part in _PARTS.finditer(sql):
+        if part["skip"] is None:
+            end = part.end()
+    return sql[:end].lstrip()

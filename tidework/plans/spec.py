@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from tidework.operators.basic import BasicQuery, Condition, split_columns
 
 
+# The fields of these classes are named as in saved files.
+
+
 @dataclass(frozen=True)
 class Tables:
     """Lists the catalog's tables."""
@@ -91,7 +94,9 @@ class Plot:
 
 
 BoxArgs = Tables | Table | Sql | Join | Plot
+# Box types as saved. The listing box is saved under the name of its data source.
 _KINDS = {"table": Table, "sql": Sql, "join": Join, "plot": Plot}
+LISTING = "database"
 
 
 @dataclass(frozen=True)
@@ -111,30 +116,38 @@ class Workflow:
         return cls({name: Box(name, value) for name, value in args.items()})
 
     @classmethod
-    def load(cls, saved: str | Mapping) -> Workflow:
-        """A saved workflow, as JSON text or already parsed."""
+    def load(cls, saved: str | Mapping, listing: str = LISTING) -> Workflow:
+        """A saved workflow, as JSON text or already parsed; `listing` is the type its listing boxes are saved under."""
         spec = json.loads(saved) if isinstance(saved, str) else saved
         boxes: dict[str, Box] = {}
         for entry in spec["boxes"]:
             if entry["id"] in boxes:
                 raise ValueError(f"two boxes are called {entry['id']!r}")
-            boxes[entry["id"]] = Box(entry["id"], _read_args(entry), entry.get("title", ""))
+            boxes[entry["id"]] = Box(entry["id"], _read_args(entry, listing), entry.get("title", ""))
         return cls(boxes)
 
+    def dump(self, listing: str = LISTING) -> str:
+        """The saved form of the workflow, which :meth:`load` reads back to an equal one."""
+        names = {kind: name for name, kind in _KINDS.items()} | {Tables: listing}
+        boxes = [
+            {"id": box.id, "type": names[type(box.args)], "title": box.title, "runArgs": asdict(box.args)}
+            for box in self.boxes.values()
+        ]
+        return json.dumps({"boxes": boxes}, ensure_ascii=False)
+
     def shared(self) -> list[str]:
         """Boxes with two or more children: the ones worth persisting."""
         uses = [parent for box in self.boxes.values() for parent in box.args.parents]
         return [box_id for box_id in self.boxes if uses.count(box_id) > 1]
 
 
-def _read_args(entry: Mapping) -> BoxArgs:
+def _read_args(entry: Mapping, listing: str) -> BoxArgs:
     args = entry.get("runArgs") or {}
     kind = _KINDS.get(entry["type"])
+    if entry["type"] == listing:
+        kind = Tables
     if kind is None:
-        # The listing box is saved under its data source's name; only it has no parent field.
-        if set(args) - {"code"}:
-            raise ValueError(f"box {entry['id']!r} has the unknown type {entry['type']!r}")
-        return Tables(args.get("code") or "")
+        raise ValueError(f"box {entry['id']!r} has the unknown type {entry['type']!r}")
     known = {}
     for name in kind.__dataclass_fields__:
         value = args.get(name)

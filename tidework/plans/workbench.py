@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-
 from pyspark.sql import DataFrame
 
 from tidework.functions.values import epoch_columns
 from tidework.operators.joins import join_on
-from tidework.operators.preview import preview
-from tidework.operators.transform import transform, transform_rows
+from tidework.operators.preview import ROWS_SHOWN, preview
 from tidework.plans.step import Datasets
 from tidework.sources.catalog import Catalog
-from tidework.sources.rows import request_rows
+
+
+# The names of requests and of their fields.
 
 
 class Workbench:
@@ -28,13 +27,13 @@ class Workbench:
     def measurements(self) -> list[str]:
         return self.catalog.names()
 
-    def query_table(self, table: str, start_time: str, end_time: str, limit: int | None = None) -> dict:
+    def query_table(self, table: str, start_time: str, end_time: str, limit: int | None = ROWS_SHOWN) -> dict:
         time = self.catalog.time_column(table)
         rows = epoch_columns(self.catalog.scan(table, start_time, end_time), time)
         return self._answer(rows, time, limit)
 
-    def sql_transform(self, parent_dataset_id: str, sql: str, limit: int | None = None) -> dict:
-        return self._answer(transform(self.datasets.step(parent_dataset_id).rows_for(sql), sql), None, limit)
+    def sql_transform(self, parent_dataset_id: str, sql: str, limit: int | None = ROWS_SHOWN) -> dict:
+        return self._answer(self.datasets.step(parent_dataset_id).transformed(sql), None, limit)
 
     def sql_join(
         self,
@@ -43,32 +42,15 @@ class Workbench:
         left_join_column: str,
         right_join_column: str,
         join_type: str,
-        limit: int | None = None,
+        limit: int | None = ROWS_SHOWN,
     ) -> dict:
         left, right = self.datasets.step(left_dataset_id).rows, self.datasets.step(right_dataset_id).rows
         rows = join_on(left, right, left_join_column, right_join_column, join_type, sort=False)
         return self._answer(rows, "time" if "time" in rows.columns else None, limit)
 
-    def dataset(self, dataset_id: str, limit: int | None = 100) -> dict:
+    def dataset(self, dataset_id: str, limit: int | None = ROWS_SHOWN) -> dict:
         return preview(self.datasets.get(dataset_id), limit)
 
-    def transform_rows(self, sql: str, data: Sequence[Mapping[str, str]], limit: int | None = None) -> dict:
-        """A query over rows sent with the request, under the name `data`; nothing is stored."""
-        return preview(transform_rows(self.catalog.spark, data, sql), limit)
-
-    def join_rows(
-        self,
-        left_data: Sequence[Mapping[str, str]],
-        right_data: Sequence[Mapping[str, str]],
-        left_join_column: str,
-        right_join_column: str,
-        join_type: str,
-        limit: int | None = None,
-    ) -> dict:
-        """A join of rows sent with the request; nothing is stored."""
-        left, right = request_rows(self.catalog.spark, left_data), request_rows(self.catalog.spark, right_data)
-        return preview(join_on(left, right, left_join_column, right_join_column, join_type), limit)
-
     def _answer(self, rows: DataFrame, order: str | None, limit: int | None) -> dict:
         dataset_id = self.datasets.store(rows, order)
         return {"dataset_id": dataset_id, "preview": self.dataset(dataset_id, limit)}

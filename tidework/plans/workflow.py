@@ -14,7 +14,6 @@ from tidework.functions.values import epoch_columns
 from tidework.operators.basic import basic_to_df
 from tidework.operators.joins import join_on
 from tidework.operators.series import series
-from tidework.operators.transform import transform
 from tidework.plans.spec import BoxArgs, Join, Plot, Sql, Table, Tables, Workflow
 from tidework.plans.step import Step
 from tidework.sources.catalog import Catalog
@@ -27,13 +26,15 @@ def run_workflow(
     *,
     streams: Collection[str] = (),
     persist_shared: StorageLevel | None = None,
+    persisted: list[DataFrame] | None = None,
     errors: dict[str, Exception] | None = None,
 ) -> dict[str, DataFrame]:
     """A lazy frame per box, in dependency order.
 
     * `targets`: only these boxes and what they need are built.
     * `streams`: tables to read as streams; what comes from them is not sorted.
-    * `persist_shared`: rows of boxes with several children are kept at that level.
+    * `persist_shared`: rows of boxes with several children are kept at that level;
+      `persisted`, a list, gets their frames, to be unpersisted after use.
     * `errors`: if given, a box that cannot be built is noted here, as is every box
       that needs it, and the others are built; otherwise the first one raises.
 
@@ -55,6 +56,8 @@ def run_workflow(
             continue
         if box_id in shared:
             step = Step(step.rows.persist(persist_shared), step.order)
+            if persisted is not None:
+                persisted.append(step.rows)
         steps[box_id] = step
     return {box_id: step.result for box_id, step in steps.items()}
 
@@ -94,11 +97,12 @@ def _build(args: BoxArgs, catalog: Catalog, steps: dict[str, Step], streams: Col
                 raise ValueError("choose a table")
             time = catalog.time_column(args.table)
             rows = catalog.scan(args.table, args.start_time, args.end_time, stream=args.table in streams)
+            # Times alone decide the order, so the derived columns need not go through a sort.
             return Step(epoch_columns(rows, time), time)
         case Sql():
             parent = steps[args.parent]
             if not args.is_basic:
-                return Step(transform(parent.rows_for(args.advancedSQL), args.advancedSQL))
+                return Step(parent.transformed(args.advancedSQL))
             rows = basic_to_df(args.basic_query(), parent.rows)
             return Step(rows, parent.order if parent.order in rows.columns else None)
         case Join():

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -19,7 +18,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
-    "spark.sql.execution.topKSortFallbackThreshold": "100000",
+    "spark.sql.execution.topKSortFallbackThreshold": "1000",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
@@ -36,12 +35,8 @@ def build_session(app: str = "tidework", master: str | None = None, **extra: str
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path for data one job hands to another.
 
-    It lies in the folder the cluster names in ``spark.checkpoint.dir``. Only a
-    local session without that setting gets a temporary folder of its own.
+    It lies in the folder the cluster names in ``spark.checkpoint.dir``; where
+    that is unset, in the warehouse, the other folder all executors share.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="tidework-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(spark.conf.get("spark.sql.warehouse.dir"), "work")
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")

@@ -60,7 +60,8 @@ class Catalog:
 
     `time_columns` names the time column of tables where it is not ``time``,
     `day_columns` the partition column of tables laid out by UTC date.
-    A table's files are listed once, when it is first used.
+    A table's files are listed once, when it is first used; where `schemas` has
+    its columns, none is opened for them.
     """
 
     def __init__(
@@ -70,12 +71,14 @@ class Catalog:
         time_columns: Mapping[str, str] | None = None,
         day_columns: Mapping[str, str] | None = None,
         file_format: str | None = "parquet",
+        schemas: Mapping[str, T.StructType] | None = None,
     ):
         self.spark = spark
         self._locations = dict(locations)
         self._time_columns = dict(time_columns or {})
         self._day_columns = dict(day_columns or {})
         self._format = file_format
+        self._schemas = dict(schemas or {})
         self._frames: dict[str, DataFrame] = {}
 
     @classmethod
@@ -86,6 +89,7 @@ class Catalog:
         time_columns: Mapping[str, str] | None = None,
         day_columns: Mapping[str, str] | None = None,
         file_format: str = "parquet",
+        schemas: Mapping[str, T.StructType] | None = None,
     ) -> Catalog:
         """Each entry ``NAME.<format>`` of the folder, file or directory, is the table NAME."""
         jvm = spark._jvm
@@ -97,7 +101,7 @@ class Catalog:
             path = entry.getPath()
             if path.getName().endswith(suffix):
                 locations[path.getName().removesuffix(suffix)] = path.toString()
-        return cls(spark, locations, time_columns, day_columns, file_format)
+        return cls(spark, locations, time_columns, day_columns, file_format, schemas)
 
     @classmethod
     def from_database(
@@ -121,7 +125,10 @@ class Catalog:
         if name not in self._frames:
             location = self._location(name)
             if self._format:
-                self._frames[name] = self.spark.read.format(self._format).load(location)
+                reader = self.spark.read.format(self._format)
+                if name in self._schemas:
+                    reader = reader.schema(self._schemas[name])
+                self._frames[name] = reader.load(location)
             else:
                 self._frames[name] = self.spark.table(location)
         return self._frames[name]

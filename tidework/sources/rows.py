@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +10,6 @@ from pyspark.sql import types as T
 
 from tidework.functions.names import col
 
-# Rows whose keys are data rather than names would give a table of unbounded width.
-MAX_COLUMNS = 10_000
-
 _WHOLE_TIMES = {
     "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
     "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
@@ -25,35 +21,27 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*[col(name) for name in df.columns]), _WHOLE_TIMES).alias("value"))
 
 
-def from_json_rows(lines: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+def json_keys(lines: DataFrame) -> DataFrame:
+    """The distinct keys of JSON objects, one text column, as rows ``key``."""
+    return lines.select(F.explode(F.json_object_keys(col(lines.columns[0]))).alias("key")).distinct()
+
+
+def from_json_rows(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
     """A frame of JSON objects, one text column, as columns of text in alphabetical order.
 
-    Without `columns` the keys are collected first, in one job over all rows
-    that returns each distinct key once; naming them keeps the read lazy.
+    Nested values are JSON text; a line that is no object gives a row of NULLs.
+    Where the columns aren't known, :func:`json_keys` finds them.
     """
     text = col(lines.columns[0])
-    if columns is None:
-        keys = lines.select(F.explode(F.json_object_keys(text)).alias("key")).distinct()
-        columns = [row.key for row in keys.limit(MAX_COLUMNS + 1).collect()]
-        if len(columns) > MAX_COLUMNS:
-            raise ValueError(f"more than {MAX_COLUMNS} different keys; name the columns to read")
     schema = _text_columns(columns)
     if not schema.fields:
         return lines.select()
     return lines.select(F.from_json(text, schema).alias("row")).select("row.*")
 
 
-def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Files of JSON objects, one per line, as columns of text in alphabetical order."""
-    reader = spark.read if columns is None else spark.read.schema(_text_columns(columns))
-    return reader.option("primitivesAsString", True).json(path)
-
-
-def request_rows(spark: SparkSession, rows: Sequence[Mapping[str, str]]) -> DataFrame:
-    """Rows that came inside a request, as columns of text in alphabetical order."""
-    columns = sorted({key for row in rows for key in row})
-    lines = spark.createDataFrame([(json.dumps(dict(row)),) for row in rows], "value string")
-    return from_json_rows(lines, columns)
+def read_json_rows(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """Files of JSON objects, one per line, as columns of text in alphabetical order, like :func:`from_json_rows`."""
+    return from_json_rows(spark.read.text(path), columns)
 
 
 def _text_columns(columns: Sequence[str]) -> T.StructType:

@@ -18,20 +18,16 @@ def scan_ordered(df: DataFrame, start: str, end: str, time: str = "time") -> Dat
 
 
 def scan_many(
-    catalog: Catalog, tables: Sequence[str], start: str, end: str, drop_empty: bool = True
+    catalog: Catalog, tables: Sequence[str], start: str, end: str, drop_empty: bool = False
 ) -> dict[str, DataFrame]:
     """One lazy range scan per table, in the order given.
 
-    Tables without rows in the range are left out. Finding them takes one job
-    that stops at the first row of each; ``drop_empty=False`` skips it and keeps
-    all tables.
+    ``drop_empty`` leaves tables without rows in the range out. That looks for a
+    first row of each table, one after another: a split is read, then a few
+    more, until there is one. :func:`presence` answers for all tables at once.
     """
     frames = {name: catalog.scan(name, start, end) for name in tables}
-    if not drop_empty or not frames:
-        return frames
-    first_rows = [df.select(F.lit(name).alias("table_name")).limit(1) for name, df in frames.items()]
-    with_rows = {row.table_name for row in union_all(first_rows).collect()}
-    return {name: df for name, df in frames.items() if name in with_rows}
+    return {name: df for name, df in frames.items() if not (drop_empty and df.isEmpty())}
 
 
 def presence(catalog: Catalog, tables: Sequence[str], start: str, end: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidework_checks import Registry, catalog, read
@@ -23,6 +24,7 @@ from tidework import (
     from_json_rows,
     in_order,
     join_on,
+    json_keys,
     presence,
     preview_frame,
     read_csv,
@@ -166,7 +168,7 @@ def time_slices_distinct(spark, folder):
 )
 def scan_many_counts(spark, folder):
     tables = catalog(spark, folder)
-    frames = scan_many(tables, ["events", "orders", "lineitem"], "1997-01-01T00:00:00Z", "2024-12-31T00:00:00Z")
+    frames = scan_many(tables, ["events", "orders", "lineitem"], "1997-01-01T00:00:00Z", "2024-12-31T00:00:00Z", drop_empty=True)
     days = [
         df.groupBy(F.lit(name).alias("table_name"), F.to_date(tables.time_column(name)).alias("day")).agg(
             F.count(F.lit(1)).alias("n")
@@ -287,7 +289,8 @@ def json_rows_sql(spark, folder):
 
 @STEPS.add("json_rows_keys_found", _EVENTS_AS_TEXT)
 def json_rows_keys_found(spark, folder):
-    return from_json_rows(to_json_rows(read(spark, folder, "events")))
+    lines = to_json_rows(read(spark, folder, "events"))
+    return from_json_rows(lines, [row.key for row in json_keys(lines).collect()])
 
 
 @STEPS.add("json_files_roundtrip", _EVENTS_AS_TEXT)
@@ -709,3 +712,194 @@ def workflow_two_branches(spark, folder):
 def workflow_table_box(spark, folder):
     workflow = Workflow.of(items=Table("lineitem", "1996-01-01T00:00:00Z", "2001-01-01T00:00:00Z"))
     return run_box(workflow, catalog(spark, folder), "items")
+
+
+# ---- what earlier forms of the operators got wrong -----------------------------------
+
+
+def _in_order(df, time):
+    """How many rows there are and how many come before one they should follow: within partitions, and between them."""
+    placed = df.select(
+        F.col(time).alias("t"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i")
+    )
+    within = placed.select("t", "p", F.lag("t").over(Window.partitionBy("p").orderBy("i")).alias("before"))
+    parts = within.groupBy("p").agg(
+        F.count("*").alias("n"),
+        F.count(F.when(F.col("before") > F.col("t"), 1)).alias("wrong"),
+        F.min("t").alias("low"),
+        F.max("t").alias("high"),
+    )
+    # One row for each partition.
+    after = F.when(F.lag("high").over(Window.orderBy("p")) > F.col("low"), 1)
+    return parts.select("n", "wrong", after.alias("late")).agg(
+        F.sum("n").alias("n_rows"), (F.sum("wrong") + F.count("late")).alias("out_of_order")
+    )
+
+
+@STEPS.add("scan_ordered_order", "SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS out_of_order FROM events")
+def scan_ordered_order(spark, folder):
+    return _in_order(scan_ordered_events(spark, folder), "ts")
+
+
+@STEPS.add(
+    "join_time_order",
+    """
+    SELECT count(*)::BIGINT AS n_rows, 0::BIGINT AS out_of_order
+    FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+    """,
+)
+def join_time_order(spark, folder):
+    orders = read(spark, folder, "orders").withColumnRenamed("o_orderdate", "time")
+    return _in_order(join_on(orders, read(spark, folder, "customer"), "o_custkey", "c_custkey", "inner"), "time")
+
+
+@STEPS.add(
+    "join_chain_outer",
+    """
+    WITH e AS (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)
+    SELECT c.c_custkey, e.n, o.orders, f.low, s.s_suppkey, n.n_nationkey
+    FROM customer c FULL JOIN e ON c.c_custkey = e.user_id
+    FULL JOIN (SELECT o_custkey, count(*) AS orders FROM orders GROUP BY 1) o ON c.c_custkey = o.o_custkey
+    FULL JOIN (SELECT user_id, min(value) AS low FROM events GROUP BY 1) f ON c.c_custkey = f.user_id
+    FULL JOIN supplier s ON c.c_custkey = s.s_suppkey
+    FULL JOIN nation n ON c.c_nationkey = n.n_nationkey
+    """,
+)
+def join_chain_outer(spark, folder):
+    customer, events = read(spark, folder, "customer"), read(spark, folder, "events")
+    steps = [
+        (transform(events, "SELECT user_id, count(*) AS n FROM df GROUP BY 1"), "c_custkey", "user_id"),
+        (
+            transform(read(spark, folder, "orders"), "SELECT o_custkey, count(*) AS orders FROM df GROUP BY 1"),
+            "c_custkey",
+            "o_custkey",
+        ),
+        (
+            transform(events, "SELECT user_id AS low_user, min(value) AS low FROM df GROUP BY 1"),
+            "c_custkey",
+            "low_user",
+        ),
+        (read(spark, folder, "supplier"), "c_custkey", "s_suppkey"),
+        (read(spark, folder, "nation"), "c_nationkey", "n_nationkey"),
+    ]
+    joined = customer
+    for right, mine, theirs in steps:
+        joined = join_on(joined, right, mine, theirs, "outer", fill_strings=None, sort=False)
+    return joined.select(
+        "c_custkey",
+        F.col("n_right" if "n_right" in joined.columns else "n").alias("n"),
+        F.col("orders_right" if "orders_right" in joined.columns else "orders").alias("orders"),
+        F.col("low_right" if "low_right" in joined.columns else "low").alias("low"),
+        "s_suppkey",
+        "n_nationkey",
+    )
+
+
+@STEPS.add(
+    "join_number_with_text",
+    """
+    SELECT e.event_id, e.user_id, c.c_name FROM events e
+    LEFT JOIN customer c ON e.user_id = c.c_custkey AND c.c_custkey % 3 <> 0
+    """,
+)
+def join_number_with_text(spark, folder):
+    texts = read(spark, folder, "customer").select(
+        F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.col("c_custkey").cast("string")).alias("code"),
+        "c_name",
+    )
+    events = read(spark, folder, "events").select("event_id", "user_id")
+    joined = join_on(events, texts, "user_id", "code", "left", fill_strings=None, sort=False)
+    return joined.select("event_id", "user_id", F.col("c_name_right").alias("c_name"))
+
+
+@STEPS.add(
+    "epoch_columns_far",
+    """
+    SELECT o_orderkey, t, CASE WHEN year(t) > 2262 THEN NULL ELSE epoch_us(t) * 1000 END AS t_ns,
+           epoch_us(t) // 1000000 AS t_s
+    FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN TIMESTAMP '9999-12-31' ELSE o_orderdate END AS t FROM orders)
+    """,
+)
+def epoch_columns_far(spark, folder):
+    return epoch_columns(
+        transform(
+            read(spark, folder, "orders"),
+            "SELECT o_orderkey, if(o_orderkey % 2 = 0, TIMESTAMP_NTZ'9999-12-31 00:00:00', o_orderdate) AS t FROM df",
+        ),
+        "t",
+    )
+
+
+_FINE = "2024-01-15T08:16:03.123456"
+
+
+@STEPS.add(
+    "scan_range_nanoseconds",
+    f"""
+    SELECT event_id, t FROM (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '{_FINE}' ELSE ts END AS t FROM events)
+    WHERE t > TIMESTAMP '{_FINE}' AND t < TIMESTAMP '2024-01-20'
+    """,
+)
+def scan_range_nanoseconds(spark, folder):
+    return scan_range(_fine_events(spark, folder), f"{_FINE}789", "2024-01-19T23:59:59.999999999Z", "t")
+
+
+def _fine_events(spark, folder):
+    text = f"SELECT event_id, if(event_id % 2 = 0, TIMESTAMP_NTZ'{_FINE}', ts) AS t FROM df"
+    return transform(read(spark, folder, "events"), text)
+
+
+@STEPS.add(
+    "basic_where_nanoseconds",
+    f"""
+    WITH e AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN TIMESTAMP '{_FINE}' ELSE ts END AS t FROM events)
+    SELECT 'below' AS op, event_id FROM e WHERE t <= TIMESTAMP '{_FINE}'
+    UNION ALL SELECT 'above', event_id FROM e WHERE t > TIMESTAMP '{_FINE}'
+    """,
+)
+def basic_where_nanoseconds(spark, folder):
+    events = _fine_events(spark, folder)
+    parts = []
+    for name, op in (("below", "<"), ("above", ">"), ("same", "=")):
+        found = basic_to_df(BasicQuery(["event_id"], (Condition("t", op, f"{_FINE}789"),)), events)
+        parts.append(found.select(F.lit(name).alias("op"), "event_id"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@STEPS.add(
+    "series_number_named_time",
+    "SELECT 'value' AS label, o_totalprice AS x, o_orderkey::DOUBLE AS y FROM orders",
+)
+def series_number_named_time(spark, folder):
+    orders = transform(read(spark, folder, "orders"), "SELECT o_totalprice AS response_time, o_orderkey AS value FROM df")
+    return series(orders, "response_time", "value")
+
+
+def _events_box(spark, folder, sql):
+    boxes = {"all": Table("events", "2024-01-02T00:00:00Z", "2024-01-29T00:00:00Z"), "text": Sql("all", "advanced", advancedSQL=sql)}
+    return run_box(Workflow.of(**boxes), catalog(spark, folder), "text")
+
+
+@STEPS.add(
+    "sql_topk_after_table_box",
+    """
+    SELECT user_id, round(sum(value), 6) AS total FROM events
+    WHERE ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-29'
+    GROUP BY user_id ORDER BY total DESC, user_id LIMIT 10
+    """,
+)
+def sql_topk_after_table_box(spark, folder):
+    text = "SELECT user_id, round(sum(value), 6) AS total FROM df GROUP BY user_id ORDER BY total DESC, user_id LIMIT 10"
+    return _events_box(spark, folder, text)
+
+
+@STEPS.add(
+    "sql_first_rows",
+    """
+    SELECT event_id, ts FROM events
+    WHERE event_type = 'click' AND ts BETWEEN TIMESTAMP '2024-01-02' AND TIMESTAMP '2024-01-29'
+    ORDER BY ts LIMIT 7 OFFSET 5
+    """,
+)
+def sql_first_rows(spark, folder):
+    return _events_box(spark, folder, "SELECT event_id, ts FROM df WHERE event_type = 'click' LIMIT 7 OFFSET 5; -- some")
