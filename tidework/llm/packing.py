@@ -118,9 +118,9 @@ class TokenBytes(dict):
             return found
         body = word.rstrip(_SIGNS)
         if body and body != word and body.decode("utf-8", "replace")[-1].isalnum():
-            known, most, found = self.signed, 300_000, self[body] + self[word[len(body) :]]
+            known, most, found = self.signed, 80_000, self[body] + self[word[len(body) :]]
         else:
-            known, most, found = self, 800_000, self.word(word)
+            known, most, found = self, 250_000, self.word(word)
         if len(word) <= 48:
             if len(known) >= most:
                 known.clear()
