@@ -126,11 +126,10 @@ def test_semi_join_shuffles_each_right_key_once(table, plan):
     assert "partial_" not in text and text.count("HashAggregate(keys=[__key") == 2
 
 
-def test_outer_joins_over_large_inputs_are_salted(table, plan, monkeypatch):
+def test_outer_joins_are_salted(table, plan):
     events, customer = table("events"), table("customer")
-    whole = join_on(events, customer, "user_id", "c_custkey", "outer", sort=False)
+    whole = join_on(events, customer, "user_id", "c_custkey", "outer", sort=False, salt=False)
     assert "__left" not in plan(whole, run=False)
-    monkeypatch.setattr("tidework.operators.joins.SMALL_SIDE_BYTES", 1000)
     salted = join_on(events, customer, "user_id", "c_custkey", "outer", sort=False)
     assert "__left" in plan(salted, run=False)
     assert salted.schema.names == whole.schema.names
@@ -169,10 +168,36 @@ def test_both_sides_read_one_list_of_frequent_keys(spark, shuffled, table, plan,
     assert "ReusedExchange [__own_key" in "".join(text) or "ReusedExchange [__other_key" in "".join(text)
 
 
-def test_a_limit_is_not_salted(table, plan):
-    some = transform(table("events"), "SELECT * FROM df LIMIT 50")
-    result = join_on(table("customer"), some, "c_custkey", "user_id", "left", sort=False, salt=True)
-    assert "__right" not in plan(result, run=False)
+def test_first_rows_are_written_before_they_are_salted(table, plan):
+    some = transform(table("events"), "SELECT * FROM df LIMIT 50 OFFSET 3")
+    result = join_on(table("customer"), some, "c_custkey", "user_id", "left", sort=False)
+    text = plan(result, run=False)
+    assert "__right" in text and "Limit" not in text
+    assert result.where("user_id IS NOT NULL").count() == 50
+
+
+def test_scans_grow_with_the_number_of_joins(table, plan):
+    joined, scans = table("events"), []
+    for _ in range(4):
+        joined = join_on(joined, table("customer"), "user_id", "c_custkey", "outer", sort=False)
+        joined = joined.withColumnRenamed("c_custkey", f"key_{len(joined.columns)}")
+        scans.append(joined._jdf.queryExecution().optimizedPlan().toString().count("Relation ["))
+    # Each join adds its right side and the hot keys of both sides, each read for cutting and for copying.
+    assert len({b - a for a, b in zip(scans, scans[1:])}) == 1 and scans[-1] <= 21, scans
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_number_keys_meet_text_keys(spark, ansi):
+    old = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        numbers = spark.sql("SELECT * FROM VALUES (1L, 'a'), (2L, 'b') AS t(k, v)")
+        texts = spark.sql("SELECT * FROM VALUES ('1', 'x'), ('none', 'y'), (NULL, 'z') AS t(k, w)")
+        for how, count in (("inner", 1), ("left", 2), ("right", 3), ("outer", 4), ("semi", 1), ("anti", 1)):
+            assert join_on(numbers, texts, "k", "k", how).count() == count
+            assert join_on(texts, numbers, "k", "k", how).count() == {"left": 3, "right": 2, "anti": 2}.get(how, count)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", old)
 
 
 def test_joins_in_a_row_are_all_salted(table, plan):

@@ -58,7 +58,9 @@ def count(df, column, op, text):
         ("day", ">", "2024-01-02T00:00:01Z", 1),
         ("day", "<", "2024-01-02T00:00:01Z", 1),
         ("at", "=", "2024-01-02T03:04:05.678901Z", 1),
-        ("at", "=", "2024-01-02T05:04:05.678901999+02:00", 1),
+        ("at", "=", "2024-01-02T05:04:05.678901999+02:00", 0),
+        ("at", "=", "2024-01-02T05:04:05.678901000+02:00", 1),
+        ("at", "<", "2024-01-02T05:04:05.678901999+02:00", 2),
         ("at", "<", "1970-01-01", 1),
         ("at", "<", "yesterday", 0),
         ("local_at", "=", "2024-01-02T03:04:05.678901Z", 1),

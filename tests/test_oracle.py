@@ -19,24 +19,12 @@ def test_same_rows_as_sql(spark, connection, name):
     assert difference(spark, connection, FOLDER, name) is None
 
 
-def test_approximate_aggregates_are_close(spark, connection):
-    rows = {r.event_type: r for r in entry.queries()["sql_approx"](spark, FOLDER).collect()}
-    exact = connection.execute(
-        "SELECT event_type, count(DISTINCT user_id), quantile_cont(value, [0.25, 0.5, 0.75]) FROM events GROUP BY 1"
-    ).fetchall()
-    assert len(rows) == len(exact)
-    for event_type, users, quartiles in exact:
-        assert abs(rows[event_type].users - users) <= 0.1 * users
-        for got, want in zip(rows[event_type].quartiles, quartiles):
-            assert abs(got - want) <= 0.05 * want + 0.05
-
-
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns == ["label", "x", "y"]
     assert {r.label for r in df.collect()} == {"total", "n"}
 
 
-def test_every_query_but_the_approximate_has_sql():
-    assert {name for name, sql in OWN.items() if not sql} == {"sql_approx"}
+def test_every_query_has_sql():
+    assert all(OWN.values())
     assert set(OWN) <= set(entry.queries())

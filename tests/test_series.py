@@ -93,7 +93,7 @@ def test_times(spark):
     assert rows[1].x == -1.0 and rows[1].y == 1721865600000.0
     assert math.isnan(rows[2].x) and math.isnan(rows[2].y)
     numbers = series(df, "n", "some_TIME").collect()
-    assert numbers[0].y == 1500.0 and math.isnan(numbers[1].y) and math.isnan(numbers[2].y)
+    assert numbers[0].y == 1.5 and math.isnan(numbers[1].y) and math.isnan(numbers[2].y)
 
 
 def test_epoch_columns_as_coordinates(spark):

@@ -7,10 +7,10 @@ from tidework import (
     describe,
     epoch_columns,
     from_json_rows,
+    json_keys,
     presence,
     read_csv,
     read_json_rows,
-    request_rows,
     scan_many,
     scan_ordered,
     scan_range,
@@ -135,7 +135,7 @@ def test_first_rows_in_order_need_no_full_sort(table, plan):
 
 
 def test_scan_many_keeps_the_given_order_and_drops_empty_tables(tables):
-    frames = scan_many(tables, ["orders", "events", "lineitem"], "2001-06-01T00:00:00Z", "2002-01-01T00:00:00Z")
+    frames = scan_many(tables, ["orders", "events", "lineitem"], "2001-06-01T00:00:00Z", "2002-01-01T00:00:00Z", drop_empty=True)
     assert list(frames) == ["orders", "lineitem"]
     assert frames["orders"].count() > 0
     all_frames = scan_many(
@@ -194,7 +194,7 @@ def test_times_without_zone_are_utc_in_any_session(spark, zone):
 def test_json_rows(telemetry, spark):
     lines = to_json_rows(telemetry)
     assert '"voltage"' not in lines.where("value LIKE '%\"cycles\":3,%'").first().value
-    back = from_json_rows(lines)
+    back = from_json_rows(lines, [r.key for r in json_keys(lines).collect()])
     assert back.columns == sorted(telemetry.columns)
     assert {t for _, t in back.dtypes} == {"string"}
     assert back.where("cycles = '3'").first().time == "2024-07-25T16:47:03.123456Z"
@@ -202,28 +202,20 @@ def test_json_rows(telemetry, spark):
     assert named.columns == ["absent", "unit"] and named.where("absent IS NOT NULL").count() == 0
 
 
-def test_keys_that_are_data_are_refused(spark, monkeypatch):
-    monkeypatch.setattr("tidework.sources.rows.MAX_COLUMNS", 20)
+def test_keys_are_found_as_rows(spark):
     lines = spark.range(30).selectExpr("concat('{\"k', id, '\": 1}') AS value")
-    with pytest.raises(ValueError, match="name the columns"):
-        from_json_rows(lines)
+    assert json_keys(lines).count() == 30
     assert from_json_rows(lines, ["k7"]).where("k7 = '1'").count() == 1
 
 
 def test_json_files(telemetry, spark, tmp_path):
     to_json_rows(telemetry).write.text(f"{tmp_path}/rows")
-    found = read_json_rows(spark, f"{tmp_path}/rows")
+    found = read_json_rows(spark, f"{tmp_path}/rows", telemetry.columns)
     assert found.columns == sorted(telemetry.columns)
     assert {t for _, t in found.dtypes} == {"string"}
     assert found.count() == telemetry.count()
 
 
-def test_request_rows(spark):
-    rows = request_rows(spark, [{"b": "1", "a": "x"}, {"c": "2"}])
-    assert rows.columns == ["a", "b", "c"]
-    assert sorted((r.a, r.b, r.c) for r in rows.collect() if r.a) == [("x", "1", None)]
-
-
 def test_csv(telemetry, spark, tmp_path):
     path = f"{tmp_path}/out"
     write_csv(telemetry.coalesce(1), path)
@@ -272,9 +264,9 @@ class _Cluster:
         self.conf = settings
 
 
-def test_work_path_on_a_cluster_needs_a_shared_folder():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        work_path(_Cluster(**{"spark.master": "yarn"}), "x")
+def test_work_path_on_a_cluster_is_in_a_shared_folder():
+    warehouse = _Cluster(**{"spark.master": "yarn", "spark.sql.warehouse.dir": "hdfs://lake/tables"})
+    assert work_path(warehouse, "x").startswith("hdfs://lake/tables/work/x-")
     shared = _Cluster(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://lake/work"})
     assert work_path(shared, "x").startswith("hdfs://lake/work/x-")
 
@@ -285,3 +277,20 @@ def test_work_path_is_in_the_shared_folder(spark):
     assert one != two
     if root:
         assert one.startswith(root)
+
+
+def test_epoch_columns_keep_what_is_there(spark):
+    rows = spark.sql("SELECT TIMESTAMP'9999-12-31 00:00:00Z' AS time, 5 AS time_s")
+    row = epoch_columns(rows).first()
+    assert (row.time_s, row.time_ns, row.time_s_epoch) == (5, None, 253402214400)
+
+
+def test_exported_times_are_utc_in_any_zone(spark, tmp_path):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        rows = spark.sql("SELECT TIMESTAMP'2024-11-03 05:30:00.000001Z' AS t UNION ALL SELECT TIMESTAMP'2024-11-03 06:30:00Z'")
+        write_csv(rows.coalesce(1), f"{tmp_path}/zone")
+        text = spark.sparkContext.wholeTextFiles(f"{tmp_path}/zone/part*").values().first()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert text.split() == ['"t"', '"2024-11-03T05:30:00.000001"', '"2024-11-03T06:30:00"']

@@ -3,7 +3,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.errors import AnalysisException, ParseException
 
-from tidework import preview, preview_frame, transform, transform_rows
+from tidework import preview, preview_frame, transform
 from tidework.operators.preview import preview_rows
 
 
@@ -51,12 +51,6 @@ def test_filters_and_columns_reach_the_files(table, plan):
     assert "ReadSchema: struct<l_tax:double,l_returnflag:string>" in text
 
 
-def test_request_rows(spark):
-    result = transform_rows(spark, [{"b": "2", "a": "1"}, {"a": "3"}], "SELECT a, b FROM data ORDER BY a")
-    assert [tuple(r) for r in result.collect()] == [("1", "2"), ("3", None)]
-    assert {t for _, t in result.dtypes} == {"string"}
-
-
 @pytest.mark.parametrize(
     "columns, limit, cells, rows",
     [
@@ -76,3 +70,8 @@ def test_preview(spark):
     df = spark.range(10).selectExpr("id", "cast(id as string) AS s")
     assert preview(df, 2) == {"data": [{"id": 0, "s": "0"}, {"id": 1, "s": "1"}], "columns": ["id", "s"]}
     assert preview_frame(df, max_cells=6).count() == 3
+
+
+@pytest.mark.parametrize("end", ["; -- done", " -- done\n;", " /* a; b */ ; ;", "; -- it's\n"])
+def test_comments_and_semicolons_at_the_end(spark, end):
+    assert transform(spark.range(3), "SELECT ';--' AS s, id FROM df" + end).first() == (";--", 0)

@@ -168,12 +168,14 @@ def test_shared_boxes_can_be_persisted(catalog):
     )
     assert workflow.shared() == ["rows"]
     plain = run_box(workflow, catalog, "both")
-    kept = run_workflow(workflow, catalog, persist_shared=StorageLevel.MEMORY_AND_DISK)["both"]
+    persisted = []
+    kept = run_workflow(workflow, catalog, persist_shared=StorageLevel.MEMORY_AND_DISK, persisted=persisted)["both"]
     assert "InMemoryTableScan" in kept._jdf.queryExecution().executedPlan().toString()
     assert plain.agg(F.count("event_id"), F.count("event_id_right")).first() == (
         kept.agg(F.count("event_id"), F.count("event_id_right")).first()
     )
-    catalog.spark.catalog.clearCache()
+    assert len(persisted) == 1
+    persisted[0].unpersist()
 
 
 def test_a_box_that_fails_need_not_stop_the_others(catalog):
@@ -201,3 +203,27 @@ def test_a_limit_takes_the_first_rows_in_time_order(catalog):
     assert [r.ts for r in frames["first"].collect()] == clicks[:7]
     # Under an aggregate Spark drops the sort.
     assert "rangepartitioning" not in frames["most"]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_saved_form_round_trip():
+    workflow = Workflow.load(SAVED_WORKFLOW)
+    assert Workflow.load(workflow.dump()) == workflow
+    assert Workflow.load(workflow.dump("listing"), "listing") == workflow
+
+
+@pytest.mark.parametrize("kind", ["plto", "joined", ""])
+def test_unknown_box_types_raise(kind):
+    with pytest.raises(ValueError, match="unknown type"):
+        Workflow.load({"boxes": [{"id": "a", "type": kind, "runArgs": {}}]})
+
+
+def test_order_and_filters_under_a_limit(catalog):
+    first = "SELECT event_id FROM df WHERE event_type = 'click' LIMIT 7"
+    most = "SELECT user_id, sum(value) AS v FROM df GROUP BY user_id ORDER BY v DESC LIMIT 3"
+    word = "SELECT event_id FROM df WHERE event_type = 'over limit'"
+    boxes = {name: Sql("rows", "advanced", advancedSQL=text) for name, text in (("first", first), ("most", most), ("word", word))}
+    frames = run_workflow(Workflow.of(rows=Table("events", START, END), **boxes), catalog)
+    plans = {name: df._jdf.queryExecution().executedPlan().toString() for name, df in frames.items()}
+    assert "EqualTo(event_type,click)" in plans["first"]
+    assert "rangepartitioning" not in plans["most"] and "Sort [ts" not in plans["most"]
+    assert "rangepartitioning" not in plans["word"] and "EqualTo(event_type,over limit)" in plans["word"]

@@ -33,8 +33,13 @@ def _origin(df: DataFrame) -> list[Column]:
             return origin
         except AnalysisException:
             pass
+    return [row_hash(df)]
+
+
+def row_hash(df: DataFrame) -> Column:
+    """A number from a row's cells, maps left out."""
     cells = [col(f.name) for f in df.schema.fields if not _has_map(f.dataType)]
-    return [F.xxhash64(*cells)] if cells else []
+    return F.xxhash64(*cells) if cells else F.lit(0).cast("long")
 
 
 def _has_map(kind: T.DataType) -> bool:

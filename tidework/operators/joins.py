@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidework.functions.names import col, find_field, quote
-from tidework.functions.ordering import in_order
+from tidework.functions.ordering import in_order, row_hash
 from tidework.plans.inspect import is_repeatable
 from tidework.session import work_path
 
@@ -25,6 +25,7 @@ _LEFT = {"left", "leftouter"}
 _RIGHT = {"right", "rightouter"}
 _FULL = {"outer", "full", "fullouter"}
 _ONE_SIDED = {"semi", "leftsemi", "anti", "leftanti"}
+NULL_PIECES = 1 << 20
 
 
 def join_on(
@@ -170,10 +171,10 @@ def _cut_and_copy(
     if own is not None:
         pieces = own.toDF("__own_key", "__own_pieces")
         df = df.join(F.broadcast(pieces), df[quote(key)] == pieces["__own_key"], "left")
-        # The input split stays the same if a lost task is run again. NULL keys meet nobody
-        # and may go anywhere.
-        split = F.spark_partition_id()
-        cut = F.when(col(key).isNull(), split).otherwise(F.pmod(split, F.coalesce("__own_pieces", F.lit(1))))
+        # By the row's own cells, so that it lies in the same piece whenever it is read. NULL keys meet
+        # nobody and may go anywhere.
+        split = row_hash(df)
+        cut = F.pmod(split, F.when(col(key).isNull(), NULL_PIECES).otherwise(F.coalesce("__own_pieces", F.lit(1))).cast("long")).cast("int")
     if other is not None:
         pieces = other.toDF("__other_key", "__other_pieces")
         df = df.join(F.broadcast(pieces), df[quote(key)] == pieces["__other_key"], "left")
