@@ -27,6 +27,7 @@ from tidework.llm.common import by_group, fold, saved
 
 BITS = 52  # of an n-gram's hash, its order among them
 CHUNK = 4 << 20  # bytes of text
+GRAMS = 1 << 21  # n-grams summed together in a range of hashes, at most about so many
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(b"a " + w)) for w in (b"start", b"end"))  # no word holds a blank
 TOP = 33  # largest power of two with a bucket of its own
 CONTEXTS = 2 * TOP + 3
@@ -59,7 +60,8 @@ class Places(dict):
 
 
 def _chunks(documents: DataFrame, key: str, text: str, training, held) -> DataFrame:
-    """(chunk, held, keys, training, lengths, tokens, words): documents as places in the words of their chunk."""
+    """(chunk, held, size, keys, training, lengths, tokens, words): documents as places in the words of their chunk; its
+    number of tokens is ``size``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -76,6 +78,7 @@ def _chunks(documents: DataFrame, key: str, text: str, training, held) -> DataFr
             columns = [
                 pa.array([next_id]),
                 pa.array([which]),
+                pa.array([lengths.sum()]),
                 pa.array([[k for k, _, _ in rows]], pa.list_(kind)),
                 pa.array([packed(np.array([t for _, t, _ in rows], np.int64))], pa.binary()),
                 pa.array([packed(lengths)], pa.binary()),
@@ -83,7 +86,8 @@ def _chunks(documents: DataFrame, key: str, text: str, training, held) -> DataFr
                 pa.array([packed(words)], pa.binary()),
             ]
             next_id += 1
-            return pa.RecordBatch.from_arrays(columns, ["chunk", "held", "keys", "training", "lengths", "tokens", "words"])
+            names = ["chunk", "held", "size", "keys", "training", "lengths", "tokens", "words"]
+            return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             kind = batch.schema.field(0).type
@@ -106,7 +110,10 @@ def _chunks(documents: DataFrame, key: str, text: str, training, held) -> DataFr
         F.col(key).alias("key"), training.alias("training"), held.alias("held"), F.col(text).cast("binary").alias("text")
     )
     kind = rows.schema["key"].dataType.simpleString()
-    schema = f"chunk long, held boolean, keys array<{kind}>, training binary, lengths binary, tokens binary, words binary"
+    schema = (
+        f"chunk long, held boolean, size long, keys array<{kind}>, training binary, lengths binary, tokens binary, "
+        "words binary"
+    )
     return saved(rows.mapInArrow(run, schema), "chunks")
 
 
@@ -183,9 +190,10 @@ def _asked(chunks: DataFrame, parts: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 chunk = Chunk(row)
                 counts = chunk.counts()
-                edges = np.searchsorted(chunk.grams, np.arange(parts + 1, dtype=np.uint64) << np.uint64(shift))
-                some = [p for p in range(parts) if edges[p] < edges[p + 1]]
-                spans = [slice(edges[p], edges[p + 1]) for p in some]
+                ranges = (chunk.grams >> np.uint64(shift)).astype(np.int64)
+                edges = np.append(np.flatnonzero(np.diff(ranges, prepend=-1)), len(ranges))
+                some = ranges[edges[:-1]]
+                spans = [slice(low, high) for low, high in zip(edges[:-1], edges[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(some, pa.int64()),
@@ -340,7 +348,10 @@ def interpolated_scores(
     crc = F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")))
     training = fold(key, folds) != held
     chunks = _chunks(documents, key, text, training, training & (F.floor(crc / folds) % weight_share == 0))
-    parts = 1 << (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length()
+    # A token asks for three n-grams at most, so a range stays in memory however many tokens there are.
+    tokens = int(chunks.agg(F.sum("size")).first()[0] or 0)
+    ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * tokens // GRAMS)
+    parts = 1 << (ranges - 1).bit_length()
     answers = saved(by_group(_asked(chunks, parts), ["part"], _answer, ANSWER), "counts")
     sums = ["tokens", "known", "kept_tokens", "kept_known"]
     total, known, kept_total, kept_known = (
