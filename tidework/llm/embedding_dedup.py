@@ -60,6 +60,21 @@ class MultiIndex:
         best = np.argsort(sums, 1, kind="stable")[:, :count]
         return np.take_along_axis(orders[0], i[best], 1) * len(self.books[1]) + np.take_along_axis(orders[1], j[best], 1)
 
+    def place(self, vectors: np.ndarray, others: np.ndarray) -> np.ndarray:
+        """How many cells each vector visits before the other one's own; a few vectors at a time, each with all cells."""
+        half = vectors.shape[1] // 2
+        parts = [_distances(p, b) for p, b in zip((vectors[:, :half], vectors[:, half:]), self.books)]
+        own = self.cells(others, 1)[:, 0]
+        first, second = own // len(self.books[1]), own % len(self.books[1])
+        rows = np.arange(len(vectors))
+        to = parts[0][rows, first] + parts[1][rows, second]
+        out = np.empty(len(vectors), np.int64)
+        for low in range(0, len(vectors), 16):
+            some = slice(low, low + 16)
+            sums = parts[0][some, :, None] + parts[1][some, None, :]
+            out[some] = (sums < to[some, None, None]).sum((1, 2))
+        return out
+
 
 def build_index(sample: np.ndarray, similarity: float, recall: float, codewords: int, seed: int = 7) -> MultiIndex:
     """Codebooks of the sample of unit vectors, and the visits that let ``recall`` of the pairs meet whose cosine is
@@ -74,10 +89,8 @@ def build_index(sample: np.ndarray, similarity: float, recall: float, codewords:
     aside -= (aside * some).sum(1, keepdims=True) * some
     length = np.linalg.norm(aside, axis=1, keepdims=True)
     partner = similarity * some + np.sqrt(1 - similarity**2) * aside / np.where(length > 0, length, 1)
-    total = codewords * codewords
-    mine, theirs = index.cells(some, total), index.cells(partner, total)
     # A pair meets if either of the two visits the other's cell.
-    after = np.minimum((mine == theirs[:, :1]).argmax(1), (theirs == mine[:, :1]).argmax(1))
+    after = np.minimum(index.place(some, partner), index.place(partner, some))
     index.visits = int(np.quantile(after, recall, method="higher")) + 1
     return index
 
