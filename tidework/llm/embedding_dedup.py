@@ -129,11 +129,13 @@ def near_vectors(
     ``most_codewords`` each; all rows are indexed, with cells of ``occupancy``
     vectors or so. Each dimension has an index of its own.
     """
+    # Floats travel as floats; cosines are in double precision all the same.
+    number = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
     rows = vectors.select(
-        F.col(key).alias("key"), F.col(label).alias("label"), F.col(embedding).cast("array<double>").alias("vector")
+        F.col(key).alias("key"), F.col(label).alias("label"), F.col(embedding).cast(f"array<{number}>").alias("vector")
     ).withColumn("usable", F.coalesce(_usable("vector") & F.col("label").isNotNull(), F.lit(False)))
     # Minus zero equals zero, so both give one class.
-    plain = F.transform("vector", lambda x: x + F.lit(0.0))
+    plain = F.transform("vector", lambda x: x + F.lit(0.0).cast(number))
     rows = saved(
         rows.withColumn("vector", F.when(F.col("usable"), plain)).withColumn(
             "node", F.when(F.col("usable"), F.xxhash64("label", "vector"))
@@ -190,10 +192,10 @@ def _links(
                 lists = pa.ListArray.from_arrays(np.arange(len(cells) + 1) * cells.shape[1], pa.array(cells.ravel().astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["node", "members", "label", "vector", "cells"])
 
-    kind = classes.schema["label"].dataType.simpleString()
+    kind, array = (classes.schema[c].dataType.simpleString() for c in ("label", "vector"))
     placed = saved(
         classes.select("node", "members", "label", "vector").mapInArrow(
-            visit, f"node long, members long, label {kind}, vector array<double>, cells array<int>"
+            visit, f"node long, members long, label {kind}, vector {array}, cells array<int>"
         ),
         "placed",
     )
