@@ -110,6 +110,23 @@ def test_toxicity_of_held_out_documents(spark):
     assert sum(r.predicted for y, r in rows if not y) <= 0.02 * len(rows)
 
 
+def test_toxicity_of_each_language(spark):
+    """Toxic words with many endings, none of them frequent, are learned too."""
+    documents = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    found = toxicity.toxicity_scores(documents, labels).where("held_out").join(documents.select("doc_id", "lang"), "doc_id")
+    rows = found.join(labels.where("toxic IS NOT NULL"), "doc_id").collect()
+    for lang in ("en", "de", "fr", "es"):
+        toxic = [r.predicted for r in rows if r.lang == lang and r.toxic]
+        assert sum(toxic) >= 0.75 * len(toxic) > 0, lang
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.03 * sum(not r.toxic for r in rows)
+
+
+def test_toxicity_may_flag_nothing():
+    same = np.ones(100)
+    assert toxicity._cut(same, same, 0.1) > 1
+
+
 def test_language_of_held_out_documents(documents):
     truth = {r.doc_id: r.lang for r in documents.collect()}
     rows = [r for r in language.language_ids(documents).collect() if r.held_out]

@@ -5,13 +5,15 @@ Only confirmed toxic texts and unlabelled texts are learned from. With the share
 the unlabelled risk less ``prior`` times the risk of taking toxic texts for
 clean. That difference is never allowed below zero: where it would be, training
 steps back instead (the non-negative estimator). The model is logistic over the
-words a text contains, hashed to a fixed number of weights.
+words a text contains, their beginnings, and beginnings that two or more of its
+words share, hashed to a fixed number of weights: all of them are trained.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,25 +23,29 @@ from pyspark.sql import functions as F
 
 from tidework.llm.common import fold, labelled_texts, smallest_by_hash
 
-BITS = 18
+BITS = 20
+STEMS = (5, 6, 7)  # bytes of a word's beginnings
 # Whatever is neither an ASCII letter or digit nor part of another script parts words.
 _KEEP = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
 class WordCells(dict):
-    """The weight of each word, remembered up to a number of words."""
+    """The weights of each word and of its beginnings, remembered up to a number of words."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
+    def __missing__(self, word: bytes) -> tuple[int, ...]:
+        if len(self) >= 200_000:
             self.clear()
-        cell = self[word] = xxhash.xxh32_intdigest(word) >> (32 - BITS)
-        return cell
+        parts = (word, *(b"\x01" + word[:n] for n in STEMS if len(word) >= n))
+        found = self[word] = tuple(xxhash.xxh32_intdigest(part) >> (32 - BITS) for part in parts)
+        return found
 
 
 def cells(text: bytes, known: WordCells) -> np.ndarray:
-    """The distinct weights of a text's words."""
+    """The distinct weights of a text's words and their beginnings, and those of what two or more distinct words share."""
     words = set(text.lower().translate(_KEEP).split())
-    return np.unique(np.fromiter(map(known.__getitem__, words), np.int64, len(words)))
+    one, times = np.unique(np.fromiter(chain.from_iterable(map(known.__getitem__, words)), np.int64), return_counts=True)
+    shared = (one[times > 1] * 0x9E3779B1 + 1) % (1 << 32) >> (32 - BITS)
+    return np.unique(np.concatenate([one, shared]))
 
 
 @dataclass
@@ -55,74 +61,56 @@ def train(
     positive: list[np.ndarray],
     unlabelled: list[np.ndarray],
     prior: float,
-    sure: float = 4.0,
-    steps: int = 2000,
-    decay: float = 0.0002,
-    seed: int = 3,
+    shrink: float = 3.0,
+    steps: int = 150,
 ) -> ToxicModel:
-    """Fits by the non-negative risk estimator with logistic loss. A word has a weight if its share of the positive texts
-    is ``sure`` standard errors above its share of the unlabelled ones, so that the many words of a long clean text add
-    nothing; weights also shrink a little towards zero."""
+    """Fits by the non-negative risk estimator with logistic loss on all cells, each step on all texts. A weight is never
+    below zero and costs ``shrink`` standard errors of its cell's share of the positive texts, so that the many words of
+    a long clean text add little. A cell that no positive text has cannot speak for toxic."""
     size = 1 << BITS
     weights = np.zeros(size)
     if not positive:
         return ToxicModel(weights, -30.0)
     if not unlabelled or prior >= 1:
         return ToxicModel(weights, 30.0 if prior >= 1 else 0.0)
-    p, u = (np.bincount(np.concatenate(t), minlength=size) / len(t) for t in (positive, unlabelled))
-    often = p - u > sure * np.sqrt((p * (1 - p) + u * (1 - u)) / len(positive))
-    columns = np.flatnonzero(often)
-    column = np.full(size, -1)
-    column[columns] = np.arange(len(columns))
-
-    def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        kept = [column[t[often[t]]] for t in texts]
-        return np.repeat(np.arange(len(kept)), [len(k) for k in kept]), np.concatenate(kept)
-
-    pos, unl = matrix(positive), matrix(unlabelled)
-    n = (len(positive), len(unlabelled))
-    w, b = np.zeros(len(columns)), float(np.log(prior / (1 - prior)))
-    m, v = np.zeros((2, len(columns) + 1))
-    rng = np.random.default_rng(seed)
-    order = [np.argsort(x[0], kind="stable") for x in (pos, unl)]
-    bounds = [np.searchsorted(x[0], np.arange(k + 1)) for x, k in zip((pos, unl), n)]
-
-    def rows(which: int, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.diff(bounds[which])[some]
-        at = np.repeat(bounds[which][some] - np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-        places = at + np.arange(lengths.sum())
-        return np.repeat(np.arange(len(some)), lengths), (pos, unl)[which][1][order[which]][places]
-
+    there = np.unique(np.concatenate(positive))
+    column = np.full(size, -1, np.int32)
+    column[there] = np.arange(len(there))
+
+    def matrix(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+        kept = [c[c >= 0] for c in (column[t] for t in texts)]
+        return np.repeat(np.arange(len(kept), dtype=np.int32), [len(k) for k in kept]), np.concatenate(kept), len(kept)
+
+    (rp, cp, np_), (ru, cu, nu) = matrix(positive), matrix(unlabelled)
+    k = len(there)
+    share = (np.bincount(cp, minlength=k) + np.bincount(cu, minlength=k)) / (np_ + nu)
+    cost = prior * (shrink * np.sqrt(share * (1 - share) / np_) + 1e-4)
+    w, b = np.zeros(k), float(np.log(prior / (1 - prior)))
+    m, v = np.zeros((2, k + 1))
     for step in range(1, steps + 1):
-        side, slope = [], []
-        for which, count in ((0, 512), (1, 4096)):
-            some = rng.integers(0, n[which], count)
-            r, f = rows(which, some)
-            z = np.bincount(r, w[f], count) + b
-            side.append((r, f, z, count))
-            slope.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
-        (rp, fp, zp, kp), (ru, fu, zu, ku) = side
+        zp, zu = np.bincount(rp, w[cp], np_) + b, np.bincount(ru, w[cu], nu) + b
+        sp, su = (1 / (1 + np.exp(-np.clip(z, -30, 30))) for z in (zp, zu))
         # Risks by logistic loss: toxic taken for clean is log(1 + e^z), and so on.
         clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = prior * (slope[0] - 1) / kp, slope[1] / ku
-        if clean >= 0:
-            gp = gp - prior * slope[0] / kp
-        else:  # step back from a negative risk
-            gp, gu = prior * slope[0] / kp, -gu
-        g = np.append(np.bincount(fp, gp[rp], len(w)) + np.bincount(fu, gu[ru], len(w)), gp.sum() + gu.sum())
+        gp, gu, price = -prior / np_ * np.ones(np_), su / nu, cost
+        if clean < 0:  # step back from a negative risk
+            gp, gu, price = prior * sp / np_, -gu, 0 * cost
+        slope = np.bincount(cp, gp[rp], k) + np.bincount(cu, gu[ru], k) + price
+        g = np.append(slope, gp.sum() + gu.sum())
         m += 0.1 * (g - m)
-        v += 0.001 * (g * g - v)
-        rate = 0.5 * (1 + np.cos(np.pi * step / steps))
-        move = 0.05 * rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-6)
-        w = np.maximum((w - move[:-1]) * (1 - decay * rate), 0)  # these words speak for toxic only
+        v += 0.01 * (g * g - v)
+        rate = 0.1 * 0.5 * (1 + np.cos(np.pi * step / steps))
+        move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
+        w = np.maximum(w - move[:-1], 0)
         b -= move[-1]
-    weights[columns] = w
-    return ToxicModel(weights, -_cut(*(np.bincount(x[0], w[x[1]], k) for x, k in zip((pos, unl), n)), prior))
+    weights[there] = w
+    return ToxicModel(weights, -_cut(np.bincount(rp, w[cp], np_), np.bincount(ru, w[cu], nu), prior))
 
 
 def _cut(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> float:
     """The cut with the least non-negative risk of wrong decisions, in the middle of its gap: where scores pass one half."""
     values = np.unique(np.concatenate([positive, unlabelled]))
+    values = np.append(values, values[-1] + 2)  # a cut above the largest value flags nothing
     caught = 1 - np.searchsorted(np.sort(positive), values) / len(positive)
     taken = 1 - np.searchsorted(np.sort(unlabelled), values) / len(unlabelled)
     best = int(np.argmin(prior * (1 - caught) + np.maximum(0, taken - prior * caught)))
