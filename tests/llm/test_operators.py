@@ -205,6 +205,22 @@ def test_two_small_pieces_replace_a_smaller_one():
     assert sorted(np.bincount(bins, lengths)) == [30, 100]
 
 
+def test_repacking_more_pieces_than_a_window_is_never_worse(spark, monkeypatch):
+    """400 pieces of 1500 and 400 of 520 tokens fit two by two, whatever the window."""
+    monkeypatch.setattr(packing, "WINDOW", 64)
+    rows = [(i, "x" * (1499 if i % 2 else 519)) for i in range(800)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3, "doc_id")
+    pieces = packing.pack(frame, encode=lambda t: t + t + t + t).collect()
+    assert sorted(Counter(p.length for p in pieces).items()) == [(520, 400), (1500, 400)]
+    bins = defaultdict(list)
+    for p in pieces:
+        bins[p.sequence_id].append((p.offset, p.length))
+    for places in bins.values():
+        assert sum(n for _, n in places) <= 2048
+        assert [at for at, _ in sorted(places)] == [sum(n for _, n in sorted(places)[:i]) for i in range(len(places))]
+    assert len(bins) <= 404
+
+
 # ---- secrets -----------------------------------------------------------------------------------
 
 

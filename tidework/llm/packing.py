@@ -4,7 +4,8 @@ A bin is filled greedily, largest piece first. Where a gap is left, the bin's
 smallest piece makes way for two unpacked pieces if they fill the widened gap
 more tightly. Each task tokenizes and packs its own documents; only pieces of
 bins that stayed ragged are gathered, a bounded number of tasks at a time, and
-packed once more. Tokens never move: pieces are described, not shuffled.
+packed once more, all together; where that needs no fewer bins, the first
+placement stays. Tokens never move: pieces are described, not shuffled.
 """
 
 from __future__ import annotations
@@ -25,18 +26,19 @@ from pyspark.sql import functions as F
 from tidework.llm.common import worker_cache
 
 RAGGED = 1 / 256  # a bin with a larger share of its length unused is packed again
-WINDOW = 1 << 16  # pieces packed together at most
+WINDOW = 1 << 16  # pieces a task packs together before it has seen all
 GATHERED = 64  # tasks whose ragged pieces are packed together
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """The bin of each piece; lengths from 1 to ``capacity``."""
-    order = np.argsort(lengths, kind="stable")[::-1]
-    shelves: dict[int, list[int]] = {}
-    for i in order:
-        shelves.setdefault(int(lengths[i]), []).append(int(i))
+    order = np.argsort(lengths, kind="stable")
+    held_lengths, starts = np.unique(lengths[order], return_index=True)
+    # Pieces of a length that are left are a slice of the order; the last one goes first.
+    low = dict(zip(held_lengths.tolist(), starts.tolist()))
+    high = dict(zip(held_lengths.tolist(), [*starts[1:].tolist(), len(order)]))
     there = 0  # bit n is set if a piece of length n is left
-    for n in shelves:
+    for n in low:
         there |= 1 << n
 
     def largest(limit: int) -> int:
@@ -48,11 +50,10 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
 
     def take(n: int) -> int:
         nonlocal there
-        shelf = shelves[n]
-        i = shelf.pop()
-        if not shelf:
+        high[n] -= 1
+        if high[n] == low[n]:
             there &= ~(1 << n)
-        return i
+        return order[high[n]]
 
     while there:
         gap, held = capacity, []
@@ -60,12 +61,12 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
             held.append((n, take(n)))
             gap -= n
         if gap and len(held) > 1 and there:
-            small, index = held[-1]
+            small = held[-1][0]
             room, best = gap + small, (small, 0, 0)
             n = largest(room - 1)
             while n and 2 * n > best[0]:  # two pieces of at most n each
                 second = largest(min(n, room - n))
-                if second == n and len(shelves[n]) < 2:
+                if second == n and high[n] - low[n] < 2:
                     second = largest(n - 1)
                 if second and n + second > best[0]:
                     best = (n + second, n, second)
@@ -74,7 +75,7 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
                 n = largest(n - 1)
             if best[1]:
                 held.pop()
-                shelves[small].append(index)
+                high[small] += 1
                 there |= 1 << small
                 held += [(k, take(k)) for k in best[1:]]
         for _, i in held:
@@ -228,14 +229,12 @@ def pack(
         if group < 0:
             return pieces
         pieces = pieces.sort_values(["length", "ids_crc32", "start"], kind="stable").reset_index(drop=True)
+        # The group's pieces are here already, so all are packed together: large ones meet small ones at any size.
         length = pieces["length"].to_numpy()
-        first = 0
-        for low in range(0, len(pieces), WINDOW):
-            part = slice(low, low + WINDOW)
-            bins = best_two_fit(length[part], capacity)
-            pieces.loc[pieces.index[part], "sequence_id"] = -1 - ((group << 32) + first + bins)
-            pieces.loc[pieces.index[part], "offset"] = _places(length[part], bins)
-            first += bins.max() + 1
+        bins = best_two_fit(length, capacity)
+        if bins.max() + 1 < pieces["sequence_id"].nunique():
+            pieces["sequence_id"] = -1 - ((group << 32) + bins)
+            pieces["offset"] = _places(length, bins)
         return pieces
 
     rows = documents.select(F.col(key).alias("key"), F.col(text).cast("binary").alias("text"))
