@@ -356,6 +356,18 @@ def test_join_finds_all_links(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_links, r.class_id) for r in rows} == {k: (degree[k], classes[k]) for k in texts}
 
 
+def test_one_of_each_class_where_keys_repeat_or_are_missing(spark):
+    def text(name, changed=0):
+        return " ".join(f"{name}{i}" if i >= changed else f"other{changed}" for i in range(60))
+
+    rows = [(0, text("a")), (0, text("b")), (0, text("c")), (0, text("c", 1)), (5, text("b", 1)), (0, ""), (0, " ")]
+    rows += [(None, text("d")), (None, text("d", 1)), (None, text("d")), (None, text("e")), (7, text("e", 1)), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = ngram_join.one_of_each(frame).collect()
+    assert Counter(r.doc_id for r in kept) == {0: 5, 7: 1, None: 2}
+    assert Counter(r.text.split()[-1][0] for r in kept if words(r.text)) == Counter("abcde")
+
+
 def test_bands_meet_the_recall():
     for rows in (2, 4, 6):
         bands = ngram_join.band_count(0.8, rows, 0.999)

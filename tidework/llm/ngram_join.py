@@ -234,7 +234,7 @@ def jaccard_join(
     recall: float = 0.9999,
     rows: int = 6,
 ) -> DataFrame:
-    """(key, class_id, set_id, n_links, n_class_links, row_a, row_b) of every row.
+    """(key, class_id, set_id, n_links, n_class_links, row_a, row_b, component) of every row.
 
     ``class_id`` is the smallest key reachable by links, ``set_id`` the smallest
     key with the same n-grams, ``n_links`` the number of other rows linked
@@ -242,8 +242,10 @@ def jaccard_join(
     similarity ``similarity`` or more are linked, each pair found with
     probability ``recall`` or more, equal sets always. Rows without words, null
     texts among them, link with nothing and are their own class. Null keys are
-    larger than all others: a class has one only if it has no other. The last
-    two columns are the row's hashes over key and text.
+    larger than all others: a class has one only if it has no other. ``row_a``
+    and ``row_b`` are the row's hashes over key and text. Classes whose smallest
+    keys are the same, as keys that repeat or are null, share a ``class_id``;
+    ``component`` is a number of the class alone, null for rows without words.
 
     Candidates are compared within connected groups of candidates, so a text
     moves once; a group larger than a block is compared band by band instead,
@@ -296,7 +298,7 @@ def jaccard_join(
     infos = (
         classes.select("node", F.col("key").alias("set_key"), F.col("members").alias("own"))
         .join(totals, "node", "left")
-        .join(whole.join(named, "component").select("node", "class_key"), "node", "left")
+        .join(whole.join(named, "component").select("node", "class_key", "component"), "node", "left")
     )
     return (
         signed.select("key", "node", "row_a", "row_b")
@@ -309,6 +311,7 @@ def jaccard_join(
             F.coalesce("classes", F.lit(0)).cast("long").alias("n_class_links"),
             "row_a",
             "row_b",
+            F.coalesce("component", "node").alias("component"),
         )
     )
 
@@ -316,15 +319,16 @@ def jaccard_join(
 def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """The rows of ``documents`` less near copies: of each class the row with the smallest key, one of equal rows.
 
-    Rows of the class whose key is not the smallest go, and so do rows that
-    repeat key and text; a class without a key keeps one row of its smallest
-    row hash. Rows without words stay, one of each key.
+    A class keeps the row of its smallest row hash among those of its smallest
+    key, or among all if none has a key, whether or not other classes have the
+    same key. Rows without words are classes of their own: all stay, less those
+    that repeat key and text.
     """
     found = jaccard_join(documents, key, text, **settings)
+    alone = F.col("component").isNull()
     stay = (
-        found.where(F.col(key).eqNullSafe(F.col("class_id")))
-        .groupBy(F.col("class_id").alias("of"), F.when(F.col("class_id").isNull(), F.col("row_a")).alias("no_key"))
-        .agg(F.min(F.struct("row_a", "row_b")).alias("row"))
+        found.groupBy("component", F.when(alone, F.col("row_a")).alias("a"), F.when(alone, F.col("row_b")).alias("b"))
+        .agg(F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "row_a", "row_b")).alias("row"))
         .select("row.row_a", "row.row_b")
     )
     a, b = free_names(documents, "row_a", "row_b")

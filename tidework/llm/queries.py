@@ -106,7 +106,7 @@ FROM documents d JOIN least_of USING (doc_id) JOIN sets USING (doc_id) LEFT JOIN
 
 @query("op9_ngram_jaccard_join", NGRAM_SQL)
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.jaccard_join(read(spark, folder, "documents")).drop("row_a", "row_b")
+    return ngram_join.jaccard_join(read(spark, folder, "documents")).drop("row_a", "row_b", "component")
 
 
 VECTOR_SQL = """
