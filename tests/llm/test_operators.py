@@ -252,6 +252,35 @@ def test_random_text_is_found_and_words_are_not(spark):
     assert sum(found[i] for i in range(40, 80)) <= 1
 
 
+def test_random_parts_of_runs_are_found(spark):
+    """Keys in paths, after prefixes with other signs, in two alphabets at once, and beside a known form."""
+    rng = np.random.default_rng(5)
+    plain, base64 = (np.array(list(secret_scan.ALPHABETS[k])) for k in (-3, -2))
+    forms = [
+        ("/reset-password/{}", plain, 44),
+        ("/v1/api_keys/{}", plain, 44),
+        ("key-{}", base64, 60),
+        ("sk_live_{}", base64, 60),
+        ("0123456789abcdef01{}", np.array(list("GHJKLMNPQRSTUVWXYZghjklmnpqrstuvwxyz")), 44),
+    ]
+    texts, wanted = [], []
+    for form, letters, n in forms:
+        for _ in range(20):
+            key = "".join(rng.choice(letters, n))
+            texts.append(f"see {form.format(key)} now")
+            wanted.append((texts[-1].index(key), texts[-1].index(key) + n))
+    words = ["/the/state-of-the-art_report/about/some-other-things", "/2024/01/02/another_article-title/index-page"] * 20
+    frame = spark.createDataFrame(list(enumerate(texts + words)), "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in secret_scan.secret_spans(frame).collect()}
+    for k in range(0, len(texts), 20):
+        hits = 0
+        for i in range(k, k + 20):
+            found = [tuple(map(int, s.split(":")[1:])) for s in spans[i].split(",") if s.startswith("random")]
+            hits += any(a <= wanted[i][0] and b >= wanted[i][1] for a, b in found)
+        assert hits >= 15, (forms[k // 20][0], hits)
+    assert sum("random" in spans[i] for i in range(len(texts), len(spans))) == 0
+
+
 # ---- fingerprints ---------------------------------------------------------------------------
 
 

@@ -1,7 +1,8 @@
 """Secret scans: known forms by pattern, unknown ones by a battery of randomness tests.
 
-Beside keys with a known form, every long run of key characters is a candidate.
-Its encoding is inferred from its characters, and three tests are made on the
+Beside keys with a known form, every long run of key characters is a candidate,
+and so is every long part of it between signs that may join words and keys. What
+lies beside a known form is a run of its own. A candidate's encoding is inferred from its characters, and three tests are made on the
 places of its characters in that alphabet: chi-squared for a uniform use of the
 alphabet, runs above and below the middle, and serial correlation. A candidate
 is a secret if the battery does not reject that it is random, and if it is too
@@ -26,6 +27,8 @@ KINDS = ["assign", "access", "hex", "random"]
 
 CANDIDATE_LEAST = 20
 CANDIDATE = rf"[A-Za-z0-9+/_-]{{{CANDIDATE_LEAST},}}+"
+# Parts of a run: what lies between its signs, or between those that one of the two encodings with signs leaves out.
+PARTS = [rf"[A-Za-z0-9{signs}]{{{CANDIDATE_LEAST},}}+" for signs in ("", "+", "+/", "_-")]
 _DIGITS, _SMALL, _LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # The first alphabet that holds all characters of a candidate is its encoding. Digits alone are numbers, no secrets.
 ALPHABETS = [
@@ -41,6 +44,7 @@ ALPHABETS = [
     _LARGE + _SMALL + _DIGITS + "+/",
     _LARGE + _SMALL + _DIGITS + "-_",
 ]
+MIXED = _LARGE + _SMALL + _DIGITS + "+/-_"  # of runs that no single encoding holds
 TEXT_REPEAT = 0.0667  # probability that two letters of a text are the same
 TEXT_EXCESS = 1.9  # the same for text in a small alphabet, as a multiple of the uniform probability
 BINS = 8  # of p-values for each power of ten
@@ -89,7 +93,7 @@ def _bound(value: Column, use) -> Column:
 
 def _alphabet(token: Column) -> Column:
     out = F.lit(None).cast("string")
-    for letters in reversed(ALPHABETS):
+    for letters in reversed([*ALPHABETS, MIXED]):
         out = F.when(token.rlike("^[" + letters.replace("-", r"\-") + "]+$"), F.lit(letters)).otherwise(out)
     return F.when(token.rlike("^[0-9]+$"), F.lit(None)).otherwise(out)
 
@@ -172,11 +176,54 @@ def _bin(p: Column) -> Column:
     return F.least(F.lit(LAST_BIN), F.floor(-F.log10(F.greatest(p, F.lit(1e-30))) * BINS).cast("int"))
 
 
+def _beside(text: Column, base: Column) -> Column:
+    """The text with blanks in place of the base spans; places stay as they are."""
+
+    def step(state: Column, s: Column) -> Column:
+        start = F.greatest(state["at"], s["start"])
+        between = F.substring(text, state["at"] + 1, start - state["at"])
+        return F.struct(
+            F.greatest(start, s["end"]).alias("at"),
+            F.concat(state["out"], between, F.repeat(F.lit(" "), s["end"] - start)).alias("out"),
+        )
+
+    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
+    return F.when(F.size(base) > 0, F.aggregate(base, state, step, rest)).otherwise(text)
+
+
+def candidates(text: Column, base: Column) -> Column:
+    """For each run of key characters beside the base spans, its spans: the whole run and the parts of it that are long
+    enough, each once."""
+
+    def spans(run: Column) -> Column:
+        def shifted(s: Column) -> Column:
+            return F.struct(
+                (s["start"] + run["start"]).alias("start"),
+                s["kind"].alias("kind"),
+                (s["end"] + run["start"]).alias("end"),
+                s["token"].alias("token"),
+            )
+
+        parts = F.concat(*(F.transform(_found(run["token"], pattern, "random"), shifted) for pattern in PARTS))
+        return F.when(run["token"].rlike("[+/_-]"), F.array_distinct(F.concat(F.array(run), parts))).otherwise(F.array(run))
+
+    return F.transform(_bound(_beside(text, base), lambda t: _found(t, CANDIDATE, "random")), spans)
+
+
 def discovery_cuts(documents: DataFrame, text: str, rate: float) -> list[int]:
     """For each band of lengths, the lowest bin of p-values that is discovered at this false-discovery rate over all
-    candidates; one past the last bin if none is. The counts are bounded by bands and bins."""
-    tokens = documents.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(CANDIDATE), 0)).alias("token"))
-    tested = tokens.select(battery(F.col("token")).alias("t")).where("t IS NOT NULL")
+    candidates, parts of runs among them, and runs that hold a known form as well as what lies beside it; one past the
+    last bin if none is. The counts are bounded by bands and bins."""
+    full = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    # Most texts have no run at all; the others' base spans are looked for.
+    rows = documents.select(full.alias("text")).where(F.col("text").rlike(CANDIDATE))
+    rows = rows.withColumn("base", base_spans(F.col("text")))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
+    beside = F.when(F.size("base") > 0, F.flatten(candidates(F.col("text"), F.col("base")))).otherwise(none)
+    every = F.array_distinct(F.concat(F.flatten(candidates(F.col("text"), none)), beside))
+    tokens = rows.select(F.explode(every).alias("s"))
+    tested = tokens.select(battery(F.col("s.token")).alias("t")).where("t IS NOT NULL")
     rows = tested.groupBy(_band(F.col("t.n")).alias("band"), _bin(F.col("t.p_text")).alias("bin")).count().collect()
     cuts = []
     for band in range(32):
@@ -192,18 +239,34 @@ def discovery_cuts(documents: DataFrame, text: str, rate: float) -> list[int]:
 
 
 def random_spans(text: Column, base: Column, cuts: list[int], level: float) -> Column:
-    """Spans of candidates that pass the battery at this level and are discovered, and that no base span overlaps."""
-    tested = F.transform(
-        _found(text, CANDIDATE, "random"), lambda s: F.struct(s.alias("span"), battery(s["token"]).alias("t"))
-    )
+    """Spans of candidates that pass the battery at this level and are discovered, less those within another one of
+    them. No base span overlaps them."""
     cut = F.array(*(F.lit(c) for c in cuts))
 
-    def secret(x: Column) -> Column:
-        passed = (x["t"]["p_random"] >= level) & (_bin(x["t"]["p_text"]) >= F.get(cut, _band(x["t"]["n"])))
-        clear = ~F.exists(base, lambda b: (b["start"] < x["span"]["end"]) & (x["span"]["start"] < b["end"]))
-        return F.coalesce(passed & clear, F.lit(False))
+    def secret(s: Column) -> Column:
+        return _bound(
+            battery(s["token"]),
+            lambda t: F.coalesce((t["p_random"] >= level) & (_bin(t["p_text"]) >= F.get(cut, _band(t["n"]))), F.lit(False)),
+        )
+
+    def outer(spans: Column) -> Column:
+        """By start, the longest first, a span lies within an earlier one if it ends no later."""
+        shape = "array<struct<start:int,kind:int,end:int,token:string>>"
+        ordered = F.array_sort(
+            spans,
+            lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
+        )
+        state = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
+
+        def step(state: Column, s: Column) -> Column:
+            more = F.when(s["end"] > state["at"], F.array(s)).otherwise(F.array().cast(shape))
+            return F.struct(
+                F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], more).cast(shape).alias("out")
+            )
+
+        return F.aggregate(ordered, state, step, lambda s: s["out"])
 
-    return F.transform(F.filter(tested, secret), lambda x: x["span"])
+    return F.flatten(F.transform(candidates(text, base), lambda run: outer(F.filter(run, secret))))
 
 
 def with_spans(
