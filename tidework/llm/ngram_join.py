@@ -245,7 +245,7 @@ def jaccard_join(
     larger than all others: a class has one only if it has no other. ``row_a``
     and ``row_b`` are the row's hashes over key and text. Classes whose smallest
     keys are the same, as keys that repeat or are null, share a ``class_id``;
-    ``component`` is a number of the class alone, null for rows without words.
+    ``component`` is a number of the class alone, ``row_a`` for rows without words.
 
     Candidates are compared within connected groups of candidates, so a text
     moves once; a group larger than a block is compared band by band instead,
@@ -311,7 +311,7 @@ def jaccard_join(
             F.coalesce("classes", F.lit(0)).cast("long").alias("n_class_links"),
             "row_a",
             "row_b",
-            F.coalesce("component", "node").alias("component"),
+            F.coalesce("component", "node", "row_a").alias("component"),
         )
     )
 
@@ -325,9 +325,8 @@ def one_of_each(documents: DataFrame, key: str = "doc_id", text: str = "text", *
     that repeat key and text.
     """
     found = jaccard_join(documents, key, text, **settings)
-    alone = F.col("component").isNull()
     stay = (
-        found.groupBy("component", F.when(alone, F.col("row_a")).alias("a"), F.when(alone, F.col("row_b")).alias("b"))
+        found.groupBy("component")
         .agg(F.min(F.struct(F.col(key).isNull().alias("no_key"), F.col(key).alias("key"), "row_a", "row_b")).alias("row"))
         .select("row.row_a", "row.row_b")
     )
