@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidework.llm import (
     embedding_dedup,
     fingerprints,
+    hard_negatives,
     interpolation,
     language,
     mixing,
     ngram_join,
     packing,
+    periodic_runs,
     quality,
     secret_scan,
+    token_counts,
     toxicity,
 )
 from tidework.llm.common import read
@@ -129,3 +133,82 @@ FROM least_of LEFT JOIN counts USING (vec_id)
 @query("op10_embedding_multi_index", VECTOR_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.near_vectors(read(spark, folder, "embeddings"))
+
+
+# All pairs of equal words of a text, no further apart than a third of it; neighbours of one distance are a run.
+RUNS_SQL = r"""
+WITH hashes AS (
+  SELECT doc_id, text, xor(list_reduce(list_prepend(4294967295, list_transform(
+           string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+           lambda sum, byte: list_reduce(list_prepend(xor(sum, byte), range(8)),
+             lambda bits, k: xor(bits // 2, 3988292384 * (bits % 2)))), 4294967295) AS h
+  FROM documents),
+plain AS (
+  SELECT doc_id, h, h // 10 AS g, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'),
+           lambda x: x <> '') AS w, len(w) AS n FROM hashes),
+loops AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, (n - a) // (3 + g % 8) + 1 AS p FROM plain),
+words AS (
+  SELECT doc_id, n, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM loops)),
+pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q
+  FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS len
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs)
+  GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+runs AS (SELECT doc_id, s, len, min(q) AS q FROM stretches GROUP BY ALL),
+most AS (
+  SELECT a.* FROM runs a WHERE NOT EXISTS (
+    SELECT 1 FROM runs b WHERE b.doc_id = a.doc_id AND (b.len * a.q > a.len * b.q
+      OR b.len * a.q = a.len * b.q AND (b.s < a.s OR b.s = a.s AND b.q < a.q)))),
+listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines
+  FROM runs GROUP BY doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM words w
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.doc_id = w.doc_id AND w.i >= r.s + r.q AND w.i < r.s + r.len)
+  GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, len AS length, q AS period,
+       1000 * len // q AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256,
+       sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN most USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query("op11_periodic_runs", RUNS_SQL)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    documents = periodic_runs.with_loops(read(spark, folder, "documents"))
+    return periodic_runs.digests(periodic_runs.periodic_runs(documents))
+
+
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e, len(embedding) AS wide
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.e, b.e)::BIGINT AS score
+  FROM v a JOIN v b ON a.wide = b.wide AND a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, (row_number() OVER w)::INTEGER AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scores USING (anchor_id)
+WHERE NOT same AND 100 * score BETWEEN 80 * positive_score AND 100 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+
+@query("op12_hard_negatives", NEGATIVES_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    sevenths = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = read(spark, folder, "embeddings").withColumn("label", sevenths)
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0)
+
+
+@query("op13_token_counts")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, folder, "documents"))
