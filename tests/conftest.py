@@ -13,7 +13,7 @@ DATA = "/root/testdata/sf0.01"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         "local[8]",
@@ -22,6 +22,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.maxMetadataStringLength": "10000",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

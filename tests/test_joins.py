@@ -7,6 +7,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidework import join_on, transform
+from tidework.operators.frequent import column_counts, frequent_keys
 from tidework.operators.joins import joined_names
 
 SCHEMA = "k int, s string, d double, time timestamp"
@@ -176,6 +177,60 @@ def test_first_rows_are_written_before_they_are_salted(table, plan):
     assert result.where("user_id IS NOT NULL").count() == 50
 
 
+@pytest.fixture()
+def jobs(spark):
+    """How many jobs a call runs."""
+    tracker = spark.sparkContext.statusTracker()
+
+    def count(call):
+        spark.sparkContext.setJobGroup("counted", "")
+        before = len(tracker.getJobIdsForGroup("counted"))
+        result = call()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup("counted")) - before, result
+
+    return count
+
+
+def test_joins_of_tables_run_no_jobs(table, jobs):
+    customer = table("customer")
+    some = table("events").where("event_type = 'click'").select("user_id", "value")
+    grouped = transform(some, "SELECT user_id, count(*) AS n FROM df GROUP BY user_id")
+    for right in (some, grouped):
+        for how in ("left", "right", "outer"):
+            assert jobs(lambda: join_on(customer, right, "c_custkey", "user_id", how))[0] == 0
+
+
+def test_jobs_grow_with_the_number_of_joins(spark, table, jobs):
+    """A chain of full joins on two columns: no join is run to count the keys of the next one."""
+    hot = spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id AS v")
+    customer, nation = table("customer"), table("nation")
+
+    def chain(count):
+        joined = customer
+        for n in range(count):
+            right = hot.toDF(f"k{n}", f"v{n}") if n % 2 else nation.toDF(f"k{n}", f"name{n}", f"v{n}")
+            joined = join_on(joined, right, "c_nationkey" if n % 2 == 0 else "c_custkey", f"k{n}", "outer", sort=False)
+        return joined
+
+    steps = [jobs(lambda: chain(count))[0] for count in (4, 6, 8)]
+    assert steps[2] - steps[1] <= steps[1] - steps[0] + 2 and steps[2] <= 40, steps
+    found = chain(3)
+    plain = customer.join(nation.toDF("k0", "n0", "v0"), F.col("c_nationkey") == F.col("k0"), "outer")
+    plain = plain.join(hot.toDF("k1", "v1"), F.col("c_custkey") == F.col("k1"), "outer")
+    plain = plain.join(nation.toDF("k2", "n2", "v2"), F.col("c_nationkey") == F.col("k2"), "outer")
+    sums = [F.count("*"), *[F.sum(c) for c in ("c_custkey", "c_acctbal", "k0", "k1", "v1", "k2")]]
+    for mine, expected in zip(found.agg(*sums).first(), plain.agg(*sums).first()):
+        assert mine == pytest.approx(expected)
+
+
+def test_a_side_that_must_be_run_to_be_counted_is_written_once(table, plan, jobs):
+    daily = transform(table("events"), "SELECT user_id, date(ts) AS day, count(*) AS n FROM df GROUP BY 1, 2")
+    result = join_on(table("customer"), daily, "c_custkey", "user_id", "left", sort=False)
+    assert "Aggregate [user_id" not in plan(result, run=False)
+    assert result.where("user_id IS NOT NULL").count() == daily.count()
+
+
 def test_scans_grow_with_the_number_of_joins(table, plan):
     joined, scans = table("events"), []
     for _ in range(4):
@@ -239,6 +294,56 @@ def test_null_keys_of_a_full_join_are_spread_over_tasks(spark, shuffled):
     assert largest_task(salted) < 10_000
 
 
+def test_frequent_keys_are_exact(spark):
+    """The sketch only proposes; the counts decide, also where numbers are equal but written differently."""
+    for rows in (
+        "id % 5",
+        "if(id % 3 = 0, 7, id)",
+        "if(id % 2 = 0, 'x', string(id))",
+        "if(id % 3 = 0, 0D, if(id % 3 = 1, -0D, double(id)))",
+        "if(id % 4 = 0, double('NaN'), double(id))",
+        "if(id % 4 = 0, array(1), array(id))",
+        "cast(NULL AS int)",
+    ):
+        keys = spark.range(4000).selectExpr(f"{rows} AS __key")
+        counts = {}
+        for row in keys.where("__key IS NOT NULL").collect():
+            counts[str(row[0]).replace("-0.0", "0.0")] = counts.get(str(row[0]).replace("-0.0", "0.0"), 0) + 1
+        expected = {k: n for k, n in counts.items() if n * 8 > sum(counts.values())}
+        found = frequent_keys(keys.where("__key IS NOT NULL")).collect()
+        assert {str(r[0]).replace("-0.0", "0.0"): r[1] for r in found} == expected, rows
+
+
+def test_counts_are_carried_through_joins(spark):
+    """Frequent only by the product of both sides, only on one side, and not there at all."""
+    first = spark.range(0, 900).selectExpr("if(id % 3 = 0, 1, id + 1001) AS k", "id % 7 AS other")
+    second = spark.range(0, 900).selectExpr("CASE WHEN id % 3 = 0 THEN 1005 WHEN id % 3 = 1 THEN 5 ELSE id + 5000 END AS q")
+    joined = join_on(first, second, "k", "q", "outer", sort=False)
+    counts = column_counts(joined, "k")
+    assert counts.frequent == {1: 300, 1005: 300}  # 1005 is once in the first and often in the second
+    assert column_counts(joined, "q").frequent == {1005: 300, 5: 300}
+    exact = {r.k: r["count"] for r in joined.where("k IS NOT NULL").groupBy("k").count().collect()}
+    assert {k: exact[k] for k in counts.frequent} == counts.frequent
+    assert column_counts(joined, "other").frequent  # of the table: as if each row had one partner
+    texts = join_on(first.selectExpr("string(k) AS k"), second.selectExpr("string(q) AS q"), "k", "q", "outer", sort=False)
+    assert column_counts(texts, "k") is None  # NULLs are filled, so NaN may be frequent now
+
+
+def test_a_key_made_frequent_by_a_join_is_spread_in_the_next(spark, shuffled):
+    left = spark.range(0, 300, 1, 4).selectExpr("id AS k", "id AS a")
+    hot = spark.range(0, 60_000, 1, 40).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id END AS q", "id AS b")
+    few = spark.range(0, 20, 1, 4).selectExpr("id AS p", "id AS c")
+    results = []
+    for salt in (True, False):
+        joined = join_on(left, hot, "k", "q", "left", sort=False, salt=salt)
+        results.append(join_on(joined, few, "k", "p", "outer", sort=False, salt=salt))
+    salted, whole = results
+    checks = [F.count("*"), *[F.sum(name) for name in salted.columns]]
+    assert salted.agg(*checks).first() == whole.agg(*checks).first()
+    assert largest_task(whole) >= 20_000
+    assert largest_task(salted) < 10_000
+
+
 _KEYS = st.lists(st.one_of(st.none(), st.integers(0, 4)), max_size=8)
 
 

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,10 +9,12 @@ from tidework import (
     describe,
     epoch_columns,
     from_json_rows,
+    join_on,
     json_keys,
     presence,
     read_csv,
     read_json_rows,
+    released_work,
     scan_many,
     scan_ordered,
     scan_range,
@@ -18,6 +22,7 @@ from tidework import (
     shapes,
     time_tags_fields,
     to_json_rows,
+    transform,
     work_path,
     write_csv,
 )
@@ -271,6 +276,25 @@ def test_work_path_on_a_cluster_is_in_a_shared_folder():
     assert work_path(shared, "x").startswith("hdfs://lake/work/x-")
 
 
+def test_a_folder_of_the_drivers_own_is_no_work_folder_of_a_cluster():
+    for place in ("spark-warehouse", "file:/opt/spark-warehouse"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            work_path(_Cluster(**{"spark.master": "yarn", "spark.sql.warehouse.dir": place}), "x")
+        alone = _Cluster(**{"spark.master": "local[2]", "spark.sql.warehouse.dir": place})
+        assert work_path(alone, "x").startswith(f"{place}/work/x-")
+
+
+def test_work_is_removed_when_its_reader_is_done(spark, table, tmp_path):
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    with released_work(spark):
+        some = transform(table("events"), "SELECT * FROM df LIMIT 50")
+        joined = join_on(table("customer"), some, "c_custkey", "user_id", "left", sort=False)
+        joined.write.parquet(f"{tmp_path}/joined")
+        assert len(set(os.listdir(folder)) - before) == 1
+    assert set(os.listdir(folder)) == before
+
+
 def test_work_path_is_in_the_shared_folder(spark):
     root = spark.conf.get("spark.checkpoint.dir", None)
     one, two = work_path(spark, "x"), work_path(spark, "x")

@@ -12,7 +12,7 @@ from tidework.plans.spec import Box, Join, Plot, Sql, Table, Tables, Workflow
 from tidework.plans.step import Datasets
 from tidework.plans.workbench import Workbench
 from tidework.plans.workflow import run_box, run_workflow
-from tidework.session import build_session, work_path
+from tidework.session import build_session, release_work, released_work, work_path
 from tidework.sources.catalog import Catalog, describe, scan_range, time_tags_fields
 from tidework.sources.export import read_csv, write_csv
 from tidework.sources.rows import from_json_rows, json_keys, read_json_rows, to_json_rows
@@ -60,6 +60,8 @@ __all__ = [
     "time_tags_fields",
     "to_json_rows",
     "transform",
+    "release_work",
+    "released_work",
     "work_path",
     "write_csv",
 ]

@@ -10,6 +10,9 @@ _FIRST_ROWS = {"GlobalLimit", "LocalLimit", "Offset", "Tail"}
 # Below these the order of rows makes no difference to the first ones, or is made anew.
 _ORDERLESS = {"Aggregate", "Sort", "Join", "Window", "Distinct", "Except", "Intersect", "Pivot"}
 
+# What chooses columns and rows of a table.
+_PLAIN = {"Project", "Filter", "SubqueryAlias", "View", "Union"}
+
 
 def _children(node) -> Iterator:
     children = node.children()
@@ -36,6 +39,47 @@ def is_repeatable(df: DataFrame) -> bool:
     return True
 
 
+def is_plain(df: DataFrame) -> bool:
+    """Whether reading the frame again costs no more than reading its tables: columns and rows are chosen, no more."""
+    open_ = [df._jdf.queryExecution().analyzed()]
+    while open_:
+        node = open_.pop()
+        children = list(_children(node))
+        if children and node.nodeName() not in _PLAIN:
+            return False
+        open_ += children
+    return True
+
+
+def has_unique(df: DataFrame, name: str) -> bool:
+    """Whether the plan says that no value is twice in a column: it is all that rows were grouped by."""
+    node = df._jdf.queryExecution().analyzed()
+    wanted = node.output().apply(df.columns.index(name)).exprId()
+    while True:
+        kind = node.nodeName()
+        if kind in ("Project", "Aggregate"):
+            listed = node.projectList() if kind == "Project" else node.aggregateExpressions()
+            for i in range(listed.size()):
+                one = listed.apply(i)
+                if one.exprId().equals(wanted):
+                    source = one.child() if one.nodeName() == "Alias" else one
+                    break
+            else:
+                return False
+            if source.nodeName() != "AttributeReference":
+                return False
+            wanted = source.exprId()
+            if kind == "Aggregate":
+                groups = node.groupingExpressions()
+                one = groups.apply(0) if groups.size() == 1 else None
+                return one is not None and one.nodeName() == "AttributeReference" and one.exprId().equals(wanted)
+        elif kind == "Distinct":
+            return node.output().size() == 1
+        elif kind not in ("Filter", "SubqueryAlias", "View", "Sort"):
+            return False
+        node = next(_children(node))
+
+
 def keeps_first_rows(result: DataFrame, view: str) -> bool:
     """Whether a query keeps the first rows of its view by LIMIT or OFFSET, so that their order matters."""
 
