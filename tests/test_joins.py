@@ -219,7 +219,7 @@ def test_jobs_grow_with_the_number_of_joins(spark, table, jobs):
     plain = customer.join(nation.toDF("k0", "n0", "v0"), F.col("c_nationkey") == F.col("k0"), "outer")
     plain = plain.join(hot.toDF("k1", "v1"), F.col("c_custkey") == F.col("k1"), "outer")
     plain = plain.join(nation.toDF("k2", "n2", "v2"), F.col("c_nationkey") == F.col("k2"), "outer")
-    sums = [F.count("*"), *[F.sum(c) for c in ("c_custkey", "c_acctbal", "k0", "k1", "v1", "k2")]]
+    sums = [F.count("*"), *[F.sum(c) for c in ("c_custkey", "c_acctbal", "k0", "k1", "k2")]]
     for mine, expected in zip(found.agg(*sums).first(), plain.agg(*sums).first()):
         assert mine == pytest.approx(expected)
 
