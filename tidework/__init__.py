@@ -4,7 +4,18 @@ from tidework.functions.ordering import in_order
 from tidework.functions.values import epoch_columns
 from tidework.operators.basic import BasicQuery, Condition, basic_to_df, basic_to_sql
 from tidework.operators.joins import join_on
+from tidework.operators.overlaps import overlap_join
 from tidework.operators.preview import preview, preview_frame
+from tidework.operators.running import (
+    largest,
+    last_value,
+    previous,
+    row_numbers,
+    running,
+    sessions,
+    smallest,
+    sums,
+)
 from tidework.operators.series import series
 from tidework.operators.slices import rows_before, time_slices
 from tidework.operators.transform import transform
@@ -42,26 +53,35 @@ __all__ = [
     "in_order",
     "join_on",
     "json_keys",
+    "largest",
+    "last_value",
+    "overlap_join",
     "presence",
     "preview",
     "preview_frame",
+    "previous",
     "read_csv",
     "read_json_rows",
+    "release_work",
+    "released_work",
+    "row_numbers",
     "rows_before",
     "run_box",
     "run_workflow",
+    "running",
     "scan_many",
     "scan_ordered",
     "scan_range",
     "series",
+    "sessions",
     "shape",
     "shapes",
+    "smallest",
+    "sums",
     "time_slices",
     "time_tags_fields",
     "to_json_rows",
     "transform",
-    "release_work",
-    "released_work",
     "work_path",
     "write_csv",
 ]

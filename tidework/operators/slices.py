@@ -25,7 +25,7 @@ def time_slices(df: DataFrame, n_rows: int, time: str = "time", name: str = "sli
     before = rows_before(df, time).withColumnRenamed("tick", "__tick")
     slice_id = F.expr(f"`__before` div {n_rows}")
     return (
-        df.withColumn("__tick", _ticks(df, time))
+        df.withColumn("__tick", ticks_of(df, time))
         .join(before, "__tick", "left")
         .select(*[col(c) for c in df.columns], slice_id.alias(name))
     )
@@ -40,7 +40,7 @@ def rows_before(df: DataFrame, time: str = "time") -> DataFrame:
     before the node, so no task sees all rows and none sees a frequent time
     more than once.
     """
-    ticks = df.select(_ticks(df, time).alias("tick")).where("tick IS NOT NULL")
+    ticks = df.select(ticks_of(df, time).alias("tick")).where("tick IS NOT NULL")
     leaves = ticks.groupBy("tick").agg(F.count(F.lit(1)).alias("n"))
     # Counted from the rows once more: reading one column again costs less than all leaves.
     middle = ticks.groupBy(_parent("tick").alias("tick")).agg(F.count(F.lit(1)).alias("n"))
@@ -64,7 +64,7 @@ def _parent(tick: str) -> Column:
     return F.shiftright(tick, _BITS)
 
 
-def _ticks(df: DataFrame, time: str) -> Column:
+def ticks_of(df: DataFrame, time: str) -> Column:
     field = find_field(df, time)
     if isinstance(field.dataType, T.IntegralType):
         return col(field.name).cast("bigint")

@@ -25,16 +25,23 @@ from tidework import (
     in_order,
     join_on,
     json_keys,
+    largest,
+    overlap_join,
     presence,
     preview_frame,
+    previous,
     read_csv,
     read_json_rows,
+    row_numbers,
     run_box,
+    running,
     scan_many,
     scan_ordered,
     scan_range,
     series,
+    sessions,
     shape,
+    sums,
     shapes,
     time_slices,
     time_tags_fields,
@@ -903,3 +910,95 @@ def sql_topk_after_table_box(spark, folder):
 )
 def sql_first_rows(spark, folder):
     return _events_box(spark, folder, "SELECT event_id, ts FROM df WHERE event_type = 'click' LIMIT 7 OFFSET 5; -- some")
+
+
+# ---- raw rows of frequent keys, and joins without a key -------------------------
+
+
+def _hot_events(spark, folder):
+    """All events, a third of them of one user."""
+    return transform(
+        read(spark, folder, "events"),
+        "SELECT event_id, ts, if(event_id % 3 = 0, 1, user_id) AS user_id, event_type, value, "
+        "CAST(round(value * 100) AS BIGINT) AS cents FROM df",
+    )
+
+
+_HOT_EVENTS = """
+    WITH hot AS (SELECT event_id, ts, CASE WHEN event_id % 3 = 0 THEN 1 ELSE user_id END AS user_id, event_type, value,
+                        CAST(round(value * 100) AS BIGINT) AS cents FROM events)
+"""
+
+
+@STEPS.add(
+    "window_running_hot_user",
+    _HOT_EVENTS
+    + """
+    SELECT event_id, user_id, row_number() OVER w AS n, CAST(sum(cents) OVER w AS BIGINT) AS total,
+           max(value) OVER w AS highest, lag(ts) OVER w AS before
+    FROM hot WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+    """,
+)
+def window_running_hot_user(spark, folder):
+    columns = {"n": row_numbers(), "total": sums("cents"), "highest": largest("value"), "before": previous("ts")}
+    found = running(_hot_events(spark, folder), "user_id", ["ts", "event_id"], columns)
+    return found.select("event_id", "user_id", *columns)
+
+
+@STEPS.add(
+    "session_hot_user",
+    _HOT_EVENTS
+    + """
+    , steps AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM hot),
+    numbered AS (
+      SELECT *, sum(CASE WHEN ts <= before + INTERVAL 2 HOURS THEN 0 ELSE 1 END)
+                OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session
+      FROM steps)
+    SELECT user_id, CAST(session AS BIGINT) AS session, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n,
+           CAST(sum(cents) AS BIGINT) AS cents
+    FROM numbered GROUP BY ALL
+    """,
+)
+def session_hot_user(spark, folder):
+    numbered = sessions(_hot_events(spark, folder), "user_id", "ts", 2 * 3600)
+    return numbered.groupBy("user_id", "session").agg(
+        F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("n"), F.sum("cents").alias("cents")
+    )
+
+
+@STEPS.add(
+    "range_join_binned",
+    """
+    SELECT a.event_type AS first_type, b.event_type AS then_type, count(*) AS n, max(b.event_id - a.event_id) AS apart
+    FROM events a JOIN events b ON b.ts > a.ts AND b.ts <= a.ts + INTERVAL 5 MINUTES
+    GROUP BY ALL
+    """,
+)
+def range_join_binned(spark, folder):
+    events = read(spark, folder, "events")
+    soon = transform(events, "SELECT event_id, event_type, ts, ts + INTERVAL 5 MINUTES AS until FROM df")
+    pairs = overlap_join(soon, events, ("ts", "until"), ("ts", "ts")).where("ts_right > ts")
+    types = [F.col("event_type").alias("first_type"), F.col("event_type_right").alias("then_type")]
+    return pairs.groupBy(*types).agg(
+        F.count("*").alias("n"), F.max(F.col("event_id_right") - F.col("event_id")).alias("apart")
+    )
+
+
+@STEPS.add(
+    "range_join_mixed_lengths",
+    """
+    WITH spans AS (SELECT event_id, event_type, ts,
+                          ts + CASE WHEN event_id % 50 = 0 THEN INTERVAL 6 HOURS ELSE INTERVAL 40 SECONDS END AS until
+                   FROM events)
+    SELECT a.event_id, count(*) AS n, min(b.event_id) AS first_id
+    FROM spans a JOIN spans b ON a.ts <= b.until AND b.ts <= a.until
+    GROUP BY a.event_id
+    """,
+)
+def range_join_mixed_lengths(spark, folder):
+    spans = transform(
+        read(spark, folder, "events"),
+        "SELECT event_id, ts, ts + if(event_id % 50 = 0, INTERVAL 6 HOURS, INTERVAL 40 SECONDS) AS until FROM df",
+    )
+    pairs = overlap_join(spans, spans, ("ts", "until"), ("ts", "until"))
+    return pairs.groupBy("event_id").agg(F.count("*").alias("n"), F.min("event_id_right").alias("first_id"))
