@@ -1,0 +1,97 @@
+"""Ids of all code points, the placement by the plainest form of its rule, and bounded gathering."""
+
+from __future__ import annotations
+
+import random
+import unicodedata
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from tidework.llm import packing
+
+TOKENIZER = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def ids(text: str) -> list[int]:
+    return np.frombuffer(packing.word_tokenizer()(text.encode()), "<u4").tolist()
+
+
+def expected(text: str) -> list[int]:
+    return TOKENIZER.encode(text, add_special_tokens=False).ids
+
+
+def test_all_assigned_code_points_beside_signs_letters_and_digits():
+    given = (chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000)
+    assigned = [c for c in given if unicodedata.category(c) not in ("Cn", "Co")]
+    wrong = []
+    for c in assigned:
+        text = f"{c}_ _{c} a{c}b {c}1 1{c}, {c}{c}. e{c}; {c}'s {c}! x.{c}"
+        if ids(text) != expected(text):
+            wrong.append(hex(ord(c)))
+    assert not wrong
+
+
+def test_random_texts_of_letters_that_change():
+    pick = random.Random(2)
+    pool = [*"aBzéİΣςß_'!.1²", "क़", "ा", "ŉ", "́", "̸", "ﬁ", "ᆨ", "K", "שׁ", " ", "\x7f"]
+    for _ in range(20_000):
+        text = "".join(pick.choice(pool) for _ in range(pick.randint(1, 9)))
+        assert ids(text) == expected(text), text
+
+
+def plain_bins(lengths: list[int], capacity: int) -> list[list[int]]:
+    """Fill with the largest that fits; then, if there is a gap, the smallest one gives way to the two that fill best."""
+    left, bins = sorted(lengths, reverse=True), []
+    while left:
+        held, gap = [], capacity
+        while fitting := [n for n in left if n <= gap]:
+            held.append(fitting[0])
+            left.remove(fitting[0])
+            gap -= fitting[0]
+        if gap and len(held) > 1 and left:
+            small, room = held[-1], gap + held[-1]
+            pairs = [(a + b, a, b) for i, a in enumerate(left) for b in left[i + 1 :] if small < a + b <= room]
+            if pairs:
+                _, a, b = max(pairs)
+                held.remove(small)
+                left.append(small)
+                for n in (a, b):
+                    left.remove(n)
+                    held.append(n)
+                left.sort(reverse=True)
+        bins.append(sorted(held))
+    return bins
+
+
+@pytest.mark.parametrize("capacity", [10, 37, 100])
+def test_placement_follows_the_rule(capacity):
+    pick = random.Random(capacity)
+    for _ in range(400):
+        lengths = [pick.randint(1, pick.choice([capacity, capacity // 2, 5])) for _ in range(pick.randint(1, 30))]
+        bins = packing.best_two_fit(np.array(lengths), capacity)
+        found = [[] for _ in range(max(bins) + 1)]
+        for n, b in zip(lengths, bins):
+            found[b].append(n)
+        assert [sorted(f) for f in found] == plain_bins(lengths, capacity), lengths
+
+
+def test_groups_that_are_packed_again_are_bounded(spark, monkeypatch):
+    """All pieces have one length that leaves every bin ragged; each group gets a window of some tasks at most."""
+    monkeypatch.setattr(packing, "WINDOW", 50)
+    seen = spark.sparkContext.accumulator(0)
+    plain = packing.best_two_fit
+
+    def counted(lengths, capacity):
+        seen.add(int(len(lengths) > 50 * packing.GATHERED))
+        return plain(lengths, capacity)
+
+    monkeypatch.setattr(packing, "best_two_fit", counted)
+    frame = spark.range(0, 2000, 1, 3).selectExpr("id AS doc_id", "'x' AS text")
+    pieces = packing.pack(frame, encode=lambda t: t * 4 * 1499).collect()
+    assert seen.value == 0
+    assert len(pieces) == 2000 and len({p.sequence_id for p in pieces}) == 2000
+    assert Counter(p.length for p in pieces) == {1500: 2000}

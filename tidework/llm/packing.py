@@ -2,10 +2,11 @@
 
 A bin is filled greedily, largest piece first. Where a gap is left, the bin's
 smallest piece makes way for two unpacked pieces if they fill the widened gap
-more tightly. Each task tokenizes and packs its own documents; only pieces of
-bins that stayed ragged are gathered, a bounded number of tasks at a time, and
-packed once more, all together; where that needs no fewer bins, the first
-placement stays. Tokens never move: pieces are described, not shuffled.
+more tightly. Each task tokenizes and packs its own documents, a window of
+pieces after the other; only pieces of bins that stayed ragged are gathered,
+those of one window of each of a bounded number of tasks, and packed once more,
+all together; where that needs no fewer bins, the first placement stays. Tokens
+never move: pieces are described in a table in the work folder.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidework.llm.common import worker_cache
+from tidework.llm.common import saved, worker_cache
 
 RAGGED = 1 / 256  # a bin with a larger share of its length unused is packed again
 WINDOW = 1 << 16  # pieces a task packs together before it has seen all
-GATHERED = 64  # tasks whose ragged pieces are packed together
+GATHERED = 16  # tasks of which one window's ragged pieces each are packed together
 
 
 def best_two_fit(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -95,13 +96,20 @@ def _places(lengths: np.ndarray, bins: np.ndarray) -> np.ndarray:
     return places
 
 
-# ASCII signs: a run of them at a word's end is a piece of its own if a letter or digit stands before it.
+# ASCII signs: a run of them at a word's end is a piece of its own if a plain letter or digit stands before it.
 _SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 # The public byte alphabet of byte-level BPE: bytes with a visible sign stand for themselves, the rest from 256 on.
 _VISIBLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _ALPHABET = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_VISIBLE)))}
 
 
+def _stands_alone(letter: str) -> bool:
+    """Whether a letter or digit is one for the tokenizer too, so that signs behind it are a piece of their own: some
+    letters are taken apart or written small as a letter and a mark, which belongs to the signs. Of those it is told
+    that composing and small writing leave them as they are, in the alphabets where that is settled."""
+    return (letter.isascii() and letter.isalnum()) or (letter < "\u0250" and letter.isalpha() and letter == letter.lower())
+
+
 class TokenBytes(dict):
     """A word's ids as little-endian 32-bit numbers. Words are remembered up to a number of them, in ``self`` those
     without signs at their end, apart the others."""
@@ -118,7 +126,7 @@ class TokenBytes(dict):
         if found is not None:
             return found
         body = word.rstrip(_SIGNS)
-        if body and body != word and body.decode("utf-8", "replace")[-1].isalnum():
+        if body and body != word and _stands_alone(body.decode("utf-8", "replace")[-1]):
             known, most, found = self.signed, 80_000, self[body] + self[word[len(body) :]]
         else:
             known, most, found = self, 250_000, self.word(word)
@@ -183,10 +191,10 @@ def pack(
 
         task = TaskContext.get().partitionId()
         kept: list[tuple] = []
-        first = 0
+        first = windows = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal first
+            nonlocal first, windows
             key_, piece, start, length, crc, ids = zip(*kept)
             length = np.array(length, np.int64)
             bins = best_two_fit(length, capacity)
@@ -202,12 +210,13 @@ def pack(
                     pa.array(crc, pa.int64()),
                     pa.array((task << 32) + first + bins),
                     pa.array(_places(length, bins)),
-                    pa.array(np.where(ragged, task // GATHERED, -1 - task)),
+                    pa.array(np.where(ragged, (windows << 32) + task // GATHERED, -1)),
                     pa.array(ids, pa.binary()),
                 ],
                 names,
             )
             first += len(fill)
+            windows += 1
             kept.clear()
             return out
 
@@ -226,14 +235,13 @@ def pack(
 
     def again(pieces: pd.DataFrame) -> pd.DataFrame:
         group = int(pieces["group"].iloc[0])
-        if group < 0:
-            return pieces
         pieces = pieces.sort_values(["length", "ids_crc32", "start"], kind="stable").reset_index(drop=True)
         # The group's pieces are here already, so all are packed together: large ones meet small ones at any size.
         length = pieces["length"].to_numpy()
         bins = best_two_fit(length, capacity)
         if bins.max() + 1 < pieces["sequence_id"].nunique():
-            pieces["sequence_id"] = -1 - ((group << 32) + bins)
+            # A new number below zero: no group has as many bins as that leaves room for.
+            pieces["sequence_id"] = -1 - (((group >> 32) << 43) + ((group & (1 << 32) - 1) << 22) + bins)
             pieces["offset"] = _places(length, bins)
         return pieces
 
@@ -244,6 +252,8 @@ def pack(
         f"key {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, "
         "group long, ids binary"
     )
-    packed = rows.mapInArrow(cut, schema).groupBy("group").applyInPandas(again, schema)
+    placed = saved(rows.mapInArrow(cut, schema), "pieces")
+    ragged = placed.where("group >= 0").groupBy("group").applyInPandas(again, schema)
+    packed = placed.where("group < 0").unionByName(ragged)
     ids = [F.col("ids")] if with_ids else []
     return packed.select(F.col("key").alias(key), *COLUMNS, *ids)
