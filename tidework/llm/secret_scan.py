@@ -51,28 +51,92 @@ BINS = 8  # of p-values for each power of ten
 LAST_BIN = 160
 
 
-def _found(text: Column, pattern: str, kind: str, token: bool = False) -> Column:
+SPAN = "struct<start:int,kind:int,end:int,token:string>"
+BLOCK = 128  # spans that are worked on in one list, and code points of a piece of text are the square of it
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once, though ``use`` mentions it often."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(items: Column, of: str, step) -> Column:
+    """A list of the type ``of``, made by going through ``items`` with a number that starts at 0: ``step`` of the number
+    and an item gives the next number and a list of results. Results are gathered in blocks, so that long lists don't
+    grow item by item."""
+    state = f"struct<at:int,out:array<{of}>>"
+
+    def one(state_: Column, item: Column) -> Column:
+        at, out = step(state_["at"], item)
+        return F.struct(at.alias("at"), F.concat(state_["out"], out).alias("out")).cast(state)
+
+    def block(at: Column, some: Column) -> Column:
+        empty = F.array().cast(f"array<{of}>")
+        return F.aggregate(some, F.struct(at.alias("at"), empty.alias("out")).cast(state), one)
+
+    blocks_type = f"struct<at:int,out:array<array<{of}>>>"
+
+    def next_block(state_: Column, some: Column) -> Column:
+        return _bound(
+            block(state_["at"], some),
+            lambda r: F.struct(r["at"].alias("at"), F.concat(state_["out"], F.array(r["out"])).alias("out")).cast(blocks_type),
+        )
+
+    def whole(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(v), F.lit(1)), F.lit(BLOCK))
+        blocks = F.transform(starts, lambda at: F.slice(v, at, BLOCK))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<array<{of}>>").alias("out")).cast(blocks_type)
+        return F.aggregate(blocks, start, next_block, lambda r: F.flatten(r["out"]))
+
+    return _bound(items, whole)
+
+
+def _found(text: Column, pattern: str, kind: str) -> Column:
     """All matches, leftmost first and without overlap, as structs of start, kind, end and the matched text. Starts come
-    from the lengths of what lies between matches."""
-    gaps = F.split(text, pattern, -1)
-    steps = F.transform(
+    from the lengths of what lies between matches; the text is cut once for all of them."""
+    # Behind the last match there is text without one.
+    pairs = F.zip_with(
+        F.split(text, pattern, -1),
         F.regexp_extract_all(text, F.lit(pattern), 0),
-        lambda m, i: F.struct(F.length(F.get(gaps, i)).alias("gap"), m.alias("token")),
+        lambda gap, token: F.struct(F.length(gap).alias("gap"), token.alias("token")),
     )
-    shape = "array<struct<start:int,kind:int,end:int,token:string>>"
 
-    def step(state: Column, s: Column) -> Column:
-        start = state["at"] + s["gap"]
+    def step(at: Column, s: Column) -> tuple[Column, Column]:
+        start = at + s["gap"]
         end = start + F.length(s["token"])
         row = F.struct(
             start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"), s["token"].alias("token")
         )
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(row)).cast(shape).alias("found"))
+        return end, F.array(row)
 
-    empty = F.array().cast(shape)
-    state = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+    steps = F.filter(pairs, lambda s: s["token"].isNotNull())
     # The plain search comes first: few texts have a match, and the others stop there.
-    return F.when(text.rlike(pattern), F.aggregate(steps, state, step, lambda s: s["found"])).otherwise(empty)
+    return F.when(text.rlike(pattern), _scan(steps, SPAN, step)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _each_once(spans: Column) -> Column:
+    """The spans in order, equal ones once."""
+    return _bound(
+        F.array_sort(spans),
+        lambda v: F.filter(v, lambda s, i: (i == 0) | (s != F.get(v, i - 1))),
+    )
+
+
+def _pieces(text: Column) -> Column:
+    """The text in pieces, so that a place in it is found without going through all that is before."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{BLOCK * BLOCK}}}"), 0)
+
+
+def _part(pieces: Column, start: Column, end: Column) -> Column:
+    """The text from start to end, which are code points."""
+    wide = BLOCK * BLOCK
+
+    def piece(i: Column) -> Column:
+        low = F.greatest(start - i * wide, F.lit(0))
+        return F.substring(F.get(pieces, i), low + 1, F.least(end - i * wide, F.lit(wide)) - low)
+
+    indexes = F.sequence((start / wide).cast("int"), ((end - 1) / wide).cast("int"))
+    return F.when(end > start, F.array_join(F.transform(indexes, piece), "")).otherwise("")
 
 
 def base_spans(text: Column) -> Column:
@@ -86,11 +150,6 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(assign, access, hexes))
 
 
-def _bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once, though ``use`` mentions it often."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _alphabet(token: Column) -> Column:
     out = F.lit(None).cast("string")
     for letters in reversed([*ALPHABETS, MIXED]):
@@ -116,11 +175,6 @@ def battery(token: Column) -> Column:
     def of_places(x: Column) -> Column:
         v, k = x["v"], x["k"]
         n = F.size(v)
-        squares = F.aggregate(
-            F.transform(F.array_distinct(v), lambda a: F.size(F.filter(v, lambda b: a == b)).cast("long")),
-            F.lit(0).cast("long"),
-            lambda t, c: t + c * c,
-        )
         pairs = F.zip_with(
             F.slice(v, F.lit(1), n - 1),
             F.slice(v, F.lit(2), n - 1),
@@ -136,7 +190,7 @@ def battery(token: Column) -> Column:
                 (t["product"] + p["product"]).alias("product"), (t["change"] + p["change"]).alias("change")
             ),
         )
-        return F.struct(n.alias("n"), k.alias("k"), (squares * k / n - n).alias("chi"), sums.alias("sums"))
+        return F.struct(n.alias("n"), k.alias("k"), (x["squares"] * k / n - n).alias("chi"), sums.alias("sums"))
 
     def of_sums(x: Column) -> Column:
         n, k, free = x["n"], x["k"], x["k"] - 1
@@ -161,9 +215,12 @@ def battery(token: Column) -> Column:
 
     def of_alphabet(letters: Column) -> Column:
         places = F.transform(F.split(token, ""), lambda c: F.instr(letters, c) - 1)
-        return _bound(
-            _bound(_bound(F.struct(places.alias("v"), F.length(letters).alias("k")), of_places), of_sums), of_scores
+        counts = F.transform(
+            F.split(letters, ""), lambda c: (F.length(token) - F.length(F.replace(token, c, F.lit("")))).cast("long")
         )
+        squares = F.aggregate(counts, F.lit(0).cast("long"), lambda t, c: t + c * c)
+        given = F.struct(places.alias("v"), F.length(letters).alias("k"), squares.alias("squares"))
+        return _bound(_bound(_bound(given, of_places), of_sums), of_scores)
 
     return _bound(_alphabet(token), lambda a: F.when(a.isNotNull(), of_alphabet(a)))
 
@@ -179,17 +236,21 @@ def _bin(p: Column) -> Column:
 def _beside(text: Column, base: Column) -> Column:
     """The text with blanks in place of the base spans; places stay as they are."""
 
-    def step(state: Column, s: Column) -> Column:
-        start = F.greatest(state["at"], s["start"])
-        between = F.substring(text, state["at"] + 1, start - state["at"])
-        return F.struct(
-            F.greatest(start, s["end"]).alias("at"),
-            F.concat(state["out"], between, F.repeat(F.lit(" "), s["end"] - start)).alias("out"),
-        )
+    def step(pieces: Column):
+        def one(at: Column, s: Column) -> tuple[Column, Column]:
+            start = F.greatest(at, s["start"])
+            blanks = F.repeat(F.lit(" "), s["end"] - start)
+            return F.greatest(start, s["end"]), F.array(F.concat(_part(pieces, at, start), blanks))
+
+        return one
+
+    last = F.array_max(F.transform(base, lambda s: s["end"]))
 
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text)))
-    return F.when(F.size(base) > 0, F.aggregate(base, state, step, rest)).otherwise(text)
+    def joined(pieces: Column) -> Column:
+        rest = _part(pieces, last, F.length(text))
+        return F.array_join(F.concat(_scan(base, "string", step(pieces)), F.array(rest)), "")
+
+    return F.when(F.size(base) > 0, _bound(_pieces(text), joined)).otherwise(text)
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -206,7 +267,7 @@ def candidates(text: Column, base: Column) -> Column:
             )
 
         parts = F.concat(*(F.transform(_found(run["token"], pattern, "random"), shifted) for pattern in PARTS))
-        return F.when(run["token"].rlike("[+/_-]"), F.array_distinct(F.concat(F.array(run), parts))).otherwise(F.array(run))
+        return F.when(run["token"].rlike("[+/_-]"), _each_once(F.concat(F.array(run), parts))).otherwise(F.array(run))
 
     return F.transform(_bound(_beside(text, base), lambda t: _found(t, CANDIDATE, "random")), spans)
 
@@ -219,9 +280,9 @@ def discovery_cuts(documents: DataFrame, text: str, rate: float) -> list[int]:
     # Most texts have no run at all; the others' base spans are looked for.
     rows = documents.select(full.alias("text")).where(F.col("text").rlike(CANDIDATE))
     rows = rows.withColumn("base", base_spans(F.col("text")))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int,token:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     beside = F.when(F.size("base") > 0, F.flatten(candidates(F.col("text"), F.col("base")))).otherwise(none)
-    every = F.array_distinct(F.concat(F.flatten(candidates(F.col("text"), none)), beside))
+    every = _each_once(F.concat(F.flatten(candidates(F.col("text"), none)), beside))
     tokens = rows.select(F.explode(every).alias("s"))
     tested = tokens.select(battery(F.col("s.token")).alias("t")).where("t IS NOT NULL")
     rows = tested.groupBy(_band(F.col("t.n")).alias("band"), _bin(F.col("t.p_text")).alias("bin")).count().collect()
@@ -251,20 +312,16 @@ def random_spans(text: Column, base: Column, cuts: list[int], level: float) -> C
 
     def outer(spans: Column) -> Column:
         """By start, the longest first, a span lies within an earlier one if it ends no later."""
-        shape = "array<struct<start:int,kind:int,end:int,token:string>>"
         ordered = F.array_sort(
             spans,
             lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]),
         )
-        state = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
 
-        def step(state: Column, s: Column) -> Column:
-            more = F.when(s["end"] > state["at"], F.array(s)).otherwise(F.array().cast(shape))
-            return F.struct(
-                F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], more).cast(shape).alias("out")
-            )
+        def step(at: Column, s: Column) -> tuple[Column, Column]:
+            more = F.when(s["end"] > at, F.array(s)).otherwise(F.array().cast(f"array<{SPAN}>"))
+            return F.greatest(at, s["end"]), more
 
-        return F.aggregate(ordered, state, step, lambda s: s["out"])
+        return _scan(ordered, SPAN, step)
 
     return F.flatten(F.transform(candidates(text, base), lambda run: outer(F.filter(run, secret))))
 
@@ -318,18 +375,22 @@ def masked(
     found = with_spans(documents, text, spans, **settings)
     whole = F.col(f"`{text}`")
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] > state["at"]
-        between = F.substring(whole, state["at"] + 1, F.greatest(F.lit(0), s["start"] - state["at"]))
-        first = (state["at"] == 0) & (s["start"] == 0)
-        added = F.when(fresh, F.concat(between, F.lit(mark))).when(first, F.lit(mark)).otherwise(F.lit(""))
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], added).alias("out")
-        )
+    def step(pieces: Column):
+        def one(at: Column, s: Column) -> tuple[Column, Column]:
+            between = _part(pieces, at, F.greatest(at, s["start"]))
+            first = (at == 0) & (s["start"] == 0)
+            added = F.when(s["start"] > at, F.concat(between, F.lit(mark))).when(first, F.lit(mark)).otherwise(F.lit(""))
+            return F.greatest(at, s["end"]), F.array(added)
+
+        return one
+
+    last = F.array_max(F.transform(spans, lambda s: s["end"]))
+
+    def marked(pieces: Column) -> Column:
+        rest = _part(pieces, last, F.length(whole))
+        return F.array_join(F.concat(_scan(F.col(spans), "string", step(pieces)), F.array(rest)), "")
 
-    rest = lambda s: F.concat(s["out"], F.substring(whole, s["at"] + 1, F.length(whole)))
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    changed = F.when(F.size(spans) > 0, F.aggregate(spans, state, step, rest)).otherwise(whole)
+    changed = F.when(F.size(spans) > 0, _bound(_pieces(whole), marked)).otherwise(whole)
     (clean,) = free_names(found, "clean")
     found = found.withColumn(clean, changed)
 
