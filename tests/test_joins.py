@@ -7,12 +7,19 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tidework import join_on, transform
+from tidework.operators import frequent
 from tidework.operators.frequent import column_counts, frequent_keys
 from tidework.operators.joins import joined_names
 
 SCHEMA = "k int, s string, d double, time timestamp"
 
 
+@pytest.fixture(autouse=True)
+def small_pieces(monkeypatch):
+    """A single row may be a piece, so that small frames are cut too."""
+    monkeypatch.setattr(frequent, "LEAST", 1)
+
+
 def at(second):
     return dt.datetime(2024, 1, 1, 0, 0, second)
 
@@ -294,6 +301,14 @@ def test_null_keys_of_a_full_join_are_spread_over_tasks(spark, shuffled):
     assert largest_task(salted) < 10_000
 
 
+def test_small_tables_are_not_cut(table, monkeypatch):
+    """Each of 25 nations is more than an even partition of them; no row of the other side is copied for that."""
+    monkeypatch.setattr(frequent, "LEAST", 256)
+    result = join_on(table("customer"), table("nation"), "c_nationkey", "n_nationkey", "outer", sort=False)
+    assert result.count() == table("customer").count()
+    assert frequent_keys(table("nation").select(F.col("n_nationkey").alias("__key"))).count() == 0
+
+
 def test_frequent_keys_are_exact(spark):
     """The sketch only proposes; the counts decide, also where numbers are equal but written differently."""
     for rows in (

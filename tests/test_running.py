@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tests.test_joins import largest_task, shuffled  # noqa: F401
+from tests.test_joins import largest_task, shuffled, small_pieces  # noqa: F401
 from tidework import (
     largest,
     last_value,

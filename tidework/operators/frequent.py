@@ -11,7 +11,7 @@ from collections.abc import Iterable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,7 @@ from tidework.plans.inspect import has_unique, is_plain, is_repeatable
 # The sketch misses no value with more than 7 / tracked of all rows; 16 times as many are tracked as can be frequent.
 MOST_TRACKED = 1_000_000
 MOST_PIECES = MOST_TRACKED // 16
+LEAST = 256  # rows of a piece: where tables are small, no value is worth cutting
 _SKETCHED = (
     T.BooleanType, T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType, T.StringType, T.DateType,
     T.TimestampType, T.TimestampNTZType,
@@ -32,7 +33,8 @@ def partitions(df: DataFrame) -> int:
 
 
 def frequent_keys(keys: DataFrame) -> DataFrame:
-    """``__key, __count, __rows``: the values of a column ``__key`` that have more rows than an even shuffle partition.
+    """``__key, __count, __rows``: the values of a column ``__key`` that have more rows than an even shuffle partition,
+    and than the least piece.
 
     With n partitions these are less than n values. Which ones they are does not depend on the sketch, which only
     has to hold them among its candidates, so the frame is the same whenever it is read.
@@ -50,13 +52,18 @@ def frequent_keys(keys: DataFrame) -> DataFrame:
     else:
         counted = keys.join(F.broadcast(keys.agg(F.count(F.lit(1)).alias("__rows"))))
     counts = counted.groupBy("__key").agg(F.count(F.lit(1)).alias("__count"), F.max("__rows").alias("__rows"))
-    return counts.where(F.col("__count") * most > F.col("__rows"))
+    return counts.where((F.col("__count") * most > F.col("__rows")) & (F.col("__count") > LEAST))
 
 
 # The attribute of a join's result that holds its sides.
 SIDES = "_tidework_sides"
 
 
+def pieces_of(count: Column, rows: Column, most: int) -> Column:
+    """Into how many pieces a value's rows are cut: as many as they would fill even partitions."""
+    return F.least(F.ceil(count * F.lit(most) / rows), F.ceil(count / LEAST)).cast("int")
+
+
 class KeyCounts:
     """How often values are in a column of a table, or of a frame that costs no more to read than one."""
 
@@ -94,7 +101,7 @@ class KeyCounts:
         """``__key, __pieces``: into how many pieces a value's rows are cut; None if no value can be frequent."""
         if self._unique:
             return None
-        pieces = F.ceil(F.col("__count") * F.lit(partitions(self._frame)) / F.col("__rows")).cast("int")
+        pieces = pieces_of(F.col("__count"), F.col("__rows"), partitions(self._frame))
         return frequent_keys(self._frame).select("__key", pieces.alias("__pieces"))
 
 
@@ -128,7 +135,11 @@ class JoinedCounts(KeyCounts):
         if not self.frequent:
             return None
         most = partitions(self.table([]))
-        cut = [(v, -(-n * most // self.rows)) for v, n in self.frequent.items() if n * most > self.rows]
+        cut = [
+            (v, min(-(-n * most // self.rows), -(-n // LEAST)))
+            for v, n in self.frequent.items()
+            if n * most > self.rows and n > LEAST
+        ]
         return self.table(cut, "__pieces") if cut else None
 
 

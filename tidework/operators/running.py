@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from tidework.functions.names import col, find_field
 from tidework.functions.ordering import row_hash
 from tidework.functions.values import as_instant
+from tidework.operators import frequent
 from tidework.operators.frequent import frequent_keys, partitions
 from tidework.plans.inspect import is_repeatable
 
@@ -146,7 +147,7 @@ class _Ranges:
             self.rows, self.hot = rows.withColumn("__range", F.lit(0)), None
         else:
             joined = rows.join(F.broadcast(limits), "__key", "left")
-            self.rows = joined.withColumn("__range", _place("__limits", "__at")).drop("__limits")
+            self.rows = joined.withColumn("__range", place_in(F.col("__limits"), F.col("__at"))).drop("__limits")
             self.hot = self.rows.join(F.broadcast(limits.select("__key")), "__key", "left_semi")
 
     def _changed(self, change: Callable[[DataFrame], DataFrame]) -> _Ranges:
@@ -195,7 +196,7 @@ def _limits(rows: DataFrame) -> DataFrame | None:
     if not hot:
         return None
     spark = rows.sparkSession
-    pieces = {r["__key"]: -(-r["__count"] * most // r["__rows"]) for r in hot}
+    pieces = {r["__key"]: min(-(-r["__count"] * most // r["__rows"]), -(-r["__count"] // frequent.LEAST)) for r in hot}
     shares = [(r["__key"], min(1.0, SAMPLED * pieces[r["__key"]] / r["__count"])) for r in hot]
     share = spark.createDataFrame(shares, "__key long, __share double")
     sample = rows.join(F.broadcast(share), "__key").where(F.rand(7) < F.col("__share")).select("__key", "__at")
@@ -212,18 +213,18 @@ def _limits(rows: DataFrame) -> DataFrame | None:
     return spark.createDataFrame(limits, kind).withColumn("__limits", F.array_sort("__limits"))
 
 
-def _place(limits: str, at: str) -> Column:
+def place_in(limits: Column, at: Column) -> Column:
     """How many of the sorted limits are at or before a place, by halving the list; 0 without limits."""
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(limits) + 1)).cast("int"))
     start = F.struct(F.lit(0).alias("low"), F.size(limits).alias("high"))
 
     def halve(state: Column, _: Column) -> Column:
         middle = F.floor((state.low + state.high) / 2).cast("int")
-        before = F.get(F.col(limits), middle) <= F.col(at)
+        before = F.get(limits, middle) <= at
         return (
             F.when(state.low >= state.high, state)
             .when(before, F.struct((middle + 1).alias("low"), state.high.alias("high")))
             .otherwise(F.struct(state.low.alias("low"), middle.alias("high")))
         )
 
-    return F.when(F.col(limits).isNull(), 0).otherwise(F.reduce(steps, start, halve, lambda state: state.low))
+    return F.when(limits.isNull(), 0).otherwise(F.reduce(steps, start, halve, lambda state: state.low))
