@@ -6,7 +6,7 @@ paragraphs have the same fingerprint, and a paragraph is inserted or deleted by
 adding or subtracting its vector.
 
 A paragraph's vector has a part that is hashed from the paragraph as a whole,
-for equality, and a part that is a sum over its runs of eight words: each run
+for equality, and a part that is a sum over its runs of some words: each run
 adds its hash bits to 240 counters, three to a word. Centred, the counters are
 a random projection of the runs, so the cosine of two fingerprints estimates
 what share of their runs two texts have in common.
@@ -16,14 +16,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidework.llm.common import WORD
+from tidework.llm.common import BLANK, WORD
+from tidework.operators.frequent import frequent_keys
+from tidework.operators.running import place_in
 
 HASHES = 4  # words hashed from a paragraph, or bits of a run, by one SHA-256
-LANE = 20  # bits of a counter
+LANE = 20  # bits of a counter, which is right while no text repeats one run more than half a million times
 MASK = (1 << 60) - 1
 ONES = 1 | 1 << LANE | 1 << 2 * LANE
-RUNS = rf"(?:{WORD}[\x20\x09]*){{1,8}}"  # runs end at a paragraph's end
+# A run ends behind a word that ends in one of these letters, at a paragraph's end, or after 24 words: where it ends
+# depends on its own words only, so a word that is added or lost changes the runs beside it and no others.
+LAST = "dlrDLR.!?"
+RUNS = rf"(?:[^{BLANK}]*[^{BLANK}{LAST}][\x20\x09]+){{0,23}}{WORD}[\x20\x09]*"
+SAMPLED = 32  # rows of the sample for each range that rows are laid out by
 
 
 def _words(hashes: Column) -> Column:
@@ -104,30 +111,64 @@ def _text_of(fingerprint: str) -> Column:
     return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 15, "0")), "")
 
 
-def _ranges(rows: DataFrame, parts: int) -> Column:
-    """A number for ranges of the column ``id``, larger for larger ids, by quantiles; -1 for null.
+def _limits(rows: DataFrame, parts: int) -> Column | None:
+    """The sorted places at which ranges of the rows begin, less than twice ``parts``, from a sample of a bounded number
+    of rows; None without any. They are one constant, which is the same wherever it is used."""
+    count = rows.count()
+    if parts < 2 or not count:
+        return None
+    sample = rows.where(F.rand(5) < min(1.0, SAMPLED * parts / count)).select("place")
+    places = sample.agg(F.array_sort(F.array_agg("place")).alias("all"))
+    step = F.greatest(F.lit(1), F.floor(F.size("all") / parts)).cast("int")
+    some = places.select(F.array_distinct(F.filter("all", lambda _, i: (i > 0) & (i % step == 0)))).first()[0]
 
-    The bounds are looked up in two steps, so a row is compared with about the square root of their number.
+    fields = rows.schema["place"].dataType.fields
+
+    def value(v, kind: str) -> str:
+        text = "NULL" if v is None else "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+        return f"CAST({text} AS {kind})"
+
+    structs = (
+        "struct(" + ", ".join(f"{value(p[f.name], f.dataType.simpleString())} AS {f.name}" for f in fields) + ")" for p in some
+    )
+    return F.expr(f"array({', '.join(structs)})") if some else None
+
+
+def _neighbours(rows: DataFrame) -> DataFrame:
+    """(id, text, mine, next_text, next) of all rows, the fingerprint ``mine`` of each and its next one's, in descending
+    order of ``place``; after the last comes the first.
+
+    Rows are laid out by ranges of the place, so a text moves once; the first row of each range is copied to the end of
+    the range before, as a table of these rows says, which has no more rows than there are ranges.
     """
-    bounds = sorted({b for (b,) in _quantiles(rows, parts)})
-    step = max(1, round(len(bounds) ** 0.5))
-    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
-    if not groups:
-        return F.when(F.col("id").isNull(), -1).otherwise(0)
-    kind = rows.schema["id"].dataType.simpleString()
-    first = F.array(*(F.lit(g[0]).cast(kind) for g in groups))
-    inner = F.array(*(F.array(*(F.lit(b).cast(kind) for b in g)) for g in groups))
-    coarse = F.size(F.filter(first, lambda b: b <= F.col("id")))
-    fine = F.size(F.filter(F.element_at(inner, F.greatest(coarse, F.lit(1))), lambda b: b <= F.col("id")))
-    return F.when(F.col("id").isNull(), -1).when(coarse == 0, 0).otherwise((coarse - 1) * step + fine)
-
-
-def _quantiles(rows: DataFrame, parts: int) -> list[tuple]:
-    shares = [i / parts for i in range(1, parts)]
-    if not shares:
-        return []
-    found = rows.agg(F.percentile_approx("id", shares, 20 * parts).alias("q")).first().q
-    return [(b,) for b in found or []]
+    spark = rows.sparkSession
+    limits = _limits(rows.select("place"), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if limits is None:
+        ranged = rows.withColumn("range", F.lit(0))
+    else:
+        ranged = rows.withColumn("range", place_in(limits, F.col("place")))
+    heads = sorted(ranged.groupBy("range").agg(F.max("place").alias("head")).collect(), reverse=True)
+    before = [(row.range, heads[n - 1].range) for n, row in enumerate(heads)]
+    heads = spark.createDataFrame(
+        [(r, b, tuple(h.head)) for (r, b), h in zip(before, heads)],
+        T.StructType(
+            [
+                T.StructField("range", T.IntegerType()),
+                T.StructField("before", T.IntegerType()),
+                T.StructField("head", rows.schema["place"].dataType),
+            ]
+        ),
+    )
+    first = with_fingerprint(ranged, "text", "mine").join(F.broadcast(heads), "range", "left")
+    own = F.struct(F.col("range"), F.lit(False).alias("copy"))
+    copied = F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))
+    at = F.explode(F.when(F.col("place") == F.col("head"), F.array(own, copied)).otherwise(F.array(own))).alias("at")
+    placed = first.select("id", "text", "times", "mine", "place", at)
+    order = "PARTITION BY at.range ORDER BY at.copy, place DESC"
+    follow = placed.select(
+        "*", F.expr(f"lead(text) OVER ({order})").alias("next_text"), F.expr(f"lead(mine) OVER ({order})").alias("next")
+    )
+    return follow.where("NOT at.copy").select("id", "text", "times", "mine", "next_text", "next")
 
 
 def edited_fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -135,34 +176,37 @@ def edited_fingerprints(documents: DataFrame, key: str = "doc_id", text: str = "
 
     The edited text is the row's text with its last half replaced by the
     beginning of the next row's, in descending order of the key; rows of one key
-    are ordered by a hash of their text, null keys come last, and after the last
+    are ordered by hashes of their text, null keys come last, and after the last
     row comes the first. Null texts are empty. A single row is its own next one.
-
-    Rows are laid out by ranges of the key, found from quantiles, so a text moves
-    once; the first row of each range is copied to the end of the range before.
+    Rows with equal key and text follow each other; where they are very many they
+    are counted before anything is shuffled. A table without rows gives none;
+    other columns, whatever their names, are not read.
     """
-    rows = documents.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("range", _ranges(rows, parts).cast("int"))
-    # One row for each range, of which there are no more than partitions.
-    heads = sorted(
-        rows.groupBy("range").agg(F.max(F.struct(F.col("id"), F.col("hash"))).alias("head")).collect(), reverse=True
-    )
-    copies = F.array().cast("array<struct<range:int,copy:boolean>>")
-    for place, row in enumerate(heads):
-        before = heads[place - 1].range
-        here = (F.col("range") == row.range) & F.col("id").eqNullSafe(F.lit(row.head.id)) & (F.col("hash") == row.head.hash)
-        copies = F.when(here, F.array(F.struct(F.lit(before).alias("range"), F.lit(True).alias("copy")))).otherwise(copies)
-    own = F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("copy")))
-    printed = with_fingerprint(rows, "text", "mine")
-    placed = printed.select("id", "text", "hash", "mine", F.explode(F.concat(own, copies)).alias("at")).select(
-        "id", "text", "hash", "mine", F.col("at.range").alias("range"), F.col("at.copy").alias("copy")
+    rows = documents.select(F.col(f"`{key}`").alias("id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    known = F.col("id").isNotNull().alias("known")
+    rows = rows.select(
+        "*", F.struct(known, "id", F.xxhash64("text").alias("a"), F.hash("text").alias("b")).alias("place")
     )
-    order = "PARTITION BY range ORDER BY copy, id DESC NULLS LAST, hash DESC"
-    follow = placed.select("*", F.expr(f"lead(text) OVER ({order})").alias("next_text"), F.expr(f"lead(mine) OVER ({order})").alias("next"))
+    equal = frequent_keys(rows.select(F.xxhash64("place").alias("__key"))).collect()
+    if equal:
+        many = rows.sparkSession.createDataFrame([(r["__key"],) for r in equal], "many long")
+        met = rows.withColumn("many", F.xxhash64("place")).join(F.broadcast(many), "many", "left_semi")
+        counted = met.groupBy("place").agg(F.first("id").alias("id"), F.first("text").alias("text"), F.count("*").alias("times"))
+        others = rows.withColumn("many", F.xxhash64("place")).join(F.broadcast(many), "many", "left_anti")
+        rows = others.select("id", "text", "place", F.lit(1).cast("long").alias("times")).unionByName(counted)
+    else:
+        rows = rows.withColumn("times", F.lit(1).cast("long"))
+    follow = _neighbours(rows)
+    if equal:
+        # All but the last of equal rows are followed by an equal one.
+        same = follow.where("times > 1").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(times - 2) div 1024"))).alias("part"))
+        few = F.least(F.lit(1024), F.col("times") - 1 - F.col("part") * 1024).cast("int")
+        same = same.select("id", "text", "times", "mine", "text", "mine", F.explode(F.sequence(F.lit(1), few)))
+        same = same.drop("col").toDF("id", "text", "times", "mine", "next_text", "next")
+        follow = follow.unionByName(same)
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))
-    rows = follow.where(~F.col("copy")).select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "mine", "next")
+    rows = follow.select("id", n.cast("long").alias("n_chars"), edited.alias("edited"), "mine", "next")
     rows = with_fingerprint(rows, "edited", "theirs")
     rows = rows.withColumns({f"{c}_c": _counters(F.col(c)) for c in ("mine", "next", "theirs")})
     rows = rows.withColumns({f"{c}_c_n": _dot(f"{c}_c", f"{c}_c") for c in ("mine", "next", "theirs")})
