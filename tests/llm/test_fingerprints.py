@@ -72,6 +72,13 @@ def test_rows_of_one_key_are_spread_over_ranges(spark, many_ranges, keys):
     assert follow.count() == 6000 and largest < 1800
 
 
+def test_more_ranges_than_rows_of_a_file(spark, documents, many_ranges):
+    many_ranges(211)
+    few = fingerprints.edited_fingerprints(documents).collect()
+    many_ranges(8)
+    assert sorted(map(tuple, few)) == sorted(map(tuple, fingerprints.edited_fingerprints(documents).collect()))
+
+
 def test_many_ranges_are_planned(spark, many_ranges):
     many_ranges(3000)
     rows = [(i % 900, f"some text {i}") for i in range(1000)]

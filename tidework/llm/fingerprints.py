@@ -148,21 +148,15 @@ def _neighbours(rows: DataFrame) -> DataFrame:
     else:
         ranged = rows.withColumn("range", place_in(limits, F.col("place")))
     heads = sorted(ranged.groupBy("range").agg(F.max("place").alias("head")).collect(), reverse=True)
-    before = [(row.range, heads[n - 1].range) for n, row in enumerate(heads)]
-    heads = spark.createDataFrame(
-        [(r, b, tuple(h.head)) for (r, b), h in zip(before, heads)],
-        T.StructType(
-            [
-                T.StructField("range", T.IntegerType()),
-                T.StructField("before", T.IntegerType()),
-                T.StructField("head", rows.schema["place"].dataType),
-            ]
-        ),
+    kind = T.StructType(
+        [T.StructField("head", rows.schema["place"].dataType), T.StructField("before", T.IntegerType())]
     )
-    first = with_fingerprint(ranged, "text", "mine").join(F.broadcast(heads), "range", "left")
+    heads = spark.createDataFrame([(tuple(row.head), heads[n - 1].range) for n, row in enumerate(heads)], kind)
+    printed = with_fingerprint(ranged, "text", "mine")
+    first = printed.join(F.broadcast(heads), printed["place"] == heads["head"], "left")
     own = F.struct(F.col("range"), F.lit(False).alias("copy"))
     copied = F.struct(F.col("before").alias("range"), F.lit(True).alias("copy"))
-    at = F.explode(F.when(F.col("place") == F.col("head"), F.array(own, copied)).otherwise(F.array(own))).alias("at")
+    at = F.explode(F.when(F.col("before").isNotNull(), F.array(own, copied)).otherwise(F.array(own))).alias("at")
     placed = first.select("id", "text", "times", "mine", "place", at)
     order = "PARTITION BY at.range ORDER BY at.copy, place DESC"
     follow = placed.select(
