@@ -28,7 +28,7 @@ MASK = (1 << 60) - 1
 ONES = 1 | 1 << LANE | 1 << 2 * LANE
 # A run ends behind a word that ends in one of these letters, at a paragraph's end, or after 24 words: where it ends
 # depends on its own words only, so a word that is added or lost changes the runs beside it and no others.
-LAST = "dlrDLR.!?"
+LAST = "lL.!?"
 RUNS = rf"(?:[^{BLANK}]*[^{BLANK}{LAST}][\x20\x09]+){{0,23}}{WORD}[\x20\x09]*"
 SAMPLED = 32  # rows of the sample for each range that rows are laid out by
 
