@@ -11,6 +11,7 @@ from tidework import (
     from_json_rows,
     join_on,
     json_keys,
+    json_schema,
     presence,
     read_csv,
     read_json_rows,
@@ -23,6 +24,7 @@ from tidework import (
     time_tags_fields,
     to_json_rows,
     transform,
+    typed_json_rows,
     work_path,
     write_csv,
 )
@@ -318,3 +320,23 @@ def test_exported_times_are_utc_in_any_zone(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert text.split() == ['"t"', '"2024-11-03T05:30:00.000001"', '"2024-11-03T06:30:00"']
+
+
+def test_json_schema_of_mixed_and_nested_values(spark):
+    lines = [
+        '{"b":1,"a":"x","list":[1,2.5],"odd.name":true}',
+        '{"b":2,"a":3,"nested":{"e":1,"f":null},"OBJECT<VARIANT":1}',
+        '{"b":null,"nested":{"e":"z"},"empty":null,"big":123456789012345678901234567890}',
+        "no json", "[1]", "7", None,
+    ]
+    frame = spark.createDataFrame([(t,) for t in lines], "value string").repartition(4)
+    kinds = {f.name: f.dataType.simpleString() for f in json_schema(frame).fields}
+    assert kinds.pop("list").startswith("array<d") and kinds == {
+        "a": "string", "b": "bigint", "big": "decimal(30,0)", "empty": "string", "nested": "struct<e:string,f:string>",
+        "odd.name": "boolean", "OBJECT<VARIANT": "bigint",
+    }
+    rows = {r["b"]: r for r in typed_json_rows(frame).where("a IS NOT NULL").collect()}
+    assert rows[1]["a"] == "x" and rows[2]["a"] == "3" and tuple(rows[2]["nested"]) == ("1", None)
+    assert typed_json_rows(frame).count() == len(lines)
+    nothing = spark.createDataFrame([("no json",)], "value string")
+    assert json_schema(nothing).fields == [] and typed_json_rows(nothing).columns == []

@@ -17,6 +17,7 @@ from tidework.operators.running import (
     sums,
 )
 from tidework.operators.series import series
+from tidework.operators.sketches import day_states, merge_states
 from tidework.operators.slices import rows_before, time_slices
 from tidework.operators.transform import transform
 from tidework.plans.spec import Box, Join, Plot, Sql, Table, Tables, Workflow
@@ -26,7 +27,14 @@ from tidework.plans.workflow import run_box, run_workflow
 from tidework.session import build_session, release_work, released_work, work_path
 from tidework.sources.catalog import Catalog, describe, scan_range, time_tags_fields
 from tidework.sources.export import read_csv, write_csv
-from tidework.sources.rows import from_json_rows, json_keys, read_json_rows, to_json_rows
+from tidework.sources.rows import (
+    from_json_rows,
+    json_keys,
+    json_schema,
+    read_json_rows,
+    to_json_rows,
+    typed_json_rows,
+)
 from tidework.sources.scan import presence, scan_many, scan_ordered, shape, shapes
 from tidework.streaming.flow import append_available
 
@@ -47,14 +55,17 @@ __all__ = [
     "basic_to_df",
     "basic_to_sql",
     "build_session",
+    "day_states",
     "describe",
     "epoch_columns",
     "from_json_rows",
     "in_order",
     "join_on",
     "json_keys",
+    "json_schema",
     "largest",
     "last_value",
+    "merge_states",
     "overlap_join",
     "presence",
     "preview",
@@ -82,6 +93,7 @@ __all__ = [
     "time_tags_fields",
     "to_json_rows",
     "transform",
+    "typed_json_rows",
     "work_path",
     "write_csv",
 ]

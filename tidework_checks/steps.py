@@ -20,12 +20,14 @@ from tidework import (
     Workflow,
     basic_to_df,
     basic_to_sql,
+    day_states,
     epoch_columns,
     from_json_rows,
     in_order,
     join_on,
     json_keys,
     largest,
+    merge_states,
     overlap_join,
     presence,
     preview_frame,
@@ -47,6 +49,7 @@ from tidework import (
     time_tags_fields,
     to_json_rows,
     transform,
+    typed_json_rows,
     work_path,
     write_csv,
 )
@@ -1002,3 +1005,91 @@ def range_join_mixed_lengths(spark, folder):
     )
     pairs = overlap_join(spans, spans, ("ts", "until"), ("ts", "until"))
     return pairs.groupBy("event_id").agg(F.count("*").alias("n"), F.min("event_id_right").alias("first_id"))
+
+
+# ---- JSON with types, and states that are kept -----------------------------------
+
+
+@STEPS.add(
+    "json_rows_typed",
+    """
+    SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN event_type ELSE CAST(event_id AS VARCHAR) END AS mixed,
+           CASE WHEN event_id % 2 = 0 THEN CAST(event_id AS DOUBLE) ELSE event_id + 0.5::DOUBLE END AS number,
+           CASE WHEN event_id % 5 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 5 > 0 THEN event_type END AS type,
+           CASE WHEN event_id % 7 = 0 THEN event_id + user_id END AS total
+    FROM events
+    """,
+)
+def json_rows_typed(spark, folder):
+    lines = transform(
+        read(spark, folder, "events"),
+        """
+        SELECT concat('{"id":', event_id, ',"mixed":', if(event_id % 3 = 0, concat('"', event_type, '"'), string(event_id)),
+                      ',"number":', event_id, if(event_id % 2 = 0, '', '.5'),
+                      if(event_id % 5 > 0, concat(',"by":{"user":', user_id, ',"type":"', event_type, '"}'), ''),
+                      if(event_id % 7 = 0, concat(',"list":[', event_id, ',', user_id, ']'), ''), '}') AS value
+        FROM df
+        """,
+    )
+    rows = typed_json_rows(lines)
+    total = F.aggregate("list", F.lit(0).cast("long"), lambda sum_, x: sum_ + x)
+    return rows.select(
+        "id", "mixed", F.col("number").cast("double").alias("number"), F.col("by.user").alias("user_id"),
+        F.col("by.type").alias("type"), total.alias("total"),
+    )
+
+
+@STEPS.add(
+    "json_variant",
+    """
+    SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total,
+           count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS kinds,
+           count(*) FILTER (json_extract(props, '$.other') IS NULL) AS others
+    FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 20
+    GROUP BY event_type
+    """,
+)
+def json_variant(spark, folder):
+    parsed = transform(read(spark, folder, "events"), "SELECT event_type, parse_json(props) AS p FROM df")
+    return transform(
+        parsed,
+        """
+        SELECT event_type, count(*) AS n, sum(k) AS total, count(DISTINCT k) AS kinds, count_if(other IS NULL) AS others
+        FROM (SELECT event_type, try_variant_get(p, '$.k', 'bigint') AS k, try_variant_get(p, '$.other', 'string') AS other
+              FROM df)
+        WHERE k >= 20 GROUP BY event_type
+        """,
+    )
+
+
+@STEPS.add(
+    "sql_sketch_merge",
+    """
+    SELECT event_type, CAST(date_trunc('week', ts) AS DATE) AS start, count(*) AS n_rows, true AS users_near, true AS middle_near
+    FROM events GROUP BY ALL
+    """,
+)
+def sql_sketch_merge(spark, folder):
+    events = read(spark, folder, "events")
+    path = work_path(spark, "states")
+    day_states(events, "ts", ["event_type"], ["user_id"], ["value"]).write.partitionBy("day").parquet(path)
+    weeks = merge_states(spark.read.parquet(path), "week", ["event_type"])
+    exact = transform(
+        events,
+        "SELECT event_type AS type, to_date(date_trunc('WEEK', ts)) AS week, user_id, value FROM df",
+    )
+    joined = exact.join(weeks, (F.col("type") == F.col("event_type")) & (F.col("week") == F.col("start")))
+    below = F.avg((F.col("value") <= F.col("ranks_value")[0]).cast("double"))
+    grouped = joined.groupBy("event_type", "start").agg(
+        F.max("n_rows").alias("n_rows"),
+        F.max("distinct_user_id").alias("users"),
+        F.count_distinct("user_id").alias("exact"),
+        below.alias("below"),
+    )
+    return grouped.select(
+        "event_type",
+        "start",
+        "n_rows",
+        (F.abs(F.col("users") - F.col("exact")) <= 1 + 0.04 * F.col("exact")).alias("users_near"),
+        F.col("below").between(0.46, 0.54).alias("middle_near"),
+    )
