@@ -68,17 +68,30 @@ def smallest_by_hash(rows: DataFrame, key: str, stratum: str, count: int) -> Dat
     return rows.where(place < share)
 
 
+PIECES = 8  # of a long text that a model is fitted on
+
+
+def spread_pieces(text: Column, longest: int) -> Column:
+    """A binary text as it is, or, if it has more bytes than ``longest``, evenly spread pieces of it, one after another."""
+    size, wide = F.octet_length(text), longest // PIECES
+    starts = [F.floor((size - wide).cast("long") * i / (PIECES - 1)).cast("int") + 1 for i in range(PIECES)]
+    pieces = F.concat(*[F.substring(text, start, F.lit(wide)) for start in starts])
+    return F.when(size <= longest, text).otherwise(pieces)
+
+
 def labelled_texts(
     documents: DataFrame, picked: DataFrame, key: str, text: str, label: str, longest: int
 ) -> list[tuple]:
-    """(label, key, bytes) of the picked rows whose text has at most ``longest`` bytes, in order of the key.
+    """(label, key, bytes) of the picked rows, in order of the key.
 
-    ``picked`` is a bounded sample, so broadcasting it and collecting its texts are bounded too.
+    A text of more than ``longest`` bytes is there as pieces of together that length, spread evenly from its beginning
+    to its end, so that a class of long texts is learned as well. ``picked`` is a bounded sample, so broadcasting it and
+    collecting its texts are bounded too.
     """
     ids = F.broadcast(picked.groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_y")))
     found = (
-        documents.select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("_t"))
-        .where(F.col("_t").isNotNull() & (F.octet_length("_t") <= longest))
+        documents.select(F.col(key).alias("_k"), spread_pieces(F.col(text).cast("binary"), longest).alias("_t"))
+        .where(F.col("_t").isNotNull())
         .join(ids, "_k")
         .groupBy("_k", "_y")
         .agg(F.min("_t").alias("_t"))

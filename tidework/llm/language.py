@@ -112,7 +112,7 @@ def fit(
     fit_rows: int = 400,
     fit_bytes: int = 16384,
 ) -> LanguageModel | None:
-    """Fits on about ``fit_rows`` rows of each language, of texts up to ``fit_bytes`` bytes: the documented bounds."""
+    """Fits on about ``fit_rows`` rows of each language, of up to ``fit_bytes`` bytes of each text: the documented bounds."""
     known = documents.where(F.col(language).isNotNull() & F.col(key).isNotNull()).select(
         key, F.col(language).alias("_label")
     )

@@ -197,7 +197,7 @@ def fit(
     fit_rows: int = 1600,
     fit_bytes: int = 32768,
 ) -> ConvModel | ConstantModel:
-    """Fits on about ``fit_rows`` rows of each label, of texts up to ``fit_bytes`` bytes: the documented bounds of
+    """Fits on about ``fit_rows`` rows of each label, of up to ``fit_bytes`` bytes of each text: the documented bounds of
     the sample. Each label weighs as much as it does among all labelled rows. Null labels are left out."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).select(
         key, F.col(label).cast("int").alias("_label")

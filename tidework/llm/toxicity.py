@@ -128,8 +128,8 @@ def fit(
     fit_unlabelled: int = 8000,
     fit_bytes: int = 32768,
 ) -> ToxicModel:
-    """Fits on about ``fit_positive`` confirmed toxic rows and ``fit_unlabelled`` keys of ``unlabelled``, of texts up to
-    ``fit_bytes`` bytes: the documented bounds of the sample. Of the labels only the toxic ones and their share count."""
+    """Fits on about ``fit_positive`` confirmed toxic rows and ``fit_unlabelled`` keys of ``unlabelled``, of up to
+    ``fit_bytes`` bytes of each text: the documented bounds of the sample. Of the labels only the toxic ones and their share count."""
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull())
     toxic, total = known.agg(F.count(F.when(F.col(label) > 0, 1)), F.count("*")).first()
     marked = known.where(F.col(label) > 0).select(key, F.lit(1).alias("_label"))
