@@ -22,12 +22,16 @@ def scan_many(
 ) -> dict[str, DataFrame]:
     """One lazy range scan per table, in the order given.
 
-    ``drop_empty`` leaves tables without rows in the range out. That looks for a
-    first row of each table, one after another: a split is read, then a few
-    more, until there is one. :func:`presence` answers for all tables at once.
+    ``drop_empty`` leaves tables without rows in the range out. One job looks for
+    a first row of every table; it reads each split up to its first row in the
+    range, and returns a name for each table at most.
     """
     frames = {name: catalog.scan(name, start, end) for name in tables}
-    return {name: df for name, df in frames.items() if not (drop_empty and df.isEmpty())}
+    if drop_empty and frames:
+        firsts = [df.limit(1).select(F.lit(name).alias("name")) for name, df in frames.items()]
+        there = {row["name"] for row in union_all(firsts).collect()}
+        frames = {name: df for name, df in frames.items() if name in there}
+    return frames
 
 
 def presence(catalog: Catalog, tables: Sequence[str], start: str, end: str) -> DataFrame:
