@@ -19,7 +19,7 @@ def test_same_rows_as_sql(spark, name):
 
 def test_all_queries_are_registered():
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert {name.split("_")[0] for name in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {name.split("_")[0] for name in QUERIES} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline(spark, documents):
