@@ -1042,7 +1042,7 @@ def json_rows_typed(spark, folder):
 @STEPS.add(
     "json_variant",
     """
-    SELECT event_type, count(*) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS total,
+    SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS total,
            count(DISTINCT CAST(json_extract(props, '$.k') AS BIGINT)) AS kinds,
            count(*) FILTER (json_extract(props, '$.other') IS NULL) AS others
     FROM events WHERE CAST(json_extract(props, '$.k') AS BIGINT) >= 20
