@@ -20,6 +20,7 @@ from pyspark.sql import Window
 from tidework.llm.common import WORD, free_names, row_keys, saved
 
 GROUP = 64  # documents settled together
+EQUAL = 4096  # equal rows written out by one task at a time, at most
 WEIGHTS = (3.0, 1.0, 2.0)  # repeating, for sources by code point
 _OPEN = "struct<size:long,order:long,mass:double,id:struct<a:long,b:int>>"
 
@@ -100,24 +101,9 @@ def _round(open_: DataFrame, level: int) -> DataFrame:
     return folded.select("source", "group", state.alias("state")).select("source", "group", "state.open", "state.done")
 
 
-def mixture(
-    documents: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    source: str = "source",
-    share: float = 1.5,
-    most: float = 2.0,
-    weights: tuple[float, ...] = WEIGHTS,
-) -> DataFrame:
-    """(key, size, source_size, target, taken, copies, row_a, row_b) of every row.
-
-    ``size`` is the number of words, ``taken`` the words the mix takes: copies
-    times size. A document is taken ``target / source_size`` times, rounded up
-    or down at random; documents without words are never taken. Null text has
-    no words, a null source is a source. Rows that are equal in key, text and
-    source are settled together: their copies differ by the usual whole part
-    and what one of them is given; each shows the copies of its own row.
-    """
+def _classes(documents: DataFrame, key: str, text: str, source: str, share: float, most: float, weights: tuple[float, ...]) -> DataFrame:
+    """(row_a, row_b, key, size, source_size, target, rows, all) for each set of rows equal in key, text and source:
+    how many there are, and how many copies the mix takes of all of them together."""
     a, b = row_keys([key, text, source])
     words = F.size(F.regexp_extract_all(F.col(f"`{text}`"), F.lit(WORD), 0))
     rows = documents.select(
@@ -127,16 +113,19 @@ def mixture(
         a.alias("row_a"),
         b.alias("row_b"),
     )
-    # Rows with the same key, text and source become one, taken that many times.
-    rows = saved(rows, "sizes")
-    alike = rows.groupBy("row_a", "row_b", "source", "size").agg(F.count("*").alias("rows"))
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("documents"))
+    # Rows with the same key, text and source become one, taken that many times; counted before they are shuffled.
+    alike = saved(
+        rows.groupBy("row_a", "row_b", "source", "size").agg(F.first("key").alias("key"), F.count("*").alias("rows")), "sizes"
+    )
+    sums = alike.groupBy("source").agg(
+        F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("documents")
+    )
     aims = saved(targets(sums, share, most, weights), "targets")
     named = F.col("d.source").eqNullSafe(F.col("t.source"))
     wanted = (
         alike.alias("d")
         .join(aims.alias("t"), named)
-        .select("d.row_a", "d.row_b", "d.source", "d.size", "d.rows", "source_size", "documents", "target")
+        .select("d.row_a", "d.row_b", "d.key", "d.source", "d.size", "d.rows", "source_size", "documents", "target")
         .withColumn("times", F.when(F.col("source_size") > 0, F.col("rows") * F.col("target") / F.col("source_size")).otherwise(0.0))
         .withColumn("whole", F.floor("times"))
     )
@@ -167,25 +156,51 @@ def mixture(
     # The last one of a source has nobody to pair with: it goes the nearer way.
     last = rest.select("id", (F.col("mass") * 2 >= F.col("size")).alias("taken"))
     settled = settled.unionByName(last).select(F.col("id.a").alias("row_a"), F.col("id.b").alias("row_b"), "taken")
-    copies = wanted.join(settled, ["row_a", "row_b"], "left").select(
+    return wanted.join(settled, ["row_a", "row_b"], "left").select(
         "row_a",
         "row_b",
-        "rows",
+        "key",
+        "size",
         "source_size",
         "target",
+        "rows",
         F.when(F.col("size") > 0, F.col("whole") + F.when(F.coalesce("taken", F.lit(False)), 1).otherwise(0))
         .otherwise(0)
         .cast("long")
         .alias("all"),
     )
-    # Copies of equal rows are dealt out evenly, the odd ones to the first of them.
-    one = Window.partitionBy("row_a", "row_b").orderBy(F.lit(0))
-    joined = rows.select("key", "size", "row_a", "row_b").join(copies, ["row_a", "row_b"])
-    place = F.when(F.col("rows") == 1, 1).otherwise(F.row_number().over(one))
-    joined = joined.withColumn(
-        "copies", F.floor(F.col("all") / F.col("rows")) + F.when(place <= F.col("all") % F.col("rows"), 1).otherwise(0)
-    )
-    return joined.select(
+
+
+def mixture(
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    share: float = 1.5,
+    most: float = 2.0,
+    weights: tuple[float, ...] = WEIGHTS,
+) -> DataFrame:
+    """(key, size, source_size, target, taken, copies, row_a, row_b) of every row.
+
+    ``size`` is the number of words, ``taken`` the words the mix takes: copies
+    times size. A document is taken ``target / source_size`` times, rounded up
+    or down at random; documents without words are never taken. Null text has
+    no words, a null source is a source. Rows that are equal in key, text and
+    source are settled together: their copies differ by the usual whole part
+    and what one of them is given; each shows the copies of its own row.
+    """
+    classes = _classes(documents, key, text, source, share, most, weights)
+    # Equal rows cannot be told apart here, so they are written out from their number, some thousand in a block, and
+    # the blocks are dealt over all tasks. Copies are dealt evenly, the odd ones to the first rows.
+    parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last_block = F.floor((F.col("rows") - 1) / EQUAL)
+    blocks = classes.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), last_block)))
+    blocks = blocks.repartition(parts, "row_a", "row_b", "block")
+    first = F.col("block") * EQUAL
+    place = F.explode(F.sequence(first, F.least(first + EQUAL, F.col("rows")) - 1))
+    odd = F.when(F.col("place") < F.col("all") % F.col("rows"), 1).otherwise(0)
+    dealt = blocks.withColumn("place", place).withColumn("copies", F.floor(F.col("all") / F.col("rows")) + odd)
+    return dealt.select(
         F.col("key").alias(key),
         "size",
         "source_size",
@@ -197,13 +212,35 @@ def mixture(
     )
 
 
-def resampled(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **settings) -> DataFrame:
+def resampled(
+    documents: DataFrame,
+    key: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    share: float = 1.5,
+    most: float = 2.0,
+    weights: tuple[float, ...] = WEIGHTS,
+) -> DataFrame:
     """The rows of ``documents`` as often as the mixture takes them, with all their columns. Rows equal in key, text and
-    source are one row here, taken as often as all of them together."""
-    found = mixture(documents, key, text, source, **settings)
-    a, b, times = free_names(documents, "row_a", "row_b", "times")
-    taken = found.groupBy(F.col("row_a").alias(a), F.col("row_b").alias(b)).agg(F.sum("copies").cast("int").alias(times))
+    source are one row here, taken as often as all of them together; where other columns differ, the row whose columns
+    hash lowest stands for them (columns that hold maps don't count)."""
+    classes = _classes(documents, key, text, source, share, most, weights)
+    a, b, row, times, each = free_names(documents, "row_a", "row_b", "row", "times", "each")
+    taken = classes.where("all > 0").select(
+        F.col("row_a").alias(a), F.col("row_b").alias(b), F.col("all").cast("int").alias(times)
+    )
     keys = row_keys([key, text, source])
-    rows = documents.withColumns({a: keys[0], b: keys[1]}).join(taken.where(F.col(times) > 0), [a, b]).dropDuplicates([a, b])
-    (each,) = free_names(rows, "each")
-    return rows.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in documents.columns))
+    cols = [F.col(f"`{c}`") for c in documents.columns]
+    others = [
+        F.col(f"`{f.name}`")
+        for f in documents.schema
+        if f.name not in (key, text, source) and not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))
+    ]
+    # One of each before the join, so that a row repeated without end is one row a task there.
+    one = (
+        documents.select(keys[0].alias(a), keys[1].alias(b), F.struct(*cols).alias(row), F.xxhash64(*others, F.lit(0)).alias(each))
+        .groupBy(a, b)
+        .agg(F.min_by(row, each).alias(row))
+    )
+    rows = one.join(taken, [a, b]).withColumn(each, F.explode(F.sequence(F.lit(1), F.col(times))))
+    return rows.select(*(F.col(row).getField(c).alias(c) for c in documents.columns))
