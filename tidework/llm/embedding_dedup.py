@@ -22,18 +22,38 @@ from tidework.llm.common import by_group, saved
 from tidework.llm.graph import FOUND, Links, components
 
 BLOCK = 1024  # home vectors, and visiting ones, of a cell compared in one task
+FAN = 256  # codewords that are fitted side by side
+SAMPLED = 16  # vectors for each codeword that the codebooks are fitted on, at least
 
 
 def _codebook(points: np.ndarray, count: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
+    """``count`` centres of the points, fewer if they have fewer points. Beyond ``FAN``, the points are first parted
+    among some centres and each part gets its share, so that the work grows with the points times the root of the count."""
+    count = min(count, len(points))
+    if count > FAN:
+        coarse = _codebook(points, int(np.ceil(count**0.5)), rng, rounds)
+        near = _nearest(points, coarse)
+        if (near == near[0]).all():  # points that are all alike are parted anyhow
+            near = np.arange(len(points)) % len(coarse)
+        sizes = np.bincount(near, minlength=len(coarse))
+        # Shares of the count by size, so that they add up to it: each part ends where its points end.
+        ends = np.rint(np.cumsum(sizes) * (count / len(points))).astype(int)
+        shares = np.diff(ends, prepend=0)
+        return np.concatenate([_codebook(points[near == k], n, rng, rounds) for k, n in enumerate(shares) if n])
     centres = points[rng.choice(len(points), count, replace=False)]
     for _ in range(rounds):
-        near = _distances(points, centres).argmin(1)
+        near = _nearest(points, centres)
         for k in range(count):
             if (near == k).any():
                 centres[k] = points[near == k].mean(0)
     return centres
 
 
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The nearest centre of each point, some thousand points at a time."""
+    return np.concatenate([_distances(points[i : i + 4096], centres).argmin(1) for i in range(0, len(points), 4096)])
+
+
 def _distances(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((points**2).sum(1)[:, None] - 2 * points @ centres.T + (centres**2).sum(1), 0)
 
@@ -53,27 +73,54 @@ class MultiIndex:
         (i + 1)(j + 1) <= count can be among the first.
         """
         half = vectors.shape[1] // 2
-        parts = [_distances(p, b) for p, b in zip((vectors[:, :half], vectors[:, half:]), self.books)]
-        orders = [np.argsort(d, 1, kind="stable") for d in parts]
-        i, j = np.array([(i, j) for i in range(len(self.books[0])) for j in range(len(self.books[1])) if (i + 1) * (j + 1) <= count]).T
-        sums = np.take_along_axis(parts[0], orders[0], 1)[:, i] + np.take_along_axis(parts[1], orders[1], 1)[:, j]
-        best = np.argsort(sums, 1, kind="stable")[:, :count]
-        return np.take_along_axis(orders[0], i[best], 1) * len(self.books[1]) + np.take_along_axis(orders[1], j[best], 1)
+        found = []
+        step = self._step()
+        for low in range(0, len(vectors), step):
+            some = vectors[low : low + step]
+            parts = [_distances(p, b) for p, b in zip((some[:, :half], some[:, half:]), self.books)]
+            orders = [_first(d, count) for d in parts]
+            i, j = _reachable(orders[0].shape[1], orders[1].shape[1], count)
+            sums = np.take_along_axis(parts[0], orders[0], 1)[:, i] + np.take_along_axis(parts[1], orders[1], 1)[:, j]
+            best = np.argsort(sums, 1, kind="stable")[:, :count]
+            first, second = np.take_along_axis(orders[0], i[best], 1), np.take_along_axis(orders[1], j[best], 1)
+            found.append(first * len(self.books[1]) + second)
+        return np.concatenate(found)
 
     def place(self, vectors: np.ndarray, others: np.ndarray) -> np.ndarray:
-        """How many cells each vector visits before the other one's own; a few vectors at a time, each with all cells."""
+        """How many cells each vector visits before the other one's own: for each codeword of one half, the codewords of
+        the other half that keep the sum below, by halving."""
         half = vectors.shape[1] // 2
-        parts = [_distances(p, b) for p, b in zip((vectors[:, :half], vectors[:, half:]), self.books)]
-        own = self.cells(others, 1)[:, 0]
-        first, second = own // len(self.books[1]), own % len(self.books[1])
-        rows = np.arange(len(vectors))
-        to = parts[0][rows, first] + parts[1][rows, second]
-        out = np.empty(len(vectors), np.int64)
-        for low in range(0, len(vectors), 16):
-            some = slice(low, low + 16)
-            sums = parts[0][some, :, None] + parts[1][some, None, :]
-            out[some] = (sums < to[some, None, None]).sum((1, 2))
-        return out
+        cells = self.cells(others, 1)[:, 0]
+        out = []
+        step = self._step()
+        for low in range(0, len(vectors), step):
+            some, own = vectors[low : low + step], cells[low : low + step]
+            parts = [_distances(p, b) for p, b in zip((some[:, :half], some[:, half:]), self.books)]
+            rows = np.arange(len(some))
+            to = parts[0][rows, own // len(self.books[1])] + parts[1][rows, own % len(self.books[1])]
+            parts[1].sort(1)
+            out += [np.searchsorted(parts[1][r], to[r] - parts[0][r], "left").sum() for r in rows]
+        return np.array(out, np.int64)
+
+    def _step(self) -> int:
+        """Vectors whose distances to all codewords are held at a time."""
+        return max(1, (1 << 21) // max(len(b) for b in self.books))
+
+
+def _first(distances: np.ndarray, count: int) -> np.ndarray:
+    """The places of each row's ``count`` smallest distances, in order."""
+    count = min(count, distances.shape[1])
+    places = np.argpartition(distances, count - 1, 1)[:, :count]
+    places.sort(1)
+    order = np.argsort(np.take_along_axis(distances, places, 1), 1, kind="stable")
+    return np.take_along_axis(places, order, 1)
+
+
+def _reachable(first: int, second: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of places with (i + 1)(j + 1) <= count: about count times its logarithm."""
+    each = np.minimum(count // np.arange(1, min(first, count) + 1), second)
+    i = np.repeat(np.arange(len(each)), each)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(each) - each, each)
 
 
 def build_index(sample: np.ndarray, similarity: float, recall: float, codewords: int, seed: int = 7) -> MultiIndex:
@@ -81,7 +128,6 @@ def build_index(sample: np.ndarray, similarity: float, recall: float, codewords:
     just the threshold: for each sampled vector a random partner at that angle shows how far apart their cells are."""
     rng = np.random.default_rng(seed)
     half = sample.shape[1] // 2
-    codewords = min(codewords, len(sample))
     books = tuple(_codebook(p, codewords, rng) for p in (sample[:, :half], sample[:, half:]))
     index = MultiIndex(books, 1)
     some = sample[:1000]
@@ -116,7 +162,6 @@ def near_vectors(
     recall: float = 0.9999,
     fit_rows: int = 4096,
     occupancy: int = 64,
-    most_codewords: int = 256,
 ) -> DataFrame:
     """(key, n_links, component_id, kept) of every row.
 
@@ -125,9 +170,11 @@ def near_vectors(
     with a null or non-finite component, a vector links with nothing.
     ``n_links`` counts the other rows linked directly, ``component_id`` is the
     smallest key reachable, ``kept`` says whether that is the row's own. The
-    codebooks are fitted on the ``fit_rows`` vectors of smallest hash, at most
-    ``most_codewords`` each; all rows are indexed, with cells of ``occupancy``
-    vectors or so. Each dimension has an index of its own.
+    codebooks are fitted on the ``fit_rows`` vectors of smallest hash, or
+    ``SAMPLED`` for each codeword if that is more; all rows are indexed, with
+    cells of ``occupancy`` vectors or so, so codewords and sample grow with the
+    root of the table. Each dimension has an index of its own. An empty table
+    gives no rows; further columns of ``vectors`` are not looked at.
     """
     # Floats travel as floats; cosines are in double precision all the same.
     number = "float" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "double"
@@ -151,7 +198,7 @@ def near_vectors(
     )
     sizes = classes.groupBy("dimension").agg(F.count("*").alias("n")).collect()
     found = [
-        _links(classes.where(F.col("dimension") == r.dimension), r.n, similarity, recall, fit_rows, occupancy, most_codewords)
+        _links(classes.where(F.col("dimension") == r.dimension), r.n, similarity, recall, fit_rows, occupancy)
         for r in sizes
     ]
     counted = classes.select(F.col("node"), F.col("node").alias("root"), F.lit(0).cast("long").alias("classes"), F.lit(0).cast("long").alias("members")).limit(0)
@@ -176,26 +223,32 @@ def near_vectors(
     )
 
 
+def codewords_for(count: int, occupancy: int) -> int:
+    """Codewords of each half, so that the cells of their grid hold ``occupancy`` of ``count`` vectors or so."""
+    return max(1, round((count / occupancy) ** 0.5))
+
+
 def _links(
-    classes: DataFrame, count: int, similarity: float, recall: float, fit_rows: int, occupancy: int, most_codewords: int
+    classes: DataFrame, count: int, similarity: float, recall: float, fit_rows: int, occupancy: int
 ) -> DataFrame:
     """Counts of links between classes of one dimension."""
-    sample = classes.select("vector").orderBy(F.xxhash64("node", F.lit("fit"))).limit(fit_rows).toArrow()
-    units = _unit(sample["vector"])
-    codewords = int(min(most_codewords, max(1, round((count / occupancy) ** 0.5))))
-    index = build_index(units, similarity, recall, codewords)
+    codewords = codewords_for(count, occupancy)
+    most = max(fit_rows, SAMPLED * codewords)
+    sample = classes.select("vector").orderBy(F.xxhash64("node", F.lit("fit"))).limit(most).toArrow()
+    index = build_index(_unit(sample["vector"]), similarity, recall, codewords)
+    number, wide = (np.int32, "int") if codewords**2 < 1 << 31 else (np.int64, "long")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 cells = index.cells(_unit(batch.column(batch.num_columns - 1)), index.visits)
-                lists = pa.ListArray.from_arrays(np.arange(len(cells) + 1) * cells.shape[1], pa.array(cells.ravel().astype(np.int32)))
+                lists = pa.ListArray.from_arrays(np.arange(len(cells) + 1) * cells.shape[1], pa.array(cells.ravel().astype(number)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["node", "members", "label", "vector", "cells"])
 
     kind, array = (classes.schema[c].dataType.simpleString() for c in ("label", "vector"))
     placed = saved(
         classes.select("node", "members", "label", "vector").mapInArrow(
-            visit, f"node long, members long, label {kind}, vector {array}, cells array<int>"
+            visit, f"node long, members long, label {kind}, vector {array}, cells array<{wide}>"
         ),
         "placed",
     )
@@ -237,12 +290,16 @@ def _verify(group: pa.Table, similarity: float) -> dict[str, np.ndarray]:
     flat = group["cells"].combine_chunks()
     cells = flat.flatten().to_numpy().reshape(len(flat), -1)
     own = cells[:, 0]
-    for g in guests:
-        near = unit[homes] @ unit[g] >= similarity
-        near &= nodes[homes] != nodes[g]
-        if own[g] == cell:  # both live here: the pair is met twice
-            near &= nodes[homes] > nodes[g]
-        elif own[g] < cell:  # if the host also visits the guest's cell, the pair counts in the lower cell
-            near[near] = ~(cells[homes[near]] == own[g]).any(1)
-        links.add(int(same[g]), same[homes[near]])
+    for low in range(0, len(guests), 256):  # one product for many guests
+        some = guests[low : low + 256]
+        close = unit[some] @ unit[homes].T >= similarity
+        for g, near in zip(some, close):
+            if not near.any():
+                continue
+            near &= nodes[homes] != nodes[g]
+            if own[g] == cell:  # both live here: the pair is met twice
+                near &= nodes[homes] > nodes[g]
+            elif own[g] < cell:  # if the host also visits the guest's cell, the pair counts in the lower cell
+                near[near] = ~(cells[homes[near]] == own[g]).any(1)
+            links.add(int(same[g]), same[homes[near]])
     return links.found(nodes[first])
