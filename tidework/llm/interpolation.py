@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidework.llm.common import by_group, fold, saved
 
-BITS = 52  # of an n-gram's hash, its order among them
+BITS = 52  # of the hash of two or three tokens, their number among them; single tokens keep all 64
 CHUNK = 4 << 20  # bytes of text
 GRAMS = 1 << 21  # n-grams summed together in a range of hashes, at most about so many
 START, END = (np.uint64(xxhash.xxh3_64_intdigest(b"a " + w)) for w in (b"start", b"end"))  # no word holds a blank
@@ -129,7 +129,11 @@ def _hash(values: np.ndarray, order: int) -> np.ndarray:
 
 
 class Chunk:
-    """The n-grams of a chunk: distinct hashes in order, and for each token the places of its n-grams among them."""
+    """The n-grams of a chunk, and for each token the places of its n-grams among them.
+
+    First come the distinct hashes of pairs and triples in order, then those of single tokens: ``grams[:many]`` and
+    ``grams[many:]``. The two are summed apart, so that the counts of single tokens rest on all 64 bits of their hashes.
+    """
 
     def __init__(self, row: dict) -> None:
         words, tokens = unpacked(row["words"]), unpacked(row["tokens"]).astype(np.int64)
@@ -142,18 +146,20 @@ class Chunk:
         before[1:], before[self.first] = hashes[:-1], START
         further = np.empty_like(hashes)
         further[1:], further[self.first] = before[:-1], START
-        singles = np.append(_hash(_mix(words, words), 1), _hash(np.array([START]), 0))
+        start = _hash(np.array([START]), 0)  # no token, but the context of each text's first one
         pairs, pair = np.unique(_hash(_mix(before, hashes), 2), return_inverse=True)
         triples, triple = np.unique(_hash(_mix(_mix(further, before), hashes), 3), return_inverse=True)
-        every = np.concatenate([singles, pairs, triples])
-        order = np.argsort(every, kind="stable")
-        self.grams = every[order]
-        place = np.empty(len(every), np.int64)
+        every = np.concatenate([start, pairs, triples])
+        order, singles = np.argsort(every, kind="stable"), np.argsort(words, kind="stable")
+        self.grams = np.concatenate([every[order], words[singles]])
+        self.many = len(every)
+        place = np.empty(len(self.grams), np.int64)
         place[order] = np.arange(len(every))
-        self.single = place[tokens]
-        self.start = place[len(singles) - 1]
-        self.pair = place[len(singles) + pair]
-        self.triple = place[len(singles) + len(pairs) + triple]
+        place[len(every) + singles] = np.arange(len(every), len(place))
+        self.start = place[0]
+        self.pair = place[1 + pair]
+        self.triple = place[1 + len(pairs) + triple]
+        self.single = place[len(every) + tokens]
 
     def counts(self) -> np.ndarray:
         """How often the chunk's training documents hold each n-gram; the start counts once for each of them."""
@@ -180,9 +186,16 @@ def _power(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts, 1)), TOP).astype(np.int64)
 
 
+def _alone(parts: int) -> int:
+    """Ranges of single tokens: at most a third of all n-grams are some. Two at least, as a shift by 64 is none."""
+    return max(2, parts // 4)
+
+
 def _asked(chunks: DataFrame, parts: int) -> DataFrame:
-    """(part, chunk, held, hashes, counts): each chunk's distinct n-grams, by ranges of their hashes."""
-    shift = BITS - (parts.bit_length() - 1)
+    """(part, chunk, held, hashes, counts): each chunk's distinct n-grams, by ranges of their hashes. The first ``parts``
+    ranges are those of pairs and triples, a quarter as many after them those of single tokens."""
+    shift = np.uint64(BITS - (parts.bit_length() - 1))
+    alone = np.uint64(64 - (_alone(parts).bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +203,8 @@ def _asked(chunks: DataFrame, parts: int) -> DataFrame:
                 row = batch.slice(i, 1).to_pylist()[0]
                 chunk = Chunk(row)
                 counts = chunk.counts()
-                ranges = (chunk.grams >> np.uint64(shift)).astype(np.int64)
+                single = parts + (chunk.grams[chunk.many :] >> alone).astype(np.int64)
+                ranges = np.concatenate([(chunk.grams[: chunk.many] >> shift).astype(np.int64), single])
                 edges = np.append(np.flatnonzero(np.diff(ranges, prepend=-1)), len(ranges))
                 some = ranges[edges[:-1]]
                 spans = [slice(low, high) for low, high in zip(edges[:-1], edges[1:])]
@@ -209,7 +223,7 @@ def _asked(chunks: DataFrame, parts: int) -> DataFrame:
     return chunks.select(*columns).mapInArrow(run, "part long, chunk long, held boolean, hashes binary, counts binary")
 
 
-def _answer(group: pa.Table) -> dict:
+def _answer(group: pa.Table, parts: int) -> dict:
     """Sums the counts of each n-gram over all chunks that hold it and hands them back to each."""
     asked = [np.cumsum(unpacked(h), dtype=np.uint64) for h in group["hashes"].to_pylist()]
     counts = np.concatenate([unpacked(c) for c in group["counts"].to_pylist()])
@@ -223,17 +237,17 @@ def _answer(group: pa.Table) -> dict:
     which[order] = np.cumsum(new) - 1
     every = np.bincount(which, counts).astype(np.int64)
     kept = np.bincount(which, counts * ~held).astype(np.int64)
-    singles = (grams[new] & np.uint64(3)) == 1
     ends = np.cumsum(sizes)
     places = [which[e - s : e] for s, e in zip(sizes, ends)]
     count, blank = len(sizes), [b""]
     part = group["part"].to_numpy()
+    singles = part[0] >= parts
 
     def stats(values: np.ndarray) -> np.ndarray:
-        return np.append(np.zeros(count, np.int64), values[singles].sum())
+        return np.append(np.zeros(count, np.int64), values.sum() * singles)
 
     def known(values: np.ndarray) -> np.ndarray:
-        return np.append(np.zeros(count, np.int64), (values[singles] > 0).sum())
+        return np.append(np.zeros(count, np.int64), (values > 0).sum() * singles)
 
     return {
         # One more row, of no chunk, has the numbers of training tokens and of distinct ones.
@@ -352,7 +366,7 @@ def interpolated_scores(
     tokens = int(chunks.agg(F.sum("size")).first()[0] or 0)
     ranges = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * tokens // GRAMS)
     parts = 1 << (ranges - 1).bit_length()
-    answers = saved(by_group(_asked(chunks, parts), ["part"], _answer, ANSWER), "counts")
+    answers = saved(by_group(_asked(chunks, parts), ["part"], lambda g: _answer(g, parts), ANSWER), "counts")
     sums = ["tokens", "known", "kept_tokens", "kept_known"]
     total, known, kept_total, kept_known = (
         int(x or 0) for x in answers.where("chunk = -1").agg(*(F.sum(c) for c in sums)).first()
