@@ -10,11 +10,14 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from tests.compare import database, difference
 from tests.test_joins import largest_task, shuffled, small_pieces  # noqa: F401
 from tidework import (
     largest,
     last_value,
     overlap_join,
+    overlap_parts,
     previous,
     row_numbers,
     running,
@@ -158,3 +161,69 @@ def test_overlaps_are_found_by_equality(table, plan):
     events = table("events").select("event_id", "ts", F.expr("ts + INTERVAL 1 HOUR").alias("until"))
     text = plan(overlap_join(events, events, ("ts", "until"), ("ts", "ts")), run=False)
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(SPANS, SPANS, st.booleans())
+def test_parts_add_up_to_the_pairs_of_plain_python(spark, a, b, grouped):
+    def frame(spans):
+        rows = [(i, s, None if s is None or n is None else s + n, ("x", "y", None)[i % 3]) for i, (s, n) in enumerate(spans)]
+        return rows, spark.createDataFrame(rows, "id int, s long, e long, k string")
+
+    (left, mine), (right, theirs) = frame(a), frame(b)
+    want = {}
+    for x in left:
+        for y in right:
+            if None not in x[1:3] + y[1:3] and x[1] <= x[2] and y[1] <= y[2] and x[1] <= y[2] and y[1] <= x[2]:
+                want.setdefault((x[0], y[3]) if grouped else (x[0],), []).append(y[0])
+    parts = overlap_parts(
+        mine, theirs, ("s", "e"), ("s", "e"), ["id"], ["k"] if grouped else [], {"low": "id"}, {"high": "id"}
+    )
+    assert parts.columns == ["id", *(["k_right"] if grouped else []), "n", "low", "high"]
+    found = parts.groupBy("id", *(["k_right"] if grouped else [])).agg(F.sum("n"), F.min("low"), F.max("high"))
+    assert {tuple(r[:-3]): tuple(r[-3:]) for r in found.collect()} == {k: (len(v), min(v), max(v)) for k, v in want.items()}
+
+
+def test_parts_at_the_ends_of_the_line(spark):
+    ends = spark.sql(f"SELECT * FROM VALUES (1, {-(2**63)}L, {2**63 - 1}L), (2, {2**63 - 1}L, {2**63 - 1}L), (3, -1L, 0L) AS t(i, s, e)")
+    parts = overlap_parts(ends, ends, ("s", "e"), ("s", "e"), ["i"], greatest={"high": "i"})
+    found = parts.groupBy("i").agg(F.sum("n"), F.min("high"), F.max("high")).select("i", "sum(n)", "max(high)").collect()
+    assert sorted(map(tuple, found)) == [(1, 3, 3), (2, 2, 2), (3, 2, 3)]
+
+
+def test_parts_of_rows_that_all_meet_are_spread_over_tasks(spark, shuffled):  # noqa: F811
+    rows = spark.range(0, 8000, 1, 20).selectExpr("id", "id AS s", "id + 20000 AS e")
+    parts = overlap_parts(rows, rows, ("s", "e"), ("s", "e"), ["id"], least={"low": "id"}, greatest={"high": "id"})
+    found = parts.groupBy("id").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    assert found.where("n = 8000 AND low = 0 AND high = 7999").count() == 8000
+    assert largest_task(parts) < 16_000
+
+
+def most_rows(df) -> int:
+    """The most rows that a step of the plan made."""
+    df.collect()
+    open_, most = [df._jdf.queryExecution().executedPlan()], 0
+    while open_:
+        node = open_.pop()
+        made = node.metrics().get("numOutputRows")
+        most = max(most, made.get().value() if made.isDefined() else 0)
+        if node.nodeName() == "AdaptiveSparkPlan":
+            open_.append(node.executedPlan())
+        elif node.nodeName().endswith("QueryStage"):
+            open_.append(node.plan())
+        else:
+            children = node.children()
+            open_ += [children.apply(i) for i in range(children.size())]
+    return most
+
+
+@pytest.mark.parametrize("name", ["range_join_mixed_lengths"])
+def test_dense_events_are_joined_without_their_pairs(spark, tmp_path, name):
+    events = spark.range(3000).selectExpr(
+        "id AS event_id", "timestamp_millis(1704067200000 + id * 10) AS ts", "concat('t', id % 5) AS event_type"
+    )
+    events.toPandas().to_parquet(tmp_path / "events.parquet", coerce_timestamps="us")
+    folder = str(tmp_path)
+    assert difference(spark, database(folder), folder, name) is None
+    # All 3,000 are within 30 seconds: 4 to 9 million pairs.
+    assert most_rows(entry.queries()[name](spark, folder)) < 100_000

@@ -4,7 +4,7 @@ from tidework.functions.ordering import in_order
 from tidework.functions.values import epoch_columns
 from tidework.operators.basic import BasicQuery, Condition, basic_to_df, basic_to_sql
 from tidework.operators.joins import join_on
-from tidework.operators.overlaps import overlap_join
+from tidework.operators.overlaps import overlap_join, overlap_parts
 from tidework.operators.preview import preview, preview_frame
 from tidework.operators.running import (
     largest,
@@ -67,6 +67,7 @@ __all__ = [
     "last_value",
     "merge_states",
     "overlap_join",
+    "overlap_parts",
     "presence",
     "preview",
     "preview_frame",

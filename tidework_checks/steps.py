@@ -29,6 +29,7 @@ from tidework import (
     largest,
     merge_states,
     overlap_join,
+    overlap_parts,
     presence,
     preview_frame,
     previous,
@@ -1003,8 +1004,10 @@ def range_join_mixed_lengths(spark, folder):
         read(spark, folder, "events"),
         "SELECT event_id, ts, ts + if(event_id % 50 = 0, INTERVAL 6 HOURS, INTERVAL 40 SECONDS) AS until FROM df",
     )
-    pairs = overlap_join(spans, spans, ("ts", "until"), ("ts", "until"))
-    return pairs.groupBy("event_id").agg(F.count("*").alias("n"), F.min("event_id_right").alias("first_id"))
+    parts = overlap_parts(
+        spans, spans, ("ts", "until"), ("ts", "until"), ["event_id"], least={"first_id": "event_id"}
+    )
+    return parts.groupBy("event_id").agg(F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
 
 
 # ---- JSON with types, and states that are kept -----------------------------------
