@@ -217,7 +217,7 @@ def most_rows(df) -> int:
     return most
 
 
-@pytest.mark.parametrize("name", ["range_join_mixed_lengths"])
+@pytest.mark.parametrize("name", ["range_join_binned", "range_join_mixed_lengths"])
 def test_dense_events_are_joined_without_their_pairs(spark, tmp_path, name):
     events = spark.range(3000).selectExpr(
         "id AS event_id", "timestamp_millis(1704067200000 + id * 10) AS ts", "concat('t', id % 5) AS event_type"

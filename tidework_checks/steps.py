@@ -28,7 +28,6 @@ from tidework import (
     json_keys,
     largest,
     merge_states,
-    overlap_join,
     overlap_parts,
     presence,
     preview_frame,
@@ -980,11 +979,19 @@ def session_hot_user(spark, folder):
 )
 def range_join_binned(spark, folder):
     events = read(spark, folder, "events")
-    soon = transform(events, "SELECT event_id, event_type, ts, ts + INTERVAL 5 MINUTES AS until FROM df")
-    pairs = overlap_join(soon, events, ("ts", "until"), ("ts", "ts")).where("ts_right > ts")
+    soon = transform(
+        events,
+        """
+        SELECT event_id, event_type, ts + INTERVAL 1 MICROSECOND AS after, ts + INTERVAL 5 MINUTES AS until FROM df
+        """,
+    )
+    parts = overlap_parts(
+        soon, events, ("after", "until"), ("ts", "ts"), ["event_id", "event_type"], ["event_type"],
+        greatest={"last_id": "event_id"},
+    )
     types = [F.col("event_type").alias("first_type"), F.col("event_type_right").alias("then_type")]
-    return pairs.groupBy(*types).agg(
-        F.count("*").alias("n"), F.max(F.col("event_id_right") - F.col("event_id")).alias("apart")
+    return parts.groupBy(*types).agg(
+        F.sum("n").alias("n"), F.max(F.col("last_id") - F.col("event_id")).alias("apart")
     )
 
 
