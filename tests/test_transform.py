@@ -1,10 +1,13 @@
+import re
 from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.errors import AnalysisException, ParseException
 
+from tests.conftest import DATA
 from tidework import preview, preview_frame, transform
 from tidework.operators.preview import preview_rows
+from tidework_checks.sql_box import SQL_BOX
 
 
 def test_any_query(spark):
@@ -75,3 +78,9 @@ def test_preview(spark):
 @pytest.mark.parametrize("end", ["; -- done", " -- done\n;", " /* a; b */ ; ;", "; -- it's\n"])
 def test_comments_and_semicolons_at_the_end(spark, end):
     assert transform(spark.range(3), "SELECT ';--' AS s, id FROM df" + end).first() == (";--", 0)
+
+
+def test_sketches_are_not_kept_for_each_user(spark, plan):
+    text = plan(SQL_BOX["sql_approx"].run(spark, DATA), run=False)
+    by_user = [line for line in text.splitlines() if re.search(r"Aggregate\(keys=\[[^]]*user_id", line)]
+    assert by_user and not [line for line in by_user if "approx" in line]
