@@ -43,6 +43,56 @@ def test_random_texts_of_letters_that_change():
         assert ids(text) == expected(text), text
 
 
+def test_many_texts_at_once_have_the_ids_of_each(monkeypatch):
+    """All kinds of letters and signs, blanks at all places, names of special tokens and texts of many chunks."""
+    monkeypatch.setattr(packing, "CHUNK", 20_000)
+    given = (chr(c) for c in range(0x20, 0x110000) if not 0xD800 <= c < 0xE000)
+    assigned = [c for c in given if unicodedata.category(c) not in ("Cn", "Co")]
+    texts = [f"{c}_ _{c} a{c}b {c}1 Ab{c}, {c}{c}. e{c}; {c}'s {c}! x.{c}" for c in assigned[::7]]
+    pick = random.Random(5)
+    ends = ["", "", ",", "..", "'s"]
+    words = ["".join(pick.choices("abcdeéß", k=pick.randint(1, 12))) + pick.choice(ends) for _ in range(9_000)]
+    texts += [" ".join(words), "\t " + " ".join(words[:5]) + " \n", "", " ", "a" * 30_000 + " b"]
+    texts += ["<|endoftext|> A <|ENDOFTEXT|>b", " " * 50_000]
+    found = packing.texts_tokenizer()([t.encode() for t in texts])
+    wrong = [t for t, ids in zip(texts, found, strict=True) if np.frombuffer(ids, "<u4").tolist() != expected(t)]
+    assert not wrong
+
+
+def test_forgotten_words_are_made_again(monkeypatch):
+    monkeypatch.setattr(packing, "RECENT", 20)
+    tokens = packing.TokenBytes(public_tokenizers.path("word_bpe_49k.json"))
+    pick = random.Random(6)
+    for _ in range(300):
+        text = " ".join(pick.choice("abcé") * pick.randint(1, 60) + pick.choice(["", ".", "é."]) for _ in range(30))
+        for ids in (tokens.of_texts([text.encode()])[0], tokens.of_text(text.encode())):
+            assert np.frombuffer(ids, "<u4").tolist() == expected(text)
+    assert max(len(tokens.recent), len(tokens.older)) < 20 + 100
+    assert max(map(len, [*tokens.recent, *tokens.older])) <= packing.LONGEST
+
+
+def test_new_words_go_to_the_model_many_together():
+    """A call for each word that is new took most of the time of the query."""
+    tokens = packing.TokenBytes(public_tokenizers.path("word_bpe_49k.json"))
+    calls = []
+
+    class Counted:
+        def __init__(self, tokenizer):
+            self.tokenizer = tokenizer
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.tokenizer, name)
+
+    tokens.tokenizer, tokens.model = Counted(tokens.tokenizer), Counted(tokens.model)
+    tokens.joined = (Counted(tokens.joined[0]), tokens.joined[1])
+    pick = random.Random(7)
+    words = ["".join(pick.choices("aeioubdnst", k=10)) + pick.choice(["", ".", ","]) for _ in range(20_000)]
+    ids = tokens.of_texts([" ".join(words[n : n + 100]).encode() for n in range(0, len(words), 100)])
+    assert np.frombuffer(b"".join(ids), "<u4").tolist() == expected(" ".join(words))
+    assert len(calls) < 100
+
+
 def plain_bins(lengths: list[int], capacity: int) -> list[list[int]]:
     """Fill with the largest that fits; then, if there is a gap, the smallest one gives way to the two that fill best."""
     left, bins = sorted(lengths, reverse=True), []
